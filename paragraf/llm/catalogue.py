@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paragraf.llm import near_duplicates, repeated_lines, splitting
+from paragraf.llm import encodings, near_duplicates, repeated_lines, splitting
 from paragraf.plans.catalogue import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -74,3 +74,30 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_groups")
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(table(spark, d, "decision_text"), "decision_id", "body", 3, 0.75).withColumnRenamed("id", "decision_id")
+
+
+def _decoding(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The wrongly decoded bodies, and the wrongly decoded texts of final documents by place."""
+    bodies = table(spark, d, "decision_text").select("decision_id", "body")
+    languages = encodings.train(table(spark, d, "documents"), "lang", "text", "cs", bodies, "body")
+    found = encodings.wrongly_decoded(bodies, ["decision_id"], "body", languages)
+    document = table(spark, d, "justice_finaldoc")
+    parts = []
+    for place in ("header", "verdict", "justification"):
+        blocks = document.select("uuid", F.posexplode(place).alias("block_no", "block"))
+        parts.append(blocks.select(F.lit(place).alias("place"), "uuid", "block_no", F.posexplode("block.texts").alias("text_no", "entry")).select("place", "uuid", "block_no", "text_no", F.col("entry.text").alias("text")))
+    entries = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return found, encodings.wrongly_decoded(entries, ["place", "uuid", "block_no", "text_no"], "text", languages)
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    bodies, entries = _decoding(spark, d)
+    one = bodies.select(F.lit("body").alias("place"), F.col("decision_id").cast("string").alias("record_key"), F.lit(0).alias("block_no"), F.lit(0).alias("text_no"))
+    return one.unionByName(entries.select("place", F.col("uuid").alias("record_key"), "block_no", "text_no")).where("record_key is not null").distinct()
+
+
+@query("p5_restored")
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    bodies, _ = _decoding(spark, d)
+    return bodies.dropDuplicates(["decision_id"]).select("decision_id", "restored", "lost_lines", "chains")
