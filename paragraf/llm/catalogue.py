@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paragraf.llm import encodings, near_duplicates, repeated_lines, splitting
+from paragraf.llm import encodings, near_duplicates, repeated_lines, sentences, splitting
 from paragraf.plans.catalogue import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -101,3 +101,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     bodies, _ = _decoding(spark, d)
     return bodies.dropDuplicates(["decision_id"]).select("decision_id", "restored", "lost_lines", "chains")
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "char_start", "char_end")
+
+
+@query("p9_units")
+def p9_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text")
