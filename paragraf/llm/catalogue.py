@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paragraf.llm import encodings, near_duplicates, repeated_lines, sentences, splitting
+from paragraf.llm import encodings, mixing, near_duplicates, packing, repeated_lines, sentences, splitting
 from paragraf.plans.catalogue import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -111,3 +111,49 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_units")
 def p9_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _filled(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "container_kind"))
+
+
+@query("p7_found", "SELECT container, doc_id FROM documents JOIN container_kind ON strlen(text) + 1 > capacity")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.oversized(_filled(spark, d)).withColumnRenamed("doc", "doc_id")
+
+
+@query("p7_windows")
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    return _filled(spark, d).withColumnRenamed("doc", "doc_id")
+
+
+@query("p7_report")
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(_filled(spark, d))
+
+
+P8_SIZES = """
+WITH own AS (
+  SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(strlen(d.text) + 1) FILTER (WHERE d.text IS NOT NULL), 0) AS own
+  FROM mix_target m LEFT JOIN documents d ON lower(trim(d.source)) = m.source GROUP BY ALL)
+"""
+
+
+@query("p8_found", P8_SIZES + "SELECT source FROM own WHERE target_share * (SELECT sum(own) FROM own) > max_repeats * own")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    targets = mixing.wanted(table(spark, d, "mix_target"))
+    documents = mixing.sized(table(spark, d, "documents"), "doc_id", "text", "source", targets)
+    _, shares = mixing.mix(documents, targets)
+    return shares.where("not reachable").select("source")
+
+
+@query("p8_selection")
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    targets = mixing.wanted(table(spark, d, "mix_target"))
+    return mixing.mix(mixing.sized(table(spark, d, "documents"), "doc_id", "text", "source", targets), targets)[0].withColumnRenamed("doc", "doc_id")
+
+
+@query("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = mixing.wanted(table(spark, d, "mix_target"))
+    return mixing.mix(mixing.sized(table(spark, d, "documents"), "doc_id", "text", "source", targets), targets)[1]
