@@ -80,7 +80,7 @@ def _soften(s: Column) -> Column:
         after = F.coalesce(F.try_element_at(lines, (i + 2).cast("int")), F.lit(""))
         blank = after.rlike("^\\s*$")
         mark = after.rlike("^\\s*(?:[a-z]\\)|\\(\\d+\\)|[-•*–] |#)")
-        full = (F.length(line) >= width - MARGIN) & (F.length(line) >= 30) & ~blank & ~(mark & ~line.rlike("\\p{L}\\.$"))
+        full = (F.length(line) >= width - MARGIN) & (F.length(line) >= 30) & ~blank & ~(mark & ~line.rlike("(?:písm|odst|let|lit)\\.$"))
         return F.concat(line, F.when(i + 1 == F.size(lines), F.lit("")).when(full, F.lit(SOFT)).otherwise(F.lit("\n")))
 
     return F.when(lines.isNotNull(), F.array_join(F.transform(lines, joined), "")).otherwise(s["t"])
