@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paragraf.llm import encodings, mixing, near_duplicates, packing, repeated_lines, sentences, splitting
+from paragraf.llm import encodings, mixing, near_duplicates, packing, repeated_lines, scans, sentences, splitting
 from paragraf.plans.catalogue import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -157,3 +157,13 @@ def p8_selection(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = mixing.wanted(table(spark, d, "mix_target"))
     return mixing.mix(mixing.sized(table(spark, d, "documents"), "doc_id", "text", "source", targets), targets)[1]
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(table(spark, d, "files_eval"), "key", "text", "meta.title")
+
+
+@query("p4_text")
+def p4_text(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "files_eval"), "key", "text", "meta.title")
