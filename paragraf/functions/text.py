@@ -65,4 +65,4 @@ def html_text(c: Column) -> Column:
     for a, b in (("&nbsp;", " "), (" ", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    return F.btrim(F.regexp_replace(out, r"\n{3,}", "\n\n"), F.lit(" \n"))

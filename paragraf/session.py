@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +41,25 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it by the working folder or PYTHONPATH that they share."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
+    places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if getattr(sc, "_paragraf", False) or any(p and Path(p).resolve() == root.parent for p in places):
+        return
+    folder = tempfile.mkdtemp(prefix="paragraf-package-")  # the driver serves the file from here while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(out := Path(folder, "paragraf.zip"), "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(out))
+    sc._paragraf = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; only where none is set, a local one for tests."""
     sc = spark.sparkContext
