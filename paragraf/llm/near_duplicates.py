@@ -1,9 +1,11 @@
 """Near-duplicate texts: a blocked sparse product of the document by n-gram incidence matrix with itself.
 
-The columns (n-grams) are ordered from rare to frequent. The first block of each row holds so many of its rarest
-n-grams that two rows similar enough must meet there a number of times that follows from their sizes alone. Overlaps
-are accumulated over that block only; pairs that meet less often are discarded, the others' whole overlap is counted.
-The result doesn't depend on the order of the columns, only the work does.
+The columns (n-grams) fall into BLOCKS blocks by their hash. If two rows' overlap reaches the limit over all columns, it
+reaches it in at least one block: the shares can't all lie below their mean. So each block is joined by itself, with the
+rows' sizes in that block. There, two rows similar enough share one of the rarest n-grams of each, as many as the size
+leaves over; they meet at it. A pair that meets is discarded when its sizes differ too much, or when the parity bitmaps
+of its rows differ in more bits than the sizes allow n-grams to differ. What is left is counted over all columns. Every
+bound follows from sizes alone, so no pair is lost; the order of the columns only decides how much work there is.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ LOCAL_LEAST = 4
 FOLD = 3_000_000
 #: Members of one class of equal texts (or of two similar classes) that are written out as all pairs; larger ones as a star.
 EXPAND = 64
-#: Shares of a set, beyond what the limit asks for, by which its first block is longer; so many meetings a pair must have.
-MEETINGS = 16
+#: Texts with a candidate pair that are broadcast to find their bodies.
+FEW = 500_000
+#: Blocks of columns, a power of two: of the usual text each holds some dozens of n-grams, which 64 bits tell apart.
+BLOCKS = 16
+#: Bits of a parity bitmap, which shares a number with the size; a size that doesn't fit there sets no bound.
+BITS, MOST = 48, (1 << 15) - 1
 
 
 def _fingerprint(grams: np.ndarray) -> int:
@@ -34,17 +40,31 @@ def _fingerprint(grams: np.ndarray) -> int:
     return int(mix(np.array([mix(grams).sum(dtype=np.uint64) ^ np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
 
 
-def _ranked(n: int, limit: float) -> tuple[int, int]:
-    """Length of the first block of a set of n n-grams, and the meetings there that it needs."""
-    meetings = max(1, n // MEETINGS)
-    return min(n, n - int(np.ceil(limit * n - 1e-9)) + meetings), meetings
+def _blocks(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block and parity bit of each n-gram; blocks don't fall along sorted n-grams."""
+    return (grams >> np.uint64(65 - BLOCKS.bit_length())).astype(np.int64), (grams >> np.uint64(20)) % np.uint64(BITS)
+
+
+def _parity(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks that a sorted set has n-grams in, where each begins, and its parity bitmap."""
+    block, bit = _blocks(grams)
+    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(grams) else np.zeros(0, np.int64)
+    return block[first], first, np.bitwise_xor.reduceat(np.uint64(1) << bit, first) if len(grams) else np.zeros(0, np.uint64)
+
+
+def _signature(grams: np.ndarray) -> bytes:
+    """A parity bitmap of the whole set, of a power of two bits, at least twice as many as n-grams. A longer bitmap folds
+    into a shorter one by joining its halves with exclusive or, so any two can be compared."""
+    bits = 1 << max(8, (2 * len(grams) - 1).bit_length() if len(grams) else 8)
+    odd = np.bincount(((grams >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _signatures(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (0, id, fingerprint, size) for the texts and (1, n-gram, 0, texts) for those frequent in this task."""
+    """Rows (0, id, fingerprint, size, bits) for the texts and (1, n-gram, 0, texts, null) for those frequent in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, parts, held = ["kind", "a", "b", "n"], [], 0
+        names, parts, held = ["kind", "a", "b", "n", "bits"], [], 0
         grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def fold() -> None:
@@ -70,84 +90,95 @@ def _signatures(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 sizes = np.array([len(s) for s in sets], np.int32)
                 parts.extend(sets)
                 held += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), pa.array(ids[first:last].astype(np.int64)), pa.array(prints), pa.array(sizes)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), pa.array(ids[first:last].astype(np.int64)), pa.array(prints), pa.array(sizes), pa.array([_signature(s) for s in sets], pa.binary())], names=names)
             if held > FOLD:
                 fold()
         fold()
         keep = counts >= LOCAL_LEAST
         grams, counts = grams[keep], counts[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), np.int8)), pa.array(grams.view(np.int64)), pa.array(np.zeros(len(grams), np.int64)), pa.array(counts.astype(np.int32))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(grams), np.int8)), pa.array(grams.view(np.int64)), pa.array(np.zeros(len(grams), np.int64)), pa.array(counts.astype(np.int32)), pa.nulls(len(grams), pa.binary())], names=names)
 
     return run
 
 
-def _first_blocks(width: int, limit: float, frequent: np.ndarray, rank: np.ndarray) -> Callable:
-    """Rows (n-gram, fingerprint, size) of each different text's first block."""
+def _rarest(grams: np.ndarray, limit: float, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the sorted n-grams of one text: the rarest of each block, so many that similar texts meet at one; with each the
+    n-grams that the text has in the block, and in the lower BITS bits their parity bitmap."""
+    n = len(grams)
+    _, first, parity = _parity(grams)
+    size = np.diff(np.append(first, n))
+    weight = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
+        weight = np.where(frequent[at] == grams, rank[at], 0)
+    which = np.repeat(np.arange(len(first)), size)
+    order = np.lexsort((weight, which))
+    take = size - np.ceil(limit * size - 1e-9).astype(np.int64) + 1
+    chosen = order[np.arange(n) - first[which] < take[which]]
+    about = (np.minimum(size, MOST) << BITS) | parity.view(np.int64)
+    return grams[chosen], about[which[chosen]]
+
+
+def _incidence(width: int, limit: float, frequent: np.ndarray, rank: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (n-gram, fingerprint, size and bits) of each different text: its rarest n-grams of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, _, cps, rows in slices(batch.column(1)):
-                out: list[tuple[np.ndarray, int, int]] = []
-                for grams in shingle_sets(cps, rows, width):
-                    n = len(grams)
-                    if n == 0 or (key := _fingerprint(grams)) in seen:
+                grams, docs, about = [], [], []
+                for own in shingle_sets(cps, rows, width):
+                    if len(own) == 0 or (key := _fingerprint(own)) in seen:
                         continue
                     seen.add(key)
-                    block, _ = _ranked(n, limit)
-                    weight = np.zeros(n, np.int64)
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-                        weight = np.where(frequent[at] == grams, rank[at], 0)
-                    out.append((grams[np.argsort(weight, kind="stable")[:block]], key, n))
-                if out:
-                    size = [len(g) for g, _, _ in out]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([g for g, _, _ in out]).view(np.int64)), pa.array(np.repeat(np.array([k for _, k, _ in out], np.int64), size)), pa.array(np.repeat(np.array([n for _, _, n in out], np.int32), size))],
-                        names=["gram", "doc", "n"],
-                    )
+                    g, a = _rarest(own, limit, frequent, rank)
+                    grams.append(g), about.append(a), docs.append(np.full(len(g), key))
+                if grams:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(about))], names=["gram", "doc", "about"])
 
     return run
 
 
 def _meetings(limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts, for rows sorted by n-gram and size, the meetings of each pair whose sizes allow the limit."""
+    """The pairs that meet, for rows sorted by n-gram and size, and that the bounds of their block allow."""
+    apart = (1 - limit) / (1 + limit)  # the share of both sizes that may lie outside the overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
 
-        def pairs(gram: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def pairs(gram: np.ndarray, doc: np.ndarray, about: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(gram), bool)  # the same text from two tasks
             new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-            gram, doc, n = gram[new], doc[new], n[new]
+            gram, doc, about = gram[new], doc[new], about[new]
             alone = np.ones(len(gram), bool)
             alone[:-1] &= gram[1:] != gram[:-1]
             alone[1:] &= gram[1:] != gram[:-1]
-            gram, doc, n = gram[~alone], doc[~alone], n[~alone]
-            left, right, sizes, held, lag = [], [], [], 0, 1
+            gram, doc, about = gram[~alone], doc[~alone], about[~alone]
+            n, bits = about >> BITS, about & ((1 << BITS) - 1)
+            left, right, held, lag = [], [], 0, 1
             live = np.arange(len(gram))
             while len(live):
                 live = live[live + lag < len(gram)]
                 live = live[gram[live] == gram[live + lag]]
-                live = live[n[live] >= limit * n[live + lag] - 1e-9]  # sorted by size: the first that is too large ends it
-                a, b = doc[live], doc[live + lag]
+                live = live[(n[live] >= limit * n[live + lag] - 1e-9) | (n[live + lag] >= MOST)]  # sorted by size: the first that is too large ends it
+                near = live[(np.bitwise_count(bits[live] ^ bits[live + lag]) <= apart * (n[live] + n[live + lag]) + 1e-9) | (n[live + lag] >= MOST)]
+                a, b = doc[near], doc[near + lag]
                 left.append(np.where(a < b, a, b))
                 right.append(np.where(a < b, b, a))
-                sizes.append(np.maximum(1, n[live] // MEETINGS))  # the smaller set asks for fewer
-                held += len(live)
+                held += len(near)
                 lag += 1
                 if held > 1_000_000:
-                    yield table(left, right, sizes)
-                    left, right, sizes, held = [], [], [], 0
+                    yield table(left, right)
+                    left, right, held = [], [], 0
             if held:
-                yield table(left, right, sizes)
+                yield table(left, right)
 
-        def table(left: list, right: list, least: list) -> pa.RecordBatch:
-            a, b, m = np.concatenate(left), np.concatenate(right), np.concatenate(least)
+        def table(left: list, right: list) -> pa.RecordBatch:
+            a, b = np.concatenate(left), np.concatenate(right)
             order = np.lexsort((b, a))
-            a, b, m = a[order], b[order], m[order]
+            a, b = a[order], b[order]
             at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(m[at].astype(np.int32)), pa.array(np.diff(np.append(at, len(a))).astype(np.int32))], names=["doc_a", "doc_b", "least", "met"])
+            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], names=["doc_a", "doc_b"])
 
         for batch in batches:
             columns = [np.concatenate((r, batch.column(i).to_numpy(zero_copy_only=False))) for i, r in enumerate(rest)]
@@ -161,6 +192,29 @@ def _meetings(limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def _allowed(limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs (doc_a, doc_b, n_a, n_b, bits_a, bits_b) that sizes and bitmaps of the whole sets allow."""
+    apart = (1 - limit) / (1 + limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            a, b = (batch.column(i).to_pylist() for i in (4, 5))
+            sizes = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+            differ = np.zeros(len(na), np.int64)
+            for la, lb in np.unique(sizes, axis=0).tolist():
+                rows = np.flatnonzero((sizes[:, 0] == la) & (sizes[:, 1] == lb))
+                x, y = (np.frombuffer(b"".join([own[i] for i in rows.tolist()]), np.uint8).reshape(len(rows), -1) for own in (a, b))
+                while x.shape[1] != y.shape[1]:
+                    half = max(x.shape[1], y.shape[1]) // 2
+                    x, y = (v[:, :half] ^ v[:, half:] if v.shape[1] > half else v for v in (x, y))
+                differ[rows] = np.bitwise_count(x ^ y).sum(1)
+            near = (differ <= apart * (na + nb) + 1e-9) & (np.minimum(na, nb) >= limit * np.maximum(na, nb) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["doc_a", "doc_b"]).filter(pa.array(near))
+
+    return run
+
+
 def _similarity(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(doc_a, doc_b, similarity) of the two texts in each row, over all of their n-grams."""
 
@@ -192,20 +246,25 @@ def similar_classes(df: DataFrame, key: str, text: str, width: int = 5, limit: f
     """
     spark = df.sparkSession
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("body")).where(F.col("id").isNotNull())
-    signed = cut(texts.mapInArrow(_signatures(width), "kind tinyint, a long, b long, n int"))
+    signed = cut(texts.mapInArrow(_signatures(width), "kind tinyint, a long, b long, n int, bits binary"))
     members = signed.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.struct("n", "b")).alias("doc"), F.min("n").alias("n"))
     top = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("texts")).where(f"texts >= {2 * LOCAL_LEAST}").orderBy(F.desc("texts"), "a").limit(FREQUENT).toPandas()
     order = np.argsort(top["a"].to_numpy(np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast((top["a"].to_numpy(np.int64).view(np.uint64)[order], top["texts"].to_numpy(np.int64)[order]))  # at most FREQUENT entries
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _first_blocks(width, limit, *frequent.value)(batches)
-
-    incidence = texts.mapInArrow(blocks, "gram long, doc long, n int").repartition("gram").sortWithinPartitions("gram", "n", "doc")
-    met = incidence.mapInArrow(_meetings(limit), "doc_a long, doc_b long, least int, met int").groupBy("doc_a", "doc_b").agg(F.min("least").alias("least"), F.sum("met").alias("met"))
-    near = cut(met.where("met >= least").select("doc_a", "doc_b"))
+        return _incidence(width, limit, *frequent.value)(batches)
+
+    incidence = texts.mapInArrow(blocks, "gram long, doc long, about long").repartition("gram").sortWithinPartitions("gram", "about", "doc")
+    met = incidence.mapInArrow(_meetings(limit), "doc_a long, doc_b long").distinct()
+    signature = signed.where("kind = 0 and n > 0").select(F.col("b").alias("doc"), "n", "bits").dropDuplicates(["doc"])
+    sides = [signature.select(F.col("doc").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
+    both = met.join(sides[0], "doc_a").join(sides[1], "doc_b").select("doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b")
+    near = cut(both.mapInArrow(_allowed(limit), "doc_a long, doc_b long"))
     ends = near.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct()
     one = members.join(ends, "doc", "left_semi").groupBy("doc").agg(F.min("id").alias("id"))
+    if ends.count() <= FEW:  # 16 bytes each; beyond that the texts are shuffled to them
+        one = F.broadcast(one)
     bodies = texts.join(one, "id").groupBy("doc").agg(F.first("body").alias("body"))
     both = near.join(bodies.select(F.col("doc").alias("doc_a"), F.col("body").alias("text_a")), "doc_a").join(bodies.select(F.col("doc").alias("doc_b"), F.col("body").alias("text_b")), "doc_b")
     links = both.select("doc_a", "doc_b", "text_a", "text_b").mapInArrow(_similarity(width), "doc_a long, doc_b long, similarity double").where(F.col("similarity") >= limit - 1e-12)
