@@ -76,8 +76,8 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and INVERSE**i for i < n, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        _powers[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64)))) for b in (BASE, INVERSE)]
+        size = max(n, 1 << 16)
+        _powers[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64)))) for b in (BASE, INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 
 
