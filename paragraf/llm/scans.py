@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paragraf.session import cut
+
 #: What is read, and what stood there.
 CONFUSED = [
     ("0", "o"), ("1", "l"), ("|", "l"), ("ı", "i"), ("ri", "n"), ("cl", "d"), ("y", "v"), ("@", "a"), ("5", "s"), ("f", "t"), ("f", "ř"), ("lc", "k"), ("ii", "u"), ("rn", "m"), ("b", "h"),
@@ -118,7 +120,7 @@ def odd(c: Column) -> Column:
 
 def misread(text_lines: DataFrame) -> DataFrame:
     """(key, n, word, right) for each misread word of running text, on the line where the misread character stands."""
-    found = words(text_lines)
+    found = cut(words(text_lines))
     counted = found.groupBy("word").agg(F.count("*").alias("times"))
     fixed = corrections(counted).select("word", "right")
     strange = found.join(fixed, "word", "left").where(F.col("right").isNotNull() | odd(F.col("word")))
@@ -134,7 +136,7 @@ def noise(df: DataFrame, key: str, text: str, title: str | None = None) -> DataF
 
     Null and empty texts, and structured ones, have none. Rows that repeat a key count once, with the greatest text.
     """
-    classified = lines(files(df, key, text, title))
+    classified = cut(lines(files(df, key, text, title)))  # read by each kind of noise
     edges = classified.where("kind in ('header', 'pageno')").select("key", F.col("n").alias("line_no"), "kind")
     text_lines = running(classified)
     broken = text_lines.where("hyphen").select("key", F.col("n").alias("line_no"), F.lit("hyphen").alias("kind"))
@@ -145,7 +147,7 @@ def noise(df: DataFrame, key: str, text: str, title: str | None = None) -> DataF
 def repaired(df: DataFrame, key: str, text: str, title: str | None = None) -> DataFrame:
     """(key, text): scanned texts in whole paragraphs without their noise; structured texts as they are."""
     texts = files(df, key, text, title)
-    classified = lines(texts)
+    classified = cut(lines(texts))
     text_lines = running(classified)
     fixed = misread(text_lines).where("right is not null").select("key", "n", F.struct("word", "right").alias("fix")).groupBy("key", "n").agg(F.collect_set("fix").alias("fixes"))
     found = words(text_lines)
