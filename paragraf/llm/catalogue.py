@@ -56,7 +56,28 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_lines(bodies, repeated_lines.repeated_lines(bodies)).withColumnRenamed("id", "decision_id")
 
 
-@query("p3_found")
+_W = r"[^ \t\n\r\x{A0}]"
+
+
+def _inside(p: str) -> str:
+    """Does the place lie inside a run of non-white characters that could be kept whole?"""
+    left = f"length(regexp_extract(substr(body, greatest({p} - 2400, 0) + 1, least({p}, 2400)), '{_W}*$'))"
+    right = f"length(regexp_extract(substr(body, {p} + 1, 2400), '^{_W}*'))"
+    return f"({p} > 0 AND {p} < length(body) AND {left} > 0 AND {right} > 0 AND {left} + {right} <= 2400)"
+
+
+P3_SQL = f"""
+WITH body AS (SELECT decision_id, any_value(body) AS body FROM decision_text WHERE body IS NOT NULL GROUP BY 1),
+piece AS (SELECT DISTINCT decision_id, ord, char_start AS s, char_end AS e FROM decision_chunk),
+p AS (SELECT *, max(ord) OVER (PARTITION BY decision_id) AS top, lag(e) OVER w AS before_end, lag(ord) OVER w AS before_ord FROM piece WINDOW w AS (PARTITION BY decision_id ORDER BY ord))
+SELECT DISTINCT decision_id, ord FROM p JOIN body USING (decision_id)
+WHERE e - s > 2400 OR s >= e OR e > length(body) OR {_inside("s")} OR {_inside("e")}
+OR (ord = 0 AND regexp_matches(substr(body, 1, s), '{_W}')) OR (ord = top AND regexp_matches(substr(body, e + 1), '{_W}'))
+OR (ord > 0 AND before_ord = ord - 1 AND NOT before_end - s BETWEEN 80 AND 240)
+"""
+
+
+@query("p3_found", P3_SQL)
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.invalid_pieces(table(spark, d, "decision_text"), "decision_id", "body", table(spark, d, "decision_chunk"), "decision_id").withColumnRenamed("id", "decision_id")
 
@@ -66,7 +87,17 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "decision_text"), "decision_id", "body").withColumnRenamed("id", "decision_id")
 
 
-@query("p6_found")
+P6_SQL = r"""
+WITH body AS (SELECT decision_id, any_value(body) AS body FROM decision_text WHERE body IS NOT NULL GROUP BY 1),
+word AS (SELECT decision_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM body),
+gram AS (SELECT decision_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM word WHERE len(w) >= 3),
+n AS (SELECT decision_id, count(*) AS n FROM gram GROUP BY 1),
+met AS (SELECT a.decision_id AS id_a, b.decision_id AS id_b, count(*) AS met FROM gram a JOIN gram b ON a.g = b.g AND a.decision_id < b.decision_id GROUP BY 1, 2)
+SELECT id_a, id_b FROM met JOIN n AS x ON x.decision_id = id_a JOIN n AS y ON y.decision_id = id_b WHERE met >= 0.75 * (x.n + y.n - met)
+"""
+
+
+@query("p6_found", P6_SQL)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, d, "decision_text"), "decision_id", "body", 3, 0.75)
 
