@@ -48,7 +48,8 @@ def lines(texts: DataFrame) -> DataFrame:
     """(key, n, raw, s, kind) of every line of scanned files: kind blank, pageno, header or text.
 
     A page number stands alone on its line. A number that answers a line ending in a colon is text. A running head
-    carries a page number, or it equals the title or a head of the same file up to misread characters, or recurs in it.
+    carries a page number or is set in capitals, or it equals the title or a head of the same file up to case and misread
+    characters, or recurs in it.
     """
     rows = texts.where("scanned").select("key", "title", F.posexplode(F.split("text", "\n", -1)).alias("n", "raw"))
     rows = rows.withColumn("s", F.trim(F.col("raw"), F.lit(_BLANK)))
@@ -59,8 +60,10 @@ def lines(texts: DataFrame) -> DataFrame:
     head = F.regexp_replace("s", f" \\| (?:{_MARK})$|^[0-9lIıoO]{{1,4}} {{3,}}| {{3,}}[0-9lIıoO]{{1,4}}$", "")
     rows = rows.withColumn("pageno", number & ~answer).withColumn("marked", marked).withColumn("head", F.when(marked, head).otherwise(F.col("s")))
     again = F.col("s").rlike("^[\\p{Lu}\\p{N}].{11,}[^.:;,?!\\-]$") & ~F.col("pageno") & ~F.col("marked")
-    recurring = rows.where(again).groupBy("key", "head").agg(F.count("*").alias("times")).where("times > 1").select("key", "head")
-    known = rows.where("marked").select("key", "head").unionByName(texts.where("scanned and length(title) >= 8").select("key", F.col("title").alias("head"))).unionByName(recurring)
+    capitals = (F.col("s") == F.upper("s")) & F.col("s").rlike("\\p{Lu}{2}.*\\p{Lu}.*\\p{Lu}.*\\p{Lu}.*\\p{Lu}.*\\p{Lu}") & ~F.col("s").rlike("[.!?;,]$")
+    rows = rows.withColumn("marked", F.col("marked") | capitals).withColumn("head", F.lower("head"))
+    recurring = rows.where(again).groupBy("key", "head").agg(F.count("*").alias("times")).where("times > 2 or (times > 1 and head rlike '[0-9–]')").select("key", "head")
+    known = rows.where("marked").select("key", "head").unionByName(texts.where("scanned and length(title) >= 8").select("key", F.lower("title").alias("head"))).unionByName(recurring)
     known = known.where("length(head) >= 5").groupBy("key").agg(F.collect_set("head").alias("heads"))  # as many as the file has pages
     near = F.exists("heads", lambda h: (F.abs(F.length(h) - F.length("head")) <= 4) & (F.levenshtein(h, F.col("head")) <= F.greatest(F.lit(2), F.floor(F.length(h) * 0.12))))
     same = (F.length("s") >= 5) & F.coalesce(near, F.lit(False))
