@@ -18,8 +18,10 @@ DOT = MASKED[0]
 BLANK = " \t\n\r\u00a0" + SOFT
 _B = "[ \\t\\u00a0" + SOFT + "]"
 
-#: Characters by which a full line of a hard-wrapped text may fall short of the longest: a long word didn't fit.
+#: Characters by which a full line of a hard-wrapped text may fall short of the usual one: a long word didn't fit.
 MARGIN = 25
+#: A shorter line is a heading or the end of a paragraph.
+SHORT = 30
 #: Abbreviations that always belong to what follows them.
 LEADING = (
     "Ing JUDr PhDr MUDr RNDr Mgr Bc doc prof Doc Prof Dr Mr Mrs Ms Mme MM St č čl Čl sp zn odst písm ust násl srov Srov např Např napr Napr resp tj tzv tzn mj cca kap roč "
@@ -62,25 +64,27 @@ def _mask_inside(s: Column) -> Column:
 
 
 def _lines(t: Column) -> Column:
-    """The text, and its lines if it is hard-wrapped: a line breaks amid a sentence and none is longer than a wrapped one."""
+    """The text, and its lines if it is hard-wrapped: a line breaks amid a sentence."""
     t = F.when(t.rlike("[\uf8d0-\uf8ff]"), F.translate(t, SOFT + EDGE + CUT + MASKED, "\ufffd" * (3 + len(MASKED)))).otherwise(t)
-    wrapped = ~t.rlike("[^\\n]{121}") & t.rlike("[^\\n]{30}[^\\n.!?;:…]\\n\\p{Ll}[^)]")
+    wrapped = t.rlike("(?<=[^\\s.!?;:…])\\n\\p{Ll}[^)]")
     return F.struct(t.alias("t"), F.when(wrapped, F.split(t, "\n", -1)).alias("lines"))
 
 
 def _width(s: Column) -> Column:
-    return F.struct(s["t"].alias("t"), s["lines"].alias("lines"), F.array_max(F.transform(s["lines"], lambda x: F.length(x))).alias("width"))
+    """The median length of the lines that may be full."""
+    long = F.array_sort(F.filter(F.transform(s["lines"], lambda x: F.length(x)), lambda n: n >= SHORT))
+    return F.struct(s["t"].alias("t"), s["lines"].alias("lines"), F.coalesce(F.try_element_at(long, F.floor(F.size(long) / 2 + 1).cast("int")), F.lit(SHORT)).alias("width"))
 
 
 def _soften(s: Column) -> Column:
-    """Line breaks of hard-wrapped texts that stand for a space: those after a line that is nearly as long as the longest."""
+    """Line breaks of hard-wrapped texts that stand for a space: those after a line that is nearly as long as usual."""
     lines, width = s["lines"], s["width"]
 
     def joined(line: Column, i: Column) -> Column:
         after = F.coalesce(F.try_element_at(lines, (i + 2).cast("int")), F.lit(""))
         blank = after.rlike("^\\s*$")
         mark = after.rlike("^\\s*(?:[a-z]\\)|\\(\\d+\\)|[-•*–] |#)")
-        full = (F.length(line) >= width - MARGIN) & (F.length(line) >= 30) & ~blank & ~(mark & ~line.rlike("(?:písm|odst|let|lit)\\.$"))
+        full = (F.length(line) >= F.greatest(width - MARGIN, F.lit(SHORT))) & ~blank & ~(mark & ~line.rlike("(?:písm|odst|let|lit)\\.$"))
         return F.concat(line, F.when(i + 1 == F.size(lines), F.lit("")).when(full, F.lit(SOFT)).otherwise(F.lit("\n")))
 
     return F.when(lines.isNotNull(), F.array_join(F.transform(lines, joined), "")).otherwise(s["t"])
