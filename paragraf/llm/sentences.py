@@ -34,6 +34,10 @@ _D = "[." + DOT + "]"
 _NO_WORD = "(?<![\\p{L}\\p{M}\\p{N}." + DOT + "])"
 
 
+#: What may start a sentence in scripts with blanks between words.
+STARTS = "[\\p{Lu}\\p{Lt}\\p{Lo}\\p{N}„“«\"(\\[§‚‘¿¡]"
+
+
 def _dots() -> str:
     """One pattern for the dots of decimals, dates, addresses, list marks, abbreviations, initials and ordinals."""
     after = [
@@ -53,7 +57,8 @@ def _dots() -> str:
         f"(?<=(?<![\\p{{L}}\\p{{N}}])\\d{{1,2}}\\.)(?={_B}{{0,3}}(?:\\d|(?:{MONTHS})(?!\\p{{L}})))",
         f"(?<=[ .{DOT}]\\p{{L}}{{1,2}}\\.)(?={_B}\\()",  # a short form before a bracket goes on
     ]
-    return "(?m)\\.(?:" + "|".join(after) + ")"
+    # the first costs little; the others matter only before what may start a sentence
+    return f"(?m)\\.(?:{after[0]}|(?=[\\s\\u00a0{SOFT}]+{STARTS})(?:" + "|".join(after[1:]) + "))"
 
 
 def _mask_inside(s: Column) -> Column:
@@ -65,8 +70,8 @@ def _mask_inside(s: Column) -> Column:
 
 def _lines(t: Column) -> Column:
     """The text, and its lines if it is hard-wrapped: a line breaks amid a sentence."""
-    t = F.when(t.rlike("[\uf8d0-\uf8ff]"), F.translate(t, SOFT + EDGE + CUT + MASKED, "\ufffd" * (3 + len(MASKED)))).otherwise(t)
-    wrapped = t.rlike("(?<=[^\\s.!?;:…])\\n\\p{Ll}[^)]")
+    t = F.when(F.contains(t.cast("binary"), F.lit(b"\xef\xa3")), F.translate(t, SOFT + EDGE + CUT + MASKED, "\ufffd" * (3 + len(MASKED)))).otherwise(t)
+    wrapped = t.rlike("\\n(?<=[^\\s.!?;:…]\\n)\\p{Ll}[^)]")
     return F.struct(t.alias("t"), F.when(wrapped, F.split(t, "\n", -1)).alias("lines"))
 
 
@@ -97,7 +102,7 @@ def _mask_spans(t: Column) -> Column:
     """The text with the marks inside quotations and brackets masked."""
     parts = F.split(F.regexp_replace(t, SPANS, f"{EDGE}$1{EDGE}"), EDGE, -1)
     inside = F.array_join(F.transform(parts, lambda s, i: F.when((i % 2 == 1) & s.rlike(f"[{MARKS}]"), _mask_inside(s)).otherwise(s)), "")
-    return F.when(t.rlike("[„“«「『\"(\\[（]"), inside).otherwise(t)
+    return inside
 
 
 def _mask_dots(t: Column) -> Column:
@@ -106,7 +111,7 @@ def _mask_dots(t: Column) -> Column:
 
 CLOSERS = "”“»’\"'\\)\\]"
 #: Terminators of scripts with blanks between words: closing marks go with them, a capital, number or opening mark follows.
-SPACED = f"([.!?…।؟]+(?:[ \\u00a0]?»|[{CLOSERS}])*)(?=[\\s\\u00a0{SOFT}]+(?:[\\p{{Lu}}\\p{{Lt}}\\p{{Lo}}\\p{{N}}„“«\"(\\[§‚‘¿¡]))"
+SPACED = f"([.!?…।؟]+(?:[ \\u00a0]?»|[{CLOSERS}])*)(?=[\\s\\u00a0{SOFT}]+{STARTS})"
 #: Terminators of scripts without: a quotation that ends in a full stop ends its sentence unless a particle follows.
 UNSPACED = "((?:[。．]|…+)[。！？…]*[”」』）]*(?![”」』）とって、，])|[！？]+(?![！？。”」』）])|[！？]+[”」』）]+(?=\\s|$))"
 #: In Thai a blank ends a unit unless a numeral stands beside it.
@@ -118,7 +123,8 @@ def _cut_spaced(t: Column) -> Column:
 
 
 def _cut_unspaced(t: Column) -> Column:
-    return F.when(t.rlike("[。！？]|……"), F.regexp_replace(t, UNSPACED, "$1" + CUT)).otherwise(t)
+    there = F.contains(t, F.lit("。")) | F.contains(t, F.lit("！")) | F.contains(t, F.lit("？")) | F.contains(t, F.lit("……"))
+    return F.when(there, F.regexp_replace(t, UNSPACED, "$1" + CUT)).otherwise(t)
 
 
 def _cut_thai(t: Column) -> Column:
