@@ -8,6 +8,8 @@ ranked by frequency and edit distance.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paragraf.session import cut
@@ -18,6 +20,13 @@ CONFUSED = [
     ("2", "ž"), ("é", "ě"), ("ì", "í"), ("e", "c"), ("a'", "á"), ("e'", "é"), ("i'", "í"), ("o'", "ó"), ("u'", "ú"), ("y'", "ý"), ("6", "b"), ("8", "b"), ("9", "g"), ("3", "z"), ("4", "a"),
     ("l", "i"), ("i", "l"), ("c", "e"), ("h", "b"), ("t", "f"), ("v", "y"), ("n", "ri"), ("d", "cl"), ("m", "rn"), ("k", "lc"), ("u", "ii"), ("vv", "w"), ("n", "u"), ("u", "n"), ("ě", "é"), ("í", "ì"),
 ]
+#: Marks that a reader sets behind their letter, and the combining mark of each.
+DETACHED = {"\u02c7": "\u030c", "\u02da": "\u030a", "°": "\u030a"} | {chr(c): chr(c) for c in (0x300, 0x301, 0x302, 0x303, 0x306, 0x308, 0x30A, 0x30B, 0x30C, 0x327, 0x328)}
+#: A letter and the mark behind it, as read, and the letter that stood there.
+_APART = [(letter + read, whole) for read, mark in DETACHED.items() for letter in "aAcCdDeEgGhHiIjJkKlLnNoOrRsStTuUwWyYzZ" if len(whole := unicodedata.normalize("NFC", letter + mark)) == 1]
+#: The same as a pattern, and one that finds the marks alone; any other combining mark behind a Latin letter counts as well.
+_LOOSE = "[\\p{IsLatin}&&\\p{L}][\\u0300-\\u036f]|" + "|".join(f"[{''.join(r[0] for r, _ in _APART if r[1] == m)}]{m}" for m in DETACHED if not unicodedata.combining(m))
+_MARKS = f"[\\u0300-\\u036f{''.join(m for m in DETACHED if not unicodedata.combining(m))}]"
 #: Marks at a break: hyphens, the not sign and the soft hyphen.
 BREAKS = "-‐‑¬­"
 #: A misread word's right form is so many times as frequent, and is there so often at least.
@@ -37,6 +46,17 @@ def _value(s: str) -> int:
     return sum((ord(x) % 1000) ** 5 for x in s)
 
 
+def loose(c: Column) -> Column:
+    """Does a mark stand behind its letter?"""
+    return c.rlike(_MARKS) & c.rlike(_LOOSE)
+
+
+def attached(c: Column) -> Column:
+    """The text with every detached mark put on its letter."""
+    pairs = F.array(*[F.struct(F.lit(read).alias("read"), F.lit(whole).alias("whole")) for read, whole in _APART])
+    return F.when(loose(c), F.aggregate(pairs, c, lambda a, pair: F.replace(a, pair["read"], pair["whole"]))).otherwise(c)
+
+
 def files(df: DataFrame, key: str, text: str, title: str | None = None) -> DataFrame:
     """(key, title, text, scanned): one row per key. Texts with page markers, headings or margin numbers aren't scanned."""
     rows = df.select(F.col(key).cast("string").alias("key"), (F.col(title) if title else F.lit(None)).cast("string").alias("title"), F.col(text).cast("string").alias("text"))
@@ -76,7 +96,7 @@ def running(classified: DataFrame) -> DataFrame:
     continuation, and the next line of running text."""
     own = Window.partitionBy("key").orderBy("n")
     rows = classified.where("kind = 'text'").withColumn("next", F.lead("s").over(own)).withColumn("next_n", F.lead("n").over(own))
-    rows = rows.withColumn("hyphen", F.col("s").rlike(f"\\p{{L}}[|@0-9']?[{BREAKS}]$") & F.coalesce(F.col("next").rlike("^[\\p{Ll}|@]"), F.lit(False)))
+    rows = rows.withColumn("hyphen", F.col("s").rlike(f"\\p{{L}}[|@0-9'°\u02c7\u02da\\p{{M}}]?[{BREAKS}]$") & F.coalesce(F.col("next").rlike("^[\\p{Ll}|@]"), F.lit(False)))
     return rows.withColumn("follows", F.coalesce(F.lag("hyphen").over(own), F.lit(False))).select("key", "n", "s", "hyphen", "follows", "next_n", "next")
 
 
@@ -95,7 +115,7 @@ def words(text_lines: DataFrame) -> DataFrame:
     broken = text_lines.where("hyphen").select("key", "n", F.concat(part, F.element_at(_tokens(F.col("next")), 1)).alias("word"), F.length(part).alias("cut"), "next_n")
     every = plain.unionByName(broken).withColumn("lead", F.length("word") - F.length(F.ltrim("word", F.lit(EDGES))))
     every = every.withColumn("word", F.lower(F.rtrim(F.ltrim("word", F.lit(EDGES)), F.lit(EDGES + "-"))))
-    return every.select("key", "n", "word", (F.col("cut") - F.col("lead")).alias("cut"), "next_n").where("length(word) >= 3")
+    return every.select("key", "n", "word", (F.col("cut") - F.col("lead")).alias("cut"), "next_n").where((F.length("word") >= 3) | loose(F.col("word")))
 
 
 def corrections(counted: DataFrame) -> DataFrame:
@@ -116,20 +136,24 @@ def corrections(counted: DataFrame) -> DataFrame:
 
 
 def odd(c: Column) -> Column:
-    """Does the word hold characters that no word has, as digits among letters do?"""
+    """Does the word hold characters that no word has, as digits among letters or a mark behind its letter do?"""
     plain = c.rlike("^[\\p{L}\\p{M}0-9|@'’]+$") & c.rlike("\\p{L}.*\\p{L}")
-    return plain & (c.rlike("[|@]") | c.rlike("\\p{L}'(?:\\p{L}|$)") | (c.rlike("[0-9]") & c.rlike("\\p{L}[0-9]{1,2}\\p{L}|^[0-9]\\p{L}{2,}|\\p{L}{2,}[0-9]$")))
+    return loose(c) | plain & (c.rlike("[|@]") | c.rlike("\\p{L}'(?:\\p{L}|$)") | (c.rlike("[0-9]") & c.rlike("\\p{L}[0-9]{1,2}\\p{L}|^[0-9]\\p{L}{2,}|\\p{L}{2,}[0-9]$")))
 
 
 def misread(text_lines: DataFrame) -> DataFrame:
-    """(key, n, word, right) for each misread word of running text, on the line where the misread character stands."""
-    found = cut(words(text_lines))
-    counted = found.groupBy("word").agg(F.count("*").alias("times"))
-    fixed = corrections(counted).select("word", "right")
-    strange = found.join(fixed, "word", "left").where(F.col("right").isNotNull() | odd(F.col("word")))
+    """(key, n, word, right) for each misread word of running text, on the line where the misread character stands.
+
+    Detached marks are put on their letters before words are counted and joined, so a word may have other misreadings too.
+    """
+    found = cut(words(text_lines).withColumn("whole", attached(F.col("word"))))
+    counted = found.groupBy(F.col("whole").alias("word")).agg(F.count("*").alias("times"))
+    fixed = corrections(counted).select(F.col("word").alias("whole"), "right")
+    strange = found.join(fixed, "whole", "left").where(F.col("right").isNotNull() | odd(F.col("word")))
+    strange = strange.withColumn("right", F.coalesce("right", F.when(F.col("whole") != F.col("word"), F.col("whole"))))
     # characters before the first difference from the right form, or before the first odd one
     agreed = F.aggregate(F.sequence(F.lit(1), F.length("word")), F.lit(0), lambda a, i: F.when((a == i - 1) & (F.substring("word", i, F.lit(1)) == F.substring("right", i, F.lit(1))), i).otherwise(a))
-    before = F.length(F.regexp_extract("word", "^[^0-9|@']*", 0))
+    before = F.length(F.regexp_extract("word", f"^(?:(?!{_LOOSE})[^0-9|@'])*", 0))
     at = F.when(F.col("right").isNull(), before).otherwise(agreed)
     return strange.select("key", F.when((F.col("cut") > 0) & (at >= F.col("cut")), F.col("next_n")).otherwise(F.col("n")).alias("n"), "word", "right")
 
@@ -152,7 +176,7 @@ def repaired(df: DataFrame, key: str, text: str, title: str | None = None) -> Da
     texts = files(df, key, text, title)
     classified = cut(lines(texts))
     text_lines = running(classified)
-    fixed = misread(text_lines).where("right is not null").select("key", "n", F.struct("word", "right").alias("fix")).groupBy("key", "n").agg(F.collect_set("fix").alias("fixes"))
+    fixed = misread(text_lines).where("right is not null").select("key", "n", F.struct(attached(F.col("word")).alias("word"), "right").alias("fix")).where("fix.word <> fix.right").groupBy("key", "n").agg(F.collect_set("fix").alias("fixes"))
     found = words(text_lines)
     whole = found.groupBy("word").agg(F.count("*").alias("times"))
     # a break at a hyphen of the word itself keeps it, if the corpus has the hyphenated form more often
@@ -163,7 +187,7 @@ def repaired(df: DataFrame, key: str, text: str, title: str | None = None) -> Da
     blank_before = F.max(F.when(F.col("kind") == "blank", 1)).over(Window.partitionBy("key").orderBy("n").rowsBetween(-3, -1))
     starts = classified.withColumn("gap", F.coalesce(blank_before, F.lit(0)) == 1).where("kind = 'text'").select("key", "n", "raw", "gap")
     rows = text_lines.join(starts, ["key", "n"]).join(fixed, ["key", "n"], "left").join(kept, ["key", "n"], "left")
-    mended = F.aggregate(F.coalesce("fixes", F.expr("array()").cast("array<struct<word:string,right:string>>")), F.col("s"), lambda a, f: F.regexp_replace(a, F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])\\Q"), f["word"], F.lit("\\E(?![\\p{L}\\p{N}])")), f["right"]))
+    mended = F.aggregate(F.coalesce("fixes", F.expr("array()").cast("array<struct<word:string,right:string>>")), attached(F.col("s")), lambda a, f: F.regexp_replace(a, F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])\\Q"), f["word"], F.lit("\\E(?![\\p{L}\\p{N}])")), f["right"]))
     ended = F.lag(F.col("s").rlike("[.!?…:;][”“\"')]*$")).over(Window.partitionBy("key").orderBy("n"))
     lead = F.when(F.col("follows"), "").when((F.col("gap") & F.coalesce(ended, F.lit(True))) | F.col("raw").rlike("^ {2,}\\S"), "\n\n").otherwise(" ")
     body = F.when(F.col("hyphen") & ~F.coalesce("keeps", F.lit(False)), F.regexp_replace(mended, f"[{BREAKS}]$", "")).when(F.col("hyphen"), F.regexp_replace(mended, f"[{BREAKS}]$", "-")).otherwise(mended)

@@ -132,3 +132,13 @@ def test_scans(spark):
     text = {r.key: r.text for r in scans.repaired(df, "key", "text", "title").collect()}
     assert text["c"] == clean and text["e"] == "" and "Poslední odvolací řízení před soudem." in text["a"] and "Učebnice" not in text["a"]
     assert scans.noise(df.limit(0), "key", "text", "title").count() == 0
+
+
+def test_marks_behind_their_letters(spark):
+    good = [(f"k{i}", "Zaplatil rozhodčí nález a nový důkaz podle zákona.\n") for i in range(12)]
+    hit = "Podle rozhodc\u030cí listiny\nDu°kaz provedl soud. Hodnota n° 5 je 18 °C.\nPodle c\u030c. j. 5 c\u030c-\ntenář vadc\u030c-\nnou vec\u030c odmítl"
+    df = spark.createDataFrame([("a", hit), *good, ("h", "वह निर्णय है और हिन्दी में है")], "key string, text string")
+    got = {(r.key, r.line_no, r.kind) for r in scans.noise(df, "key", "text").collect()}
+    assert got == {("a", n, "ocr") for n in (0, 1, 2, 3, 4)} | {("a", n, "hyphen") for n in (2, 3)}
+    text = {r.key: r.text for r in scans.repaired(df, "key", "text").collect()}
+    assert text["a"] == "Podle rozhodčí listiny Důkaz provedl soud. Hodnota n° 5 je 18 °C. Podle č. j. 5 čtenář vadčnou več odmítl" and text["h"] == "वह निर्णय है और हिन्दी में है"
