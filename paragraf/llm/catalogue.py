@@ -121,17 +121,23 @@ def _decoding(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return found, encodings.wrongly_decoded(entries, ["place", "uuid", "block_no", "text_no"], "text", languages)
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """The wrongly decoded texts of both tables by (place, record_key, block_no, text_no)."""
+    bodies, entries = _decoding(spark, d)
+    one = bodies.select(F.lit("body").alias("place"), F.col("decision_id").cast("string").alias("record_key"), F.lit(0).alias("block_no"), F.lit(0).alias("text_no"), "restored", "lost_lines", "chains")
+    return one.unionByName(entries.withColumnRenamed("uuid", "record_key")).where("record_key is not null")
+
+
 @query("p5_found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    bodies, entries = _decoding(spark, d)
-    one = bodies.select(F.lit("body").alias("place"), F.col("decision_id").cast("string").alias("record_key"), F.lit(0).alias("block_no"), F.lit(0).alias("text_no"))
-    return one.unionByName(entries.select("place", F.col("uuid").alias("record_key"), "block_no", "text_no")).where("record_key is not null").distinct()
+    return _placed(spark, d).select("place", "record_key", "block_no", "text_no").distinct()
 
 
 @query("p5_restored")
 def p5_restored(spark: SparkSession, d: str) -> DataFrame:
-    bodies, _ = _decoding(spark, d)
-    return bodies.dropDuplicates(["decision_id"]).select("decision_id", "restored", "lost_lines", "chains")
+    keys = ["place", "record_key", "block_no", "text_no"]
+    row = F.struct("restored", "lost_lines", "chains")
+    return _placed(spark, d).groupBy(*keys).agg(F.max(row).alias("row")).select(*keys, "row.*")
 
 
 @query("p9_found")
