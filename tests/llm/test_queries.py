@@ -32,3 +32,14 @@ def test_restored_covers_final_documents(spark, tmp_path):
         ("body", "1", 0, 0, CZECH + "\n" + CZECH, 0), ("header", "u", 1, 1, CZECH, 0), ("justification", "u", 0, 0, CZECH, 0), ("verdict", "v", 0, 0, "Rozhodnut� soudu", 1),
     ]
     assert {r[:4] for r in got} == {tuple(r) for r in __spark_entry__.queries()["p5_found"](spark, d).collect()}
+
+
+def test_what_is_frequent_in_the_field_is_judged_too(spark, tmp_path):
+    chains = [("cp1252", "utf-8"), ("cp1250", "utf-8"), ("cp1252", "cp1250"), ("cp1250", "cp852")]
+    lead = "Obyčejný úvod. " * 500  # what comes after it counts as well
+    notice = "© 2010 Všechna práva vyhrazena"
+    for k, chain in enumerate(chains):
+        bodies = [(i, f"{lead}\n{notice}\n{garble(CZECH, *chain) if i % 3 == 0 else CZECH}") for i in range(30)]
+        d = tables(spark, tmp_path / str(k), documents=DOCUMENTS, decision_text=(bodies, "decision_id long, body string"), justice_finaldoc=([], f"uuid string, header {BLOCK}, verdict {BLOCK}, justification {BLOCK}"))
+        got = {r.record_key: r.restored for r in __spark_entry__.queries()["p5_restored"](spark, d).collect()}
+        assert got == {str(i): f"{lead}\n{notice}\n{CZECH}" for i in range(0, 30, 3)}, chain
