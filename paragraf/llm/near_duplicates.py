@@ -299,27 +299,56 @@ def similar_pairs(df: DataFrame, key: str, text: str, width: int = 5, limit: flo
     return star.unionByName(within).unionByName(across).distinct()
 
 
-def groups(df: DataFrame, key: str, text: str, width: int = 5, limit: float = 0.8, rounds: int = 40) -> DataFrame:
-    """(id, group_id, links, members) for every key: groups are connected over links, group_id is the least key.
-
-    Labels travel along links and jump to the label's own label, so the rounds grow with the logarithm of a chain's
-    length; they end when no label changes.
+def _roots(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the edges (a row each), and the least end of the component that each lies in."""
+    nodes, ends = np.unique(edges, return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        least, most = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, most, least)  # old roots are hooked, so whole trees move
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def components(links: DataFrame, few: int = FEW) -> DataFrame:
+    """(doc, root) for every end of links(doc_a, doc_b): ends that are connected, however long the way, have one root.
+
+    In each round every node moves to the first of itself and its neighbours in a random order of that round, and on to
+    where that one moves; the links are then drawn between those nodes, and links within one are dropped. A node is the
+    first with probability 1/2 at most and the last in order never stays, so every round shrinks what is left, and rounds
+    grow with the logarithm of its size. They end when no link is left; `few` links or less are connected on the driver.
     """
+    spark = links.sparkSession
+    edges = cut(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).where("a <> b").distinct())
+    label = links.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct().withColumn("root", F.col("doc"))
+    turn = 0
+    while left := edges.count():
+        if left <= few:  # 16 bytes each
+            pairs = edges.toPandas().to_numpy(np.int64)
+            moved = spark.createDataFrame(pa.table(dict(zip(("node", "to"), _roots(pairs), strict=True))))
+        else:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            place = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("node"))
+            first = cut(both.groupBy("a").agg(F.min(place("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", place("a"))["node"].alias("to")))
+            moved = cut(first.join(first.select(F.col("node").alias("to"), F.col("to").alias("on")), "to").select("node", F.col("on").alias("to")))
+        label = cut(label.join(moved, F.col("root") == F.col("node"), "left").select("doc", F.coalesce("to", "root").alias("root")))
+        ends = [moved.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab"]
+        edges = cut(edges.join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct())
+        turn += 1
+    return label
+
+
+def groups(df: DataFrame, key: str, text: str, width: int = 5, limit: float = 0.8, few: int = FEW) -> DataFrame:
+    """(id, group_id, links, members) for every key: groups are connected over links, group_id is the least key."""
     members, links = similar_classes(df, key, text, width, limit)
     members = cut(members)
     links = cut(links.select("doc_a", "doc_b"))
-    nodes = members.where("n > 0").groupBy("doc").agg(F.min("id").alias("label"))
-    edges = links.select(F.col("doc_a").alias("doc"), F.col("doc_b").alias("other")).unionByName(links.select(F.col("doc_b").alias("doc"), F.col("doc_a").alias("other")))
-    label = cut(nodes.join(edges.select("doc").distinct(), "doc", "left_semi"))  # classes without a link keep their own
-    for _ in range(rounds):
-        near = edges.join(label.withColumnRenamed("doc", "other"), "other").groupBy("doc").agg(F.min("label").alias("near"))
-        step = label.join(near, "doc").select("doc", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        owner = label.join(members.select("doc", F.col("id").alias("own")), "doc").select("own", F.col("label").alias("jump"))
-        step = cut(step.join(owner, F.col("label") == F.col("own"), "left").select("doc", "was", F.least("label", F.coalesce("jump", "label")).alias("label")))
-        label = step.select("doc", "label")
-        if step.where("label < was").isEmpty():
-            break
-    degree = edges.groupBy("doc").agg(F.count("*").alias("links"))
-    out = members.join(nodes.withColumnRenamed("label", "own"), "doc", "left").join(label, "doc", "left").join(degree, "doc", "left")
-    out = out.select("id", F.coalesce("label", "own", "id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    degree = links.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("links"))
+    held = members.where("n > 0").join(components(links, few), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    least = held.groupBy("root").agg(F.min("id").alias("label"))
+    label = held.select("doc", "root").distinct().join(least, "root").select("doc", "label")
+    out = members.join(label, "doc", "left").join(degree, "doc", "left")
+    out = out.select("id", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id")).alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     return out.join(out.groupBy("group_id").agg(F.count("*").alias("members")), "group_id").select("id", "group_id", "links", "members")

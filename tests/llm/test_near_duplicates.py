@@ -59,6 +59,30 @@ def test_groups_are_components(spark):
     assert got == {i: root(i) for i in docs}
 
 
+def test_long_chains_stay_whole(spark):
+    # windows that overlap by most of their words, with the keys in random order
+    rng = random.Random(4)
+    keys = rng.sample(range(1000), 300)
+    docs = {k: " ".join(f"w{j}" for j in range(i * 5, i * 5 + 60)) for i, k in enumerate(keys)}
+    df = spark.createDataFrame(list(docs.items()), "k long, t string")
+    for few in (0, nd.FEW):
+        got = nd.groups(df, "k", "t", 3, 0.75, few=few).collect()
+        assert {(r.group_id, r.members) for r in got} == {(min(keys), 300)} and sum(r.links for r in got) == 2 * 299
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 120)] + [(500, j) for j in range(501, 560)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(70)]
+    edges = [(a, b) for a, b in edges if a != b]
+    nodes, roots = nd._roots(np.array(edges))
+    want = dict(zip(nodes.tolist(), roots.tolist()))
+    assert all(want[a] == want[b] for a, b in edges) and all(want[i] == 0 for i in range(121)) and want[559] == 500
+    links = spark.createDataFrame(edges, "doc_a long, doc_b long")
+    for few in (0, 20):
+        got = {r.doc: r.root for r in nd.components(links, few).collect()}
+        assert len(set(zip(got.values(), (want[k] for k in got)))) == len(set(got.values())) == len(set(want.values())) and set(got) == set(want)
+
+
 def test_a_large_class_is_a_star(spark):
     n = nd.EXPAND + 20
     df = spark.createDataFrame([(i, "jedna dvě tři čtyři pět") for i in range(n)] + [(n, "jedna dvě tři čtyři pět šest")], "k long, t string")
