@@ -52,8 +52,9 @@ FROM (SELECT line.decision_id, line.line, line.line_no, found.line_no IS NOT NUL
 GROUP BY decision_id""",
 )
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    bodies = _court_bodies(spark, d)
-    return repeated_lines.without_lines(bodies, repeated_lines.repeated_lines(bodies)).withColumnRenamed("id", "decision_id")
+    """All bodies; those without a court pass as they are. The SQL beside it leaves these out."""
+    found = repeated_lines.repeated_lines(_court_bodies(spark, d))
+    return repeated_lines.without_lines(repeated_lines.all_bodies(table(spark, d, "decision_text"), "decision_id", "body"), found).withColumnRenamed("id", "decision_id")
 
 
 _W = r"[^ \t\n\r\x{A0}]"

@@ -141,6 +141,11 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[first + row]), pa.array(number.astype(np.int32)), pa.array(chunk.view(np.int64)), pa.array(line.view(np.int64)), pa.array(once)], names=["id", "line_no", "chunk", "line", "once"])
 
 
+def all_bodies(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, body): one row per key of `texts`, whether or not it has a source."""
+    return texts.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("body")).where("id is not null and body is not null").dropDuplicates(["id"])
+
+
 def sourced(texts: DataFrame, key: str, text: str, sources: DataFrame, source_key: str, source: str) -> DataFrame:
     """(id, source, body): one row per key of `texts`, with the one name that `sources` has for it; keys without are left out."""
     named = sources.select(F.col(source_key).cast("long").alias("id"), source_name(F.col(source).cast("string")).alias("source")).where("id is not null and source is not null")
