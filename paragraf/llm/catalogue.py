@@ -103,6 +103,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, d, "decision_text"), "decision_id", "body", 3, 0.75)
 
 
+@query("p6_copies")
+def p6_copies(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.copies(table(spark, d, "decision_text"), "decision_id", "body").withColumnRenamed("id", "decision_id")
+
+
 @query("p6_groups")
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(table(spark, d, "decision_text"), "decision_id", "body", 3, 0.75).withColumnRenamed("id", "decision_id")

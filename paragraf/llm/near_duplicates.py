@@ -25,7 +25,7 @@ FREQUENT = 400_000
 LOCAL_LEAST = 4
 #: Entries after which a task folds its counts.
 FOLD = 3_000_000
-#: Members of one class of equal texts (or of two similar classes) that are written out as all pairs; larger ones as a star.
+#: Keys with one and the same text that are written out as all pairs; more of them as a star.
 EXPAND = 64
 #: Texts with a candidate pair that are broadcast to find their bodies.
 FEW = 500_000
@@ -271,24 +271,34 @@ def similar_classes(df: DataFrame, key: str, text: str, width: int = 5, limit: f
     return members, links
 
 
+def copies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, copy_of, keys): for each key the least key with the very same text, and the number of keys with it."""
+    texts = df.select(F.col(key).cast("long").alias("id"), F.sha2(F.col(text).cast("string"), 256).alias("hash")).where("id is not null and hash is not null")
+    texts = texts.groupBy("id").agg(F.min("hash").alias("hash"))
+    return texts.join(texts.groupBy("hash").agg(F.min("id").alias("copy_of"), F.count("*").alias("keys")), "hash").select("id", "copy_of", "keys")
+
+
 def similar_pairs(df: DataFrame, key: str, text: str, width: int = 5, limit: float = 0.8) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of keys whose texts are similar enough, each pair by itself.
 
-    Texts with equal n-gram sets form a class. Classes of up to EXPAND members are written out as all pairs; a larger one
-    as its least key with every other member, which with the members' equality says the same in linear space. Two linked
-    classes are written out when each has up to EXPAND members, else through their least keys.
+    Texts with equal n-gram sets form a class. Of a text that more than EXPAND keys have, the least key stands for the
+    others, which are paired with it alone: `copies` names them. All other pairs within a class and between linked
+    classes are written out, those of different texts with equal sets as well.
     """
     members, links = similar_classes(df, key, text, width, limit)
     members = cut(members.where("n > 0"))
     linked = links.select("doc_a", "doc_b")
-    sizes = members.groupBy("doc").agg(F.min("id").alias("least"), F.count("*").alias("size"))
-    several = sizes.where("size > 1")
-    inside = members.join(several, "doc")
-    star = inside.where(f"size > {EXPAND} and id > least").select(F.col("least").alias("id_a"), F.col("id").alias("id_b"))
-    small = inside.where(f"size <= {EXPAND}").groupBy("doc").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    within = small.select(F.explode(F.expr("flatten(transform(ids, (a, i) -> transform(slice(ids, i + 2, size(ids)), b -> struct(a as id_a, b as id_b))))")).alias("p")).select("p.*")
-
-    shown = members.join(sizes, "doc").where(f"size <= {EXPAND} or id = least").groupBy("doc").agg(F.collect_list("id").alias("ids"))
+    sizes = members.groupBy("doc").agg(F.count("*").alias("size"))
+    large = members.join(sizes.where(f"size > {EXPAND}"), "doc", "left_semi").select(F.col("id").alias(key))
+    large = cut(large)
+    if large.count() <= FEW:  # 8 bytes each; the bodies stay where they are
+        large = F.broadcast(large)
+    same = cut(copies(df.join(large, key, "left_semi"), key, text))  # the texts of large classes only
+    hidden = same.where(f"keys > {EXPAND} and id > copy_of").select("id", "copy_of")
+    star = hidden.select(F.col("copy_of").alias("id_a"), F.col("id").alias("id_b"))
+    shown = cut(members.join(hidden, "id", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    within = shown.where("size(ids) > 1").select(F.explode("ids").alias("id_a"), "ids").select("id_a", F.explode(F.filter("ids", lambda b: b > F.col("id_a"))).alias("id_b"))
+
     across = (
         linked.join(shown.select(F.col("doc").alias("doc_a"), F.col("ids").alias("ids_a")), "doc_a")
         .join(shown.select(F.col("doc").alias("doc_b"), F.col("ids").alias("ids_b")), "doc_b")

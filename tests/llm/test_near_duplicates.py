@@ -59,6 +59,16 @@ def test_groups_are_components(spark):
     assert got == {i: root(i) for i in docs}
 
 
+def test_different_texts_of_a_large_class_are_all_pairs(spark):
+    n = nd.EXPAND + 3
+    docs = {i: "jedna dvě tři čtyři pět" + "." * i for i in range(n)} | {n + i: "jedna dvě tři čtyři pět!" for i in range(n)} | {2 * n: "jedna dvě tři čtyři pět šest"}
+    df = spark.createDataFrame(list(docs.items()), "k long, t string")
+    got = {(r.id_a, r.id_b) for r in nd.similar_pairs(df, "k", "t", 3, 0.75).collect()}
+    shown = [*range(n + 1), 2 * n]
+    assert got == {(a, b) for a in shown for b in shown if a < b} | {(n, i) for i in range(n + 1, 2 * n)}
+    assert {(r.id, r.copy_of) for r in nd.copies(df, "k", "t").collect()} == {(i, n if n <= i < 2 * n else i) for i in docs}
+
+
 def test_long_chains_stay_whole(spark):
     # windows that overlap by most of their words, with the keys in random order
     rng = random.Random(4)
