@@ -2,189 +2,324 @@
 
 All payloads of a batch form one array of bytes. Bitmaps of backslash runs and quotes give the strings, those of brackets,
 colons and commas outside strings the structure, and prefix sums over the brackets the depth of every place. Sorting the
-values by depth and place puts each after the bracket that holds it, so parents follow from a running maximum; no
-character is looked at one by one. The rows that come out carry their parent's number, so any level can be joined to the
-one above it.
+tokens by record, depth and place puts each after the bracket that holds it, so parents follow from a running maximum; no
+character is looked at one by one. The same bitmaps tell whether a payload is complete JSON: what may follow what is a
+table over neighbouring tokens and the bracket around them. The rows that come out carry their parent's number, so any
+level can be joined to the one above it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 NODES = "id long, label string, node int, parent int, depth int, path string, indices array<int>, key string, pos int, kind string, value string"
 #: Bytes indexed at once; a longer single payload is taken alone.
 SLICE_BYTES = 2_000_000
+#: Bytes of paths and positions written out at once; a very deep record has far more of them than it has characters.
+WRITE_BYTES = 16_000_000
+#: Scalars other than strings.
+_SCALAR = r"^(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)$"
+_OPEN_OBJECT, _OPEN_ARRAY, _CLOSE_OBJECT, _CLOSE_ARRAY, _COLON, _COMMA, _STRING, _PLAIN = range(1, 9)
 
 
-def unwrapped(payload: str | None) -> str | None:
-    """The payload, or the JSON that it holds as a JSON string; None unless it is complete JSON."""
-    if payload is None:
-        return None
-    for _ in range(8):
-        try:
-            value = json.loads(payload)
-        except (ValueError, RecursionError):
-            return None
-        if not isinstance(value, str):
-            return payload
-        payload = value
-    return None
+def _table(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+_HEX, _AFTER_SLASH = _table("0123456789abcdefABCDEF"), _table('"\\/bfnrtu')
+_TYPES = np.zeros(256, np.int8)
+_TYPES[list(b"{[}]:,")] = (_OPEN_OBJECT, _OPEN_ARRAY, _CLOSE_OBJECT, _CLOSE_ARRAY, _COLON, _COMMA)
+
+
+def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The bytes of each span as one Arrow column of text."""
+    size = end - start
+    offsets = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data[at]))
+
+
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray, slashes: np.ndarray) -> pa.Array:
+    """What the strings between quotes say; those with escapes are read as one list. A lone surrogate is U+FFFD."""
+    escaped = slashes[end] > slashes[start]
+    plain = _gather(data, start[~escaped], end[~escaped])
+    if not escaped.any():
+        return plain
+    held = _gather(data, start[escaped], end[escaped])
+    told = json.loads('["' + '","'.join(held.to_pylist()) + '"]')
+    try:
+        told = pa.array(told, pa.large_string())
+    except UnicodeEncodeError:
+        told = pa.array([s.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for s in told], pa.large_string())
+    place = np.empty(len(start), np.int64)
+    place[~escaped], place[escaped] = np.arange(len(plain)), len(plain) + np.arange(len(told))
+    return pa.concat_arrays([plain, told]).take(pa.array(place))
 
 
 class _Index:
-    """Structure of complete JSON texts lying one after another, each followed by a line feed."""
+    """Structure of payloads lying one after another, each followed by a line feed, and which of them are complete JSON.
 
-    def __init__(self, data: np.ndarray):
-        here = np.arange(len(data))
+    starts are the payloads' first places and, last, the end of the data."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
+        size, records = len(data), len(starts) - 1
+        here = np.arange(size, dtype=np.int64)
+        self.data = data
         slash = data == 0x5C
-        plain = np.maximum.accumulate(np.where(~slash, here, -1))
-        escaped = np.zeros(len(data), bool)
-        escaped[1:] = ((here[:-1] - plain[:-1]) & 1).astype(bool)  # an odd number of backslashes stands before
+        self.slashes = np.zeros(size + 1, np.int64)
+        np.cumsum(slash, out=self.slashes[1:])
+        escaped = np.zeros(size, bool)
+        if slash.any():
+            plain = np.maximum.accumulate(np.where(~slash, here, -1))
+            escaped[1:] = ((here[:-1] - plain[:-1]) & 1).astype(bool)  # an odd number of backslashes stands before
         quote = (data == 0x22) & ~escaped
-        count = np.cumsum(quote)
-        outside = (count & 1 == 0) & ~quote
-        opens = outside & ((data == 0x7B) | (data == 0x5B))
-        closes = outside & ((data == 0x7D) | (data == 0x5D))
-        colon, comma = outside & (data == 0x3A), outside & (data == 0x2C)
+        count = np.zeros(size + 1, np.int64)
+        np.cumsum(quote, out=count[1:])
+        held = np.diff(starts)
+        odd = ((count[1:] - np.repeat(count[starts[:-1]], held)) & 1).astype(bool)  # within a string, its first quote included
+        outside = ~odd & ~quote
+        types = np.where(outside, _TYPES[data], 0)
         blank = outside & ((data == 32) | (data == 9) | (data == 10) | (data == 13))
-        other = outside & ~(opens | closes | colon | comma | blank)
-        scalar = other.copy()
-        scalar[1:] &= ~other[:-1]
-        string = quote & (count & 1 == 1)
-        token = np.flatnonzero(opens | closes | colon | comma | scalar | string)
-        depth = np.cumsum(opens.astype(np.int32) - closes.astype(np.int32))
-        follows = np.append(token[1:], len(data) - 1)
-        is_colon = colon[token]
-        key = string[token] & (colon[follows] | False)
-        value = (opens | scalar | string)[token] & ~key
-        self.at = token[value]  # where each value starts, in order
-        self.opens = opens[self.at]
-        self.array = data[self.at] == 0x5B
-        self.string = string[self.at]
-        self.level = depth[self.at] - self.opens  # brackets around it
-        # the key stands two tokens before the value
-        before = np.flatnonzero(value)
-        keyed = (before >= 2) & is_colon[np.maximum(before - 1, 0)]
-        self.key_at = np.where(keyed, token[np.maximum(before - 2, 0)], -1)
-        n = len(self.at)
-        # parents: values and brackets in order of (level, place); a bracket rules what follows it one level deeper
-        rulers = np.flatnonzero(self.opens)
-        level = np.concatenate((self.level, self.level[rulers] + 1))
+        other = outside & (types == 0) & ~blank
+        first = other.copy()
+        first[1:] &= ~other[:-1]
+        types[quote & odd] = _STRING
+        types[first] = _PLAIN
+        token = np.flatnonzero(types)
+        kind = types[token]
+        row = np.searchsorted(starts, token, "right") - 1
+        n = len(token)
+        bad = np.zeros(records, bool)
+        # strings: they end, hold no control characters, and escape only what may be escaped
+        bad |= ((count[starts[1:]] - count[starts[:-1]]) & 1).astype(bool)
+        wrong = odd & (data < 32)
+        if slash.any():
+            wrong |= odd & escaped & ~_AFTER_SLASH[data]
+            u = np.flatnonzero(odd & escaped & (data == 0x75))
+            for k in range(1, 5):
+                wrong[u[~_HEX[data[np.minimum(u + k, size - 1)]]]] = True
+        bad[np.searchsorted(starts, np.flatnonzero(wrong), "right") - 1] = True
+        # scalars are numbers or one of three words
+        quotes, stops = np.flatnonzero(quote), np.flatnonzero(~other)
+        end = token.copy()
+        is_string, is_plain = kind == _STRING, kind == _PLAIN
+        following = np.searchsorted(quotes, token[is_string]) + 1
+        end[is_string] = np.append(quotes, size)[following]
+        end[is_plain] = stops[np.searchsorted(stops, token[is_plain])]
+        said = _gather(data, token[is_plain], end[is_plain])
+        bad[row[is_plain][~np.asarray(pc.match_substring_regex(said, _SCALAR))]] = True
+        # brackets around each token; a closing bracket lies within its own
+        opens, closes = (kind == _OPEN_OBJECT) | (kind == _OPEN_ARRAY), (kind == _CLOSE_OBJECT) | (kind == _CLOSE_ARRAY)
+        depth = np.cumsum(opens.astype(np.int64) - closes)
+        bounds = np.searchsorted(token, starts)
+        before = np.append(0, depth)[bounds[:-1]]
+        level = depth - before[row] - opens + closes
+        bad[row[closes & (level < 1)]] = True
+        level = np.maximum(level, 0)
+        # the bracket that holds each token: the last one before it that opens its level
+        rulers = np.flatnonzero(opens)
+        deep = int(level.max(initial=0)) + 2
+        group = np.concatenate((row * deep + level, row[rulers] * deep + level[rulers] + 1))
         place = np.concatenate((np.arange(n), rulers))
         mark = np.concatenate((np.full(n, -1), rulers))
-        order = np.lexsort((mark < 0, place, level))
+        order = np.lexsort((mark < 0, place, group))
         filled = np.maximum.accumulate(np.where(mark[order] >= 0, np.arange(len(order)), -1))
-        ruler = np.where(filled >= 0, mark[order][np.maximum(filled, 0)], -1)
-        parent = np.full(len(order), -1)
-        parent[order] = ruler
-        self.parent = np.where(self.level == 0, -1, parent[:n])
-        # the end of strings is the next quote outside escapes, of other scalars the next place that ends them
-        quotes = np.flatnonzero(quote)
-        stops = np.flatnonzero(~other)
-        self.end = np.zeros(n, np.int64)
-        self.end[self.string] = quotes[np.searchsorted(quotes, self.at[self.string]) + 1] if self.string.any() else 0
-        rest = ~self.string & ~self.opens
-        self.end[rest] = stops[np.searchsorted(stops, self.at[rest])] if rest.any() else 0
-        self.key_end = np.full(n, -1)
-        named = self.key_at >= 0
-        self.key_end[named] = quotes[np.searchsorted(quotes, self.key_at[named]) + 1] if named.any() else 0
-
-
-def _text(raw: bytes, start: int, end: int) -> str:
-    """What the string between two quotes says."""
-    part = raw[start:end]
-    if b"\\" in part:
-        return json.loads(b'"' + part + b'"', strict=False)
-    return part.decode("utf-8", "surrogatepass")
-
-
-def _nodes(ids: list, labels: list, payloads: list[bytes]) -> pa.RecordBatch:
-    raw = b"\n".join(payloads) + b"\n"
-    data = np.frombuffer(raw, np.uint8)
-    starts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in payloads])))
-    x = _Index(data)
-    n = len(x.at)
-    row = np.searchsorted(starts, x.at, "right") - 1
-    first = np.searchsorted(row, np.arange(len(payloads)))
-    has = x.parent >= 0
-    # position among the children of the parent
-    order = np.lexsort((np.arange(n), x.parent))
+        holder = np.full(len(order), -1)
+        holder[order] = np.where(filled >= 0, mark[order][np.maximum(filled, 0)], -1)
+        ruler = np.where(level > 0, holder[:n], -1)
+        within = np.where(ruler >= 0, kind[np.maximum(ruler, 0)], 0)
+        # what may follow what
+        leads = np.zeros(n, bool)
+        leads[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+        prior = np.where(leads, 0, np.append(0, kind[:-1]))
+        in_object, in_array, alone = within == _OPEN_OBJECT, within == _OPEN_ARRAY, within == 0
+        key = is_string & in_object & ((prior == _OPEN_OBJECT) | (prior == _COMMA))
+        ended = (prior == _CLOSE_OBJECT) | (prior == _CLOSE_ARRAY) | (prior == _PLAIN) | (prior == _STRING)
+        after_key = np.append(False, key[:-1]) & ~leads
+        ended &= ~after_key
+        begins = opens | is_plain | (is_string & ~key)
+        fine = np.where(begins, (in_object & (prior == _COLON)) | (in_array & ((prior == _OPEN_ARRAY) | (prior == _COMMA))) | (alone & (prior == 0)), True)
+        fine &= np.where(kind == _COMMA, ~alone & ended, True)
+        fine &= np.where(kind == _COLON, in_object & after_key, True)
+        fine &= np.where(kind == _CLOSE_OBJECT, in_object & ((prior == _OPEN_OBJECT) | ended), True)
+        fine &= np.where(kind == _CLOSE_ARRAY, in_array & ((prior == _OPEN_ARRAY) | ended), True)
+        bad[row[~fine]] = True
+        bad |= (bounds[:-1] == bounds[1:]) | (np.append(0, depth)[bounds[1:]] != before)
+        self.complete = ~bad
+        #: Payloads that are one string, and what it says.
+        one = self.complete & (bounds[1:] - bounds[:-1] == 1)
+        lone = bounds[:-1][one]
+        self.wrapped = np.flatnonzero(one)[kind[lone] == _STRING]
+        lone = lone[kind[lone] == _STRING]
+        self.inner = _strings(data, token[lone] + 1, end[lone], self.slashes)
+        # the values of complete payloads that aren't one string, in order
+        shown = self.complete.copy()
+        shown[self.wrapped] = False
+        kept = np.flatnonzero(begins & shown[row])
+        number = np.full(n, -1)
+        number[kept] = np.arange(len(kept))
+        self.row, self.level, self.kind, self.at, self.end = row[kept], level[kept], kind[kept], token[kept], end[kept]
+        self.parent = np.where(ruler[kept] >= 0, number[np.maximum(ruler[kept], 0)], -1)
+        self.in_array = in_array[kept]
+        # a key stands two tokens before its value
+        self.keyed = in_object[kept]
+        named = np.maximum(kept - 2, 0)
+        self.key_at, self.key_end = token[named] + 1, end[named]
+
+
+def _positions(parent: np.ndarray) -> np.ndarray:
+    """The place of each value among its parent's."""
+    n = len(parent)
+    order = np.argsort(parent, kind="stable")
     new = np.ones(n, bool)
-    new[1:] = x.parent[order][1:] != x.parent[order][:-1]
-    run = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    new[1:] = parent[order][1:] != parent[order][:-1]
     pos = np.zeros(n, np.int64)
-    pos[order] = run
-    pos[~has] = 0
-    in_array = has & x.array[np.maximum(x.parent, 0)]
-    keys = [None if a < 0 else _text(raw, a + 1, b) for a, b in zip(x.key_at.tolist(), x.key_end.tolist(), strict=True)]
-    # paths and indices level by level: a level's values follow from their parents'
-    paths = np.zeros(n, np.int64)
-    names, known = ["$"], {}
-    counts = np.zeros(n, np.int64)
-    by_level = np.argsort(x.level, kind="stable")
-    bounds = np.searchsorted(x.level[by_level], np.arange(int(x.level.max(initial=0)) + 2))
-    for lo, hi in zip(bounds[1:-1], bounds[2:], strict=True):
-        for i in by_level[lo:hi].tolist():
-            step = (int(paths[x.parent[i]]), "[]" if in_array[i] else keys[i])
-            if step not in known:
-                known[step] = len(names)
-                names.append(names[step[0]] + (step[1] if in_array[i] else "." + (step[1] or "")))
-            paths[i] = known[step]
-            counts[i] = counts[x.parent[i]] + in_array[i]
-    offsets = np.concatenate(([0], np.cumsum(counts)))
-    flat = np.zeros(int(offsets[-1]), np.int32)
-    node, slot, live = np.arange(n), offsets[1:] - 1, np.arange(n)
-    while len(live):
-        here = in_array[node[live]]
-        flat[slot[live[here]]] = pos[node[live[here]]]
-        slot[live[here]] -= 1
-        node[live] = x.parent[node[live]]
-        live = live[node[live] >= 0]
-    values = [_text(raw, a + 1, b) if s else None if o else raw[a:b].decode() for a, b, s, o in zip(x.at.tolist(), x.end.tolist(), x.string.tolist(), x.opens.tolist(), strict=True)]
-    words = {"t": "boolean", "f": "boolean", "n": "null"}
-    kinds = ["string" if s else ("array" if a else "object") if o else words.get(v[0], "number") for s, o, a, v in zip(x.string.tolist(), x.opens.tolist(), x.array.tolist(), values, strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([ids[r] for r in row.tolist()], pa.int64()), pa.array([labels[r] for r in row.tolist()], pa.string()),
-            pa.array((np.arange(n) - first[row]).astype(np.int32)), pa.array(np.where(has, x.parent - first[row], -1).astype(np.int32)), pa.array(x.level.astype(np.int32)),
-            pa.array([names[p] for p in paths.tolist()], pa.string()), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
-            pa.array(keys, pa.string()), pa.array(pos.astype(np.int32)), pa.array(kinds, pa.string()), pa.array([None if k == "null" else v for k, v in zip(kinds, values, strict=True)], pa.string()),
-        ],
-        names=["id", "label", "node", "parent", "depth", "path", "indices", "key", "pos", "kind", "value"],
-    )
-
-
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, labels, payloads, held = [], [], [], 0
-        for i, label, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            inner = unwrapped(payload)
-            if inner is None:
-                continue
-            part = inner.encode("utf-8", "surrogatepass")
-            if payloads and held + len(part) > SLICE_BYTES:
-                yield _nodes(ids, labels, payloads)
-                ids, labels, payloads, held = [], [], [], 0
-            ids.append(i), labels.append(label), payloads.append(part)
-            held += len(part)
-        if payloads:
-            yield _nodes(ids, labels, payloads)
-
-
-def nodes(df: DataFrame, key: str, label: str, payload: str) -> DataFrame:
+    pos[order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    pos[parent < 0] = 0
+    return pos
+
+
+class _Paths:
+    """Paths as numbers: each is a step below another, and is spelt only where it is written out."""
+
+    def __init__(self, x: _Index, keys: pa.Array):
+        n = len(x.at)
+        coded = keys.dictionary_encode()
+        self.keys = coded.dictionary.to_pylist()
+        step = np.zeros(n, np.int64)
+        step[x.keyed] = np.asarray(coded.indices).astype(np.int64) + 1
+        self.of, self.indexed = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        above, steps, chars, levels = [np.full(1, -1)], [np.zeros(1, np.int64)], [np.ones(1, np.int64)], [np.zeros(1, np.int64)]
+        sizes = np.array([2, *(len(k) + 1 for k in self.keys)])
+        known = 1
+        by_level = np.argsort(x.level, kind="stable")
+        bounds = np.searchsorted(x.level[by_level], np.arange(int(x.level.max(initial=0)) + 2))
+        low = np.ones(1, np.int64)  # characters of the paths of the level above, which start at `base`
+        base = 0
+        for depth, (lo, hi) in enumerate(zip(bounds[1:-1].tolist(), bounds[2:].tolist(), strict=True), 1):
+            nodes = by_level[lo:hi]
+            parents = x.parent[nodes]
+            new, inverse = np.unique(self.of[parents] * len(sizes) + step[nodes], return_inverse=True)
+            self.of[nodes] = known + inverse
+            self.indexed[nodes] = self.indexed[parents] + x.in_array[nodes]
+            above.append(new // len(sizes)), steps.append(new % len(sizes))
+            low, base = low[above[-1] - base] + sizes[steps[-1]], known
+            chars.append(low), levels.append(np.full(len(new), depth))
+            known += len(new)
+        self.above, self.step, self.chars, self.depth = (np.concatenate(c) for c in (above, steps, chars, levels))
+        self._spelt = {0: "$"}
+
+    def spell(self, path: int) -> str:
+        if (told := self._spelt.get(path)) is not None:
+            return told
+        parts, p = [], path
+        while p:
+            s = int(self.step[p])
+            parts.append("." + self.keys[s - 1] if s else "[]")
+            p = int(self.above[p])
+        told = "$" + "".join(reversed(parts))
+        if len(told) < 1000:
+            self._spelt[path] = told
+        return told
+
+
+def _write(x: _Index, ids: pa.Array, labels: pa.Array, wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    n = len(x.at)
+    if not n:
+        return
+    keys = _strings(x.data, x.key_at[x.keyed], x.key_end[x.keyed], x.slashes)
+    paths, pos = _Paths(x, keys), _positions(x.parent)
+    first = np.searchsorted(x.row, np.arange(len(ids)))
+    key_no = np.cumsum(x.keyed) - 1
+    chosen = np.arange(n)
+    if wanted is not None:  # only what is asked for is spelt and written
+        longest = max(map(len, wanted), default=0)
+        there = [p for p in np.unique(paths.of).tolist() if paths.chars[p] <= longest and paths.spell(p) in wanted]
+        chosen = np.flatnonzero(np.isin(paths.of, there))
+    upto = np.cumsum(paths.chars[paths.of[chosen]] + 4 * paths.indexed[chosen])
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(WRITE_BYTES, int(upto[-1]) if len(upto) else 0, WRITE_BYTES)), [len(chosen)])))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        at = chosen[lo:hi]
+        count = paths.indexed[at]
+        offsets = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(count, out=offsets[1:])
+        flat = np.zeros(int(offsets[-1]), np.int32)
+        node, slot, live = at.copy(), offsets[1:] - 1, np.flatnonzero(count)
+        while len(live):
+            here = x.in_array[node[live]]
+            flat[slot[live[here]]] = pos[node[live[here]]]
+            slot[live[here]] -= 1
+            node[live] = x.parent[node[live]]
+            live = live[slot[live] >= offsets[live]]
+        string, plain = x.kind[at] == _STRING, x.kind[at] == _PLAIN
+        said = _strings(x.data, x.at[at][string] + 1, x.end[at][string], x.slashes)
+        bare = _gather(x.data, x.at[at][plain], x.end[at][plain])
+        lead = x.data[x.at[at]]
+        null, truth = plain & (lead == 0x6E), plain & ((lead == 0x74) | (lead == 0x66))
+        place = np.full(len(at), -1)
+        place[string], place[plain] = np.arange(len(said)), len(said) + np.arange(len(bare))
+        place[null] = -1
+        values = pa.concat_arrays([said, bare]).take(pa.array(place, mask=place < 0))
+        kinds = np.select([x.kind[at] == _OPEN_OBJECT, x.kind[at] == _OPEN_ARRAY, string, null, truth], np.arange(5), 5)
+        spelt, inverse = np.unique(paths.of[at], return_inverse=True)
+        own = pa.array(np.where(x.keyed[at], key_no[at], 0), mask=~x.keyed[at])
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids.take(pa.array(x.row[at])), labels.take(pa.array(x.row[at])), pa.array((at - first[x.row[at]]).astype(np.int32)),
+                pa.array(np.where(x.parent[at] >= 0, x.parent[at] - first[x.row[at]], -1).astype(np.int32)), pa.array(x.level[at].astype(np.int32)),
+                pa.array([paths.spell(p) for p in spelt.tolist()], pa.string()).take(pa.array(inverse)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)),
+                keys.take(own).cast(pa.string()), pa.array(pos[at].astype(np.int32)),
+                pa.array(["object", "array", "string", "null", "boolean", "number"]).take(pa.array(kinds)), values.cast(pa.string()),
+            ],
+            names=["id", "label", "node", "parent", "depth", "path", "indices", "key", "pos", "kind", "value"],
+        )
+
+
+def _indexed(ids: pa.Array, labels: pa.Array, payloads: pa.Array, wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
+    """The rows of a column of payloads; those that are strings are looked into until none is."""
+    while len(ids):
+        lines = pc.binary_join_element_wise(payloads.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+        offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+        raw = np.frombuffer(lines.buffers()[2], np.uint8)
+        deeper, row = [], 0
+        while row < len(lines):
+            end = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
+            end = min(max(end, row + 1), len(lines))
+            x = _Index(raw[offsets[row] : offsets[end]], (offsets[row : end + 1] - offsets[row]).astype(np.int64))
+            yield from _write(x, ids.slice(row, end - row), labels.slice(row, end - row), wanted)
+            deeper.append((row + x.wrapped, x.inner))
+            row = end
+        at = pa.array(np.concatenate([rows for rows, _ in deeper]))
+        ids, labels, payloads = ids.take(at), labels.take(at), pa.concat_arrays([inner for _, inner in deeper])
+
+
+def _run(wanted: frozenset[str] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _indexed(batch.column(0), batch.column(1), batch.column(2), wanted)
+
+    return run
+
+
+def nodes(df: DataFrame, key: str, label: str, payload: str, paths: list[str] | None = None) -> DataFrame:
     """One row per JSON value: its number and its parent's within the record, path, array positions, key, kind and value.
 
-    Null, empty and incomplete payloads have no rows; a payload that is a JSON string holding JSON counts as the inner
-    one. Rows delivered twice (same key, label and payload) count once. Array positions count from 0 and include nulls.
-    An object that repeats a key yields a row for each.
+    Null, empty and incomplete payloads have no rows; a payload that is a JSON string holding JSON, however often wrapped,
+    counts as the innermost one. Rows delivered twice (same key, label and payload) count once. Array positions count from
+    0 and include nulls. An object that repeats a key yields a row for each. Nesting may be as deep as it likes. With
+    `paths`, only the values at these are written out, with their numbers and positions among all.
     """
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(payload).cast("string").alias("payload"))
-    return rows.where("id is not null and payload is not null").distinct().mapInArrow(_run, NODES)
+    return rows.where("id is not null and payload is not null").distinct().mapInArrow(_run(frozenset(paths) if paths is not None else None), NODES)
 
 
 def named(c: Column) -> Column:

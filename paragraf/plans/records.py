@@ -30,23 +30,26 @@ named AS (SELECT record_id, child, CAST(item_no AS INTEGER) AS parent_no, CAST(c
 """
 
 
-def _values(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nodes(table(spark, d, "upstream_record"), "record_id", "feed", "payload")
+def _values(spark: SparkSession, d: str, paths: list[str]) -> DataFrame:
+    return nested.nodes(table(spark, d, "upstream_record"), "record_id", "feed", "payload", paths)
+
+
+CHILDREN, ITEMS = [path for _, _, path in nested.CHILD_PATHS], sorted(set(nested.ITEM_PATHS.values()))
 
 
 @query("p2_found", JSON_ROWS + "SELECT DISTINCT record_id, child, parent_no, child_no FROM named")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.children(_values(spark, d)).select("record_id", "child", "parent_no", "child_no").distinct()
+    return nested.children(_values(spark, d, CHILDREN)).select("record_id", "child", "parent_no", "child_no").distinct()
 
 
 @query("p2_children", JSON_ROWS + "SELECT DISTINCT record_id, child, parent_no, child_no, name FROM named")
 def p2_children(spark: SparkSession, d: str) -> DataFrame:
-    return nested.children(_values(spark, d)).select("record_id", "child", "parent_no", "child_no", "name").distinct()
+    return nested.children(_values(spark, d, CHILDREN)).select("record_id", "child", "parent_no", "child_no", "name").distinct()
 
 
 @query("p2_items", JSON_ROWS + "SELECT DISTINCT record_id, feed, CAST(item_no AS INTEGER) AS item_no FROM item")
 def p2_items(spark: SparkSession, d: str) -> DataFrame:
-    return nested.items(_values(spark, d)).select("record_id", "feed", "item_no").distinct()
+    return nested.items(_values(spark, d, ITEMS)).select("record_id", "feed", "item_no").distinct()
 
 
 @query(
@@ -55,5 +58,5 @@ def p2_items(spark: SparkSession, d: str) -> DataFrame:
 )
 def p2_records(spark: SparkSession, d: str) -> DataFrame:
     every = table(spark, d, "upstream_record").where("record_id is not null").select("record_id").distinct()
-    held = nested.items(_values(spark, d)).groupBy("record_id").agg(F.count_distinct("item_no").alias("items"))
+    held = nested.items(_values(spark, d, ITEMS)).groupBy("record_id").agg(F.count_distinct("item_no").alias("items"))
     return every.join(held, "record_id", "left").select("record_id", F.coalesce("items", F.lit(0)).cast("long").alias("items"))
