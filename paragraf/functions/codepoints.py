@@ -17,6 +17,16 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: The Unicode version that classes and lower case come from; it travels with the tasks.
+UNICODE = unicodedata.unidata_version
+
+
+def same_unicode(version: str) -> None:
+    """Raise where this Python's Unicode version is another than the driver's: words would differ from task to task."""
+    if unicodedata.unidata_version != version:
+        raise RuntimeError(f"Unicode {unicodedata.unidata_version} here, {version} on the driver")
+
+
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: is it a letter or digit (classes L and N), and its lower case where that is one code point."""
