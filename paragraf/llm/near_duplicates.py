@@ -4,8 +4,9 @@ The columns (n-grams) fall into BLOCKS blocks by their hash. If two rows' overla
 reaches it in at least one block: the shares can't all lie below their mean. So each block is joined by itself, with the
 rows' sizes in that block. There, two rows similar enough share one of the rarest n-grams of each, as many as the size
 leaves over; they meet at it. A pair that meets is discarded when its sizes differ too much, or when the parity bitmaps
-of its rows differ in more bits than the sizes allow n-grams to differ. What is left is counted over all columns. Every
-bound follows from sizes alone, so no pair is lost; the order of the columns only decides how much work there is.
+of its rows differ in more bits than the sizes allow n-grams to differ. For what is left the overlap is accumulated block
+by block over all columns, and a pair is discarded as soon as what it has and what is still to come can't reach the limit.
+Every bound follows from sizes alone, so no pair is lost; the order of the columns only decides how much work there is.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paragraf.functions.codepoints import mix, shingle_sets, slices
+from paragraf.functions.codepoints import UNICODE, mix, same_unicode, shingle_sets, slices
 from paragraf.session import cut
 
 #: Frequent n-grams that are known to all tasks, by falling frequency: 12 bytes each.
-FREQUENT = 400_000
+FREQUENT = 65_536
 #: A task reports the n-grams that at least so many of its texts hold.
 LOCAL_LEAST = 4
+#: An n-gram that more texts hold is split into cells of about so many rows, each pair of cells a group of its own.
+HOT = 20_000
+#: Bytes of the incidence that a task reads; rows are so wide when written.
+TASK_BYTES, ROW_BYTES = 32_000_000, 20
 #: Entries after which a task folds its counts.
 FOLD = 3_000_000
 #: Keys with one and the same text that are written out as all pairs; more of them as a star.
@@ -60,10 +65,11 @@ def _signature(grams: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _signatures(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _signatures(width: int, unicode: str = UNICODE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (0, id, fingerprint, size, bits) for the texts and (1, n-gram, 0, texts, null) for those frequent in this task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same_unicode(unicode)
         names, parts, held = ["kind", "a", "b", "n", "bits"], [], 0
         grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
@@ -101,67 +107,96 @@ def _signatures(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _rarest(grams: np.ndarray, limit: float, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rarest(grams: np.ndarray, limit: float, frequent: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the sorted n-grams of one text: the rarest of each block, so many that similar texts meet at one; with each the
-    n-grams that the text has in the block, and in the lower BITS bits their parity bitmap."""
+    n-grams that the text has in the block, and in the lower BITS bits their parity bitmap; and the texts that hold it, as
+    far as it is frequent."""
     n = len(grams)
     _, first, parity = _parity(grams)
     size = np.diff(np.append(first, n))
     weight = np.zeros(n, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-        weight = np.where(frequent[at] == grams, rank[at], 0)
+        weight = np.where(frequent[at] == grams, texts[at], 0)
     which = np.repeat(np.arange(len(first)), size)
     order = np.lexsort((weight, which))
     take = size - np.ceil(limit * size - 1e-9).astype(np.int64) + 1
     chosen = order[np.arange(n) - first[which] < take[which]]
     about = (np.minimum(size, MOST) << BITS) | parity.view(np.int64)
-    return grams[chosen], about[which[chosen]]
+    return grams[chosen], about[which[chosen]], weight[chosen]
 
 
-def _incidence(width: int, limit: float, frequent: np.ndarray, rank: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (n-gram, fingerprint, size and bits) of each different text: its rarest n-grams of each block."""
+def _cells(doc: np.ndarray, texts: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) for the rows of the incidence: a row of a hot n-gram goes to one cell for each bucket of its rows.
+
+    The texts of a hot n-gram fall into buckets of about `hot`; the cell of two buckets holds the rows of both, so every
+    pair meets in one cell. The lower two bits say on which side a row stands: 0 in a bucket's own cell, where all meet,
+    else 1 or 2, where only the sides meet. Other rows have the cell 0."""
+    row, cell = [np.flatnonzero(texts <= hot)], [np.zeros(int((texts <= hot).sum()), np.int64)]
+    for i in np.flatnonzero(texts > hot).tolist():
+        buckets = -(-int(texts[i]) // hot)
+        own = int(mix(doc[i : i + 1].view(np.uint64))[0] % np.uint64(buckets))
+        other = np.arange(buckets)
+        low, high = np.minimum(other, own), np.maximum(other, own)
+        side = np.where(other == own, 0, np.where(own < other, 1, 2))
+        row.append(np.full(buckets, i)), cell.append(((1 + high * (high + 1) // 2 + low) << 2) | side)
+    return np.concatenate(row), np.concatenate(cell)
+
+
+def _incidence(width: int, limit: float, frequent: np.ndarray, texts: np.ndarray, hot: int, unicode: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (n-gram, cell, fingerprint, size and bits) of each different text: its rarest n-grams of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same_unicode(unicode)
         seen: set[int] = set()
         for batch in batches:
             for _, _, cps, rows in slices(batch.column(1)):
-                grams, docs, about = [], [], []
+                grams, docs, about, held = [], [], [], []
                 for own in shingle_sets(cps, rows, width):
                     if len(own) == 0 or (key := _fingerprint(own)) in seen:
                         continue
                     seen.add(key)
-                    g, a = _rarest(own, limit, frequent, rank)
-                    grams.append(g), about.append(a), docs.append(np.full(len(g), key))
+                    g, a, t = _rarest(own, limit, frequent, texts)
+                    grams.append(g), about.append(a), held.append(t), docs.append(np.full(len(g), key))
                 if grams:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(about))], names=["gram", "doc", "about"])
+                    doc = np.concatenate(docs)
+                    row, cell = _cells(doc, np.concatenate(held), hot)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)[row]), pa.array(cell), pa.array(doc[row]), pa.array(np.concatenate(about)[row])], names=["gram", "cell", "doc", "about"])
 
     return run
 
 
 def _meetings(limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The pairs that meet, for rows sorted by n-gram and size, and that the bounds of their block allow."""
+    """The pairs that meet, for rows sorted by n-gram, cell and size, and that the bounds of their block allow."""
     apart = (1 - limit) / (1 + limit)  # the share of both sizes that may lie outside the overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-
-        def pairs(gram: np.ndarray, doc: np.ndarray, about: np.ndarray) -> Iterator[pa.RecordBatch]:
-            new = np.ones(len(gram), bool)  # the same text from two tasks
-            new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-            gram, doc, about = gram[new], doc[new], about[new]
-            alone = np.ones(len(gram), bool)
-            alone[:-1] &= gram[1:] != gram[:-1]
-            alone[1:] &= gram[1:] != gram[:-1]
-            gram, doc, about = gram[~alone], doc[~alone], about[~alone]
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+
+        def groups(gram: np.ndarray, cell: np.ndarray) -> np.ndarray:
+            """A number for each run of rows of one n-gram and cell."""
+            new = np.ones(len(gram), bool)
+            new[1:] = (gram[1:] != gram[:-1]) | (cell[1:] >> 2 != cell[:-1] >> 2)
+            return np.cumsum(new)
+
+        def pairs(gram: np.ndarray, cell: np.ndarray, doc: np.ndarray, about: np.ndarray) -> Iterator[pa.RecordBatch]:
+            own = groups(gram, cell)
+            new = np.ones(len(own), bool)  # the same text from two tasks
+            new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
+            own, side, doc, about = own[new], cell[new] & 3, doc[new], about[new]
+            alone = np.ones(len(own), bool)
+            alone[:-1] &= own[1:] != own[:-1]
+            alone[1:] &= own[1:] != own[:-1]
+            own, side, doc, about = own[~alone], side[~alone], doc[~alone], about[~alone]
             n, bits = about >> BITS, about & ((1 << BITS) - 1)
             left, right, held, lag = [], [], 0, 1
-            live = np.arange(len(gram))
+            live = np.arange(len(own))
             while len(live):
-                live = live[live + lag < len(gram)]
-                live = live[gram[live] == gram[live + lag]]
+                live = live[live + lag < len(own)]
+                live = live[own[live] == own[live + lag]]
                 live = live[(n[live] >= limit * n[live + lag] - 1e-9) | (n[live + lag] >= MOST)]  # sorted by size: the first that is too large ends it
                 near = live[(np.bitwise_count(bits[live] ^ bits[live + lag]) <= apart * (n[live] + n[live + lag]) + 1e-9) | (n[live + lag] >= MOST)]
+                near = near[(side[near] == 0) | (side[near] != side[near + lag])]
                 a, b = doc[near], doc[near + lag]
                 left.append(np.where(a < b, a, b))
                 right.append(np.where(a < b, b, a))
@@ -184,7 +219,8 @@ def _meetings(limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             columns = [np.concatenate((r, batch.column(i).to_numpy(zero_copy_only=False))) for i, r in enumerate(rest)]
             if not len(columns[0]):
                 continue
-            whole = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last n-gram may go on in the next batch
+            own = groups(*columns[:2])
+            whole = int(np.searchsorted(own, own[-1], "left"))  # the last group may go on in the next batch
             yield from pairs(*(c[:whole] for c in columns))
             rest = [c[whole:] for c in columns]
         yield from pairs(*rest)
@@ -215,34 +251,67 @@ def _allowed(limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _similarity(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_a, doc_b, similarity) of the two texts in each row, over all of their n-grams."""
+def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """The n-grams that each pair of sets has in common, added up block by block; -1 once a pair can't reach the limit."""
+    size = np.array([len(s) for s in sets], np.int64)
+    every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    start = np.append(0, np.cumsum(size))
+    block = _blocks(every)[0]
+    within = np.zeros((len(sets), BLOCKS), np.int64)
+    np.add.at(within, (np.repeat(np.arange(len(sets)), size), block), 1)
+    begin = start[:-1, None] + np.cumsum(within, 1) - within
+    shared, left_a, left_b = np.zeros(len(a), np.int64), size[a].copy(), size[b].copy()
+    need = np.ceil(limit / (1 + limit) * (size[a] + size[b]) - 1e-6)
+    live = np.arange(len(a))
+    for k in range(BLOCKS):
+        live = live[shared[live] + np.minimum(left_a[live], left_b[live]) >= need[live]]
+        if not len(live):
+            break
+        docs = np.concatenate((a[live], b[live]))
+        count = within[docs, k]
+        pair = np.repeat(np.tile(live, 2), count)
+        at = np.arange(int(count.sum())) + np.repeat(begin[docs, k] - np.append(0, np.cumsum(count)[:-1]), count)
+        gram = every[at]
+        order = np.lexsort((gram, pair))
+        pair, gram = pair[order], gram[order]
+        both = (pair[1:] == pair[:-1]) & (gram[1:] == gram[:-1])
+        shared += np.bincount(pair[1:][both], minlength=len(a))
+        left_a[live] -= within[a[live], k]
+        left_b[live] -= within[b[live], k]
+    out = np.full(len(a), -1, np.int64)
+    live = live[shared[live] >= need[live]]
+    out[live] = shared[live]
+    return out
+
+
+def _similarity(width: int, limit: float, unicode: str = UNICODE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_a, doc_b, similarity) of the two texts in each row, of those that reach the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same_unicode(unicode)
         for batch in batches:
-            values = np.zeros(batch.num_rows)
-            cache: dict[int, np.ndarray] = {}
-            for side in (0, 1):
-                keys = batch.column(side).to_numpy(zero_copy_only=False)
-                first = np.array([i for i, k in enumerate(keys) if k not in cache and not cache.update({k: np.zeros(0, np.uint64)})], np.int64)
-                for lo, hi, cps, rows in slices(batch.column(2 + side).take(pa.array(first))):
-                    for k, s in zip(keys[first[lo:hi]], shingle_sets(cps, rows, width), strict=True):
-                        cache[k] = s
-            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                both = len(np.intersect1d(cache[a], cache[b], assume_unique=True))
-                values[i] = both / max(1, len(cache[a]) + len(cache[b]) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["doc_a", "doc_b", "similarity"])
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            docs, first, ends = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            texts = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first))
+            sets = [s for _, _, cps, rows in slices(texts) for s in shingle_sets(cps, rows, width)]
+            a, b = ends.reshape(2, -1)
+            both = _overlaps(sets, a, b, limit)
+            size = np.array([len(s) for s in sets], np.int64)
+            near = both >= 0
+            values = both[near] / np.maximum(1, size[a[near]] + size[b[near]] - both[near])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0][near]), pa.array(keys[1][near]), pa.array(values)], names=["doc_a", "doc_b", "similarity"])
 
     return run
 
 
-def similar_classes(df: DataFrame, key: str, text: str, width: int = 5, limit: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, text: str, width: int = 5, limit: float = 0.8, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Classes of texts with equal n-gram sets, and all pairs of classes whose similarity reaches the limit.
 
     Returns (members, links): members(id, doc, n), one row per key with its class and the size of its set; links(doc_a,
     doc_b, similarity) between classes, doc_a < doc_b. The similarity is the share of the distinct runs of `width` words
     (maximal runs of letters and digits, lower-cased) of either text that both hold. Null and empty texts, and those of
-    fewer than `width` words, have n = 0 and no link. Rows that repeat a key count once; null keys are left out.
+    fewer than `width` words, have n = 0 and no link. Rows that repeat a key count once; null keys are left out. A class
+    is known by a 64-bit fingerprint; two sets that share one but differ in size or bitmap raise an error.
     """
     spark = df.sparkSession
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("body")).where(F.col("id").isNotNull())
@@ -252,12 +321,20 @@ def similar_classes(df: DataFrame, key: str, text: str, width: int = 5, limit: f
     order = np.argsort(top["a"].to_numpy(np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast((top["a"].to_numpy(np.int64).view(np.uint64)[order], top["texts"].to_numpy(np.int64)[order]))  # at most FREQUENT entries
 
+    unicode = UNICODE
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _incidence(width, limit, *frequent.value)(batches)
+        return _incidence(width, limit, *frequent.value, hot, unicode)(batches)
 
-    incidence = texts.mapInArrow(blocks, "gram long, doc long, about long").repartition("gram").sortWithinPartitions("gram", "about", "doc")
+    size = signed.where("kind = 0").agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
+    rows = size["grams"] * (1 - limit) + BLOCKS * size["texts"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows * ROW_BYTES / TASK_BYTES) + 1)  # grows with the data, so tasks don't
+    incidence = texts.mapInArrow(blocks, "gram long, cell long, doc long, about long").repartition(tasks, "gram", F.shiftright("cell", 2)).sortWithinPartitions("gram", F.shiftright("cell", 2), "about", "doc")
     met = incidence.mapInArrow(_meetings(limit), "doc_a long, doc_b long").distinct()
-    signature = signed.where("kind = 0 and n > 0").select(F.col("b").alias("doc"), "n", "bits").dropDuplicates(["doc"])
+    own = F.struct("n", "bits")
+    signature = signed.where("kind = 0 and n > 0").groupBy(F.col("b").alias("doc")).agg(F.min(own).alias("least"), F.max(own).alias("most"))
+    clash = F.raise_error(F.concat(F.lit("two sets of n-grams have the fingerprint "), F.col("doc"))).cast("boolean")
+    signature = signature.where(F.when(F.col("least") == F.col("most"), True).otherwise(clash)).select("doc", "least.n", "least.bits")
     sides = [signature.select(F.col("doc").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
     both = met.join(sides[0], "doc_a").join(sides[1], "doc_b").select("doc_a", "doc_b", "n_a", "n_b", "bits_a", "bits_b")
     near = cut(both.mapInArrow(_allowed(limit), "doc_a long, doc_b long"))
@@ -267,7 +344,7 @@ def similar_classes(df: DataFrame, key: str, text: str, width: int = 5, limit: f
         one = F.broadcast(one)
     bodies = texts.join(one, "id").groupBy("doc").agg(F.first("body").alias("body"))
     both = near.join(bodies.select(F.col("doc").alias("doc_a"), F.col("body").alias("text_a")), "doc_a").join(bodies.select(F.col("doc").alias("doc_b"), F.col("body").alias("text_b")), "doc_b")
-    links = both.select("doc_a", "doc_b", "text_a", "text_b").mapInArrow(_similarity(width), "doc_a long, doc_b long, similarity double").where(F.col("similarity") >= limit - 1e-12)
+    links = both.select("doc_a", "doc_b", "text_a", "text_b").mapInArrow(_similarity(width, limit), "doc_a long, doc_b long, similarity double").where(F.col("similarity") >= limit - 1e-12)
     return members, links
 
 
@@ -278,23 +355,24 @@ def copies(df: DataFrame, key: str, text: str) -> DataFrame:
     return texts.join(texts.groupBy("hash").agg(F.min("id").alias("copy_of"), F.count("*").alias("keys")), "hash").select("id", "copy_of", "keys")
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, width: int = 5, limit: float = 0.8) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, text: str, width: int = 5, limit: float = 0.8, expand: int | None = EXPAND, hot: int = HOT) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of keys whose texts are similar enough, each pair by itself.
 
-    Texts with equal n-gram sets form a class. Of a text that more than EXPAND keys have, the least key stands for the
-    others, which are paired with it alone: `copies` names them. All other pairs within a class and between linked
+    Texts with equal n-gram sets form a class. Of a text that more than `expand` keys have, the least key stands for the
+    others, which are paired with it alone: `copies` names them. With None, all copies are written out as pairs. All other pairs within a class and between linked
     classes are written out, those of different texts with equal sets as well.
     """
-    members, links = similar_classes(df, key, text, width, limit)
+    members, links = similar_classes(df, key, text, width, limit, hot)
+    most = (1 << 62) if expand is None else expand
     members = cut(members.where("n > 0"))
     linked = links.select("doc_a", "doc_b")
     sizes = members.groupBy("doc").agg(F.count("*").alias("size"))
-    large = members.join(sizes.where(f"size > {EXPAND}"), "doc", "left_semi").select(F.col("id").alias(key))
+    large = members.join(sizes.where(f"size > {most}"), "doc", "left_semi").select(F.col("id").alias(key))
     large = cut(large)
     if large.count() <= FEW:  # 8 bytes each; the bodies stay where they are
         large = F.broadcast(large)
     same = cut(copies(df.join(large, key, "left_semi"), key, text))  # the texts of large classes only
-    hidden = same.where(f"keys > {EXPAND} and id > copy_of").select("id", "copy_of")
+    hidden = same.where(f"keys > {most} and id > copy_of").select("id", "copy_of")
     star = hidden.select(F.col("copy_of").alias("id_a"), F.col("id").alias("id_b"))
     shown = cut(members.join(hidden, "id", "left_anti").groupBy("doc").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     within = shown.where("size(ids) > 1").select(F.explode("ids").alias("id_a"), "ids").select("id_a", F.explode(F.filter("ids", lambda b: b > F.col("id_a"))).alias("id_b"))

@@ -1,17 +1,18 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import numpy as np
-import regex
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 from paragraf.functions.codepoints import shingle_sets, slices
 from paragraf.llm import near_duplicates as nd
 
 
 def grams(t, width):
-    w = [x.lower() for x in regex.findall(r"[\p{L}\p{N}]+", t or "")]
+    w = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in t or "").lower().split(" ")
+    w = [x for x in w if x]
     return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
 
 
@@ -39,8 +40,41 @@ def test_pairs_equal_brute_force(spark):
     for seed, width, limit in ((1, 3, 0.75), (2, 5, 0.8)):
         docs = corpus(seed)
         df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs.items()] + [(3, docs[3], 1, "x"), (None, "a b c d", 1, "x")], "decision_id long, body string, id int, doc string")
-        got = {(r.id_a, r.id_b) for r in nd.similar_pairs(df, "decision_id", "body", width, limit).collect()}
-        assert got == brute(docs, width, limit) and got
+        for hot in (nd.HOT, 3):
+            got = {(r.id_a, r.id_b) for r in nd.similar_pairs(df, "decision_id", "body", width, limit, hot=hot).collect()}
+            assert got == brute(docs, width, limit) and got
+
+
+def test_every_pair_of_a_hot_gram_meets_in_one_cell():
+    doc = np.arange(50, dtype=np.int64)
+    row, cell = nd._cells(doc, np.full(50, 50), 8)
+    met = {}
+    for c in np.unique(cell >> 2).tolist():
+        mine = [(int(r), int(s) & 3) for r, s in zip(row, cell) if s >> 2 == c]
+        for i, (r, s) in enumerate(mine):
+            for q, z in mine[i + 1 :]:
+                if s == 0 or s != z:
+                    met[r, q] = met.get((r, q), 0) + 1
+    assert {tuple(sorted(k)) for k in met} == {(a, b) for a in range(50) for b in range(a + 1, 50)} and set(met.values()) == {1}
+
+
+def test_overlaps_equal_set_intersection():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(0, 300))) for _ in range(30)]
+    a, b = np.triu_indices(30, 1)
+    for limit in (0.0, 0.3, 0.75):
+        got = nd._overlaps(sets, a, b, limit)
+        for i, j, n in zip(a.tolist(), b.tolist(), got.tolist()):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            near = both >= limit / (1 + limit) * (len(sets[i]) + len(sets[j])) - 1e-6
+            assert n == (both if near else -1)
+
+
+def test_copies_may_be_written_out(spark):
+    n = nd.EXPAND + 6
+    df = spark.createDataFrame([(i, "jedna dvě tři čtyři pět") for i in range(n)], "k long, t string")
+    assert nd.similar_pairs(df, "k", "t", 3, 0.75, expand=None).count() == n * (n - 1) // 2
 
 
 def test_groups_are_components(spark):
@@ -105,7 +139,8 @@ def test_empty(spark):
     assert nd.similar_pairs(df, "k", "t").count() == 0 and nd.groups(df, "k", "t").count() == 0
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=60)
+@example(["0\U0003d0001"], 1)
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=30), min_size=1, max_size=6), st.integers(1, 3))
 def test_shingle_sets_follow_the_words(texts, width):
     import pyarrow as pa
