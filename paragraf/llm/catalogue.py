@@ -103,12 +103,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.similar_pairs(table(spark, d, "decision_text"), "decision_id", "body", 3, 0.75)
 
 
-@query("p6_copies")
+@query("p6_copies", "WITH t AS (SELECT decision_id, min(sha256(body)) AS h FROM decision_text WHERE decision_id IS NOT NULL AND body IS NOT NULL GROUP BY 1) SELECT decision_id, min(decision_id) OVER (PARTITION BY h) AS copy_of, count(*) OVER (PARTITION BY h) AS keys FROM t")
 def p6_copies(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.copies(table(spark, d, "decision_text"), "decision_id", "body").withColumnRenamed("id", "decision_id")
 
 
-@query("p6_groups")
+P6_GROUPS_SQL = P6_SQL.replace("SELECT id_a, id_b FROM met", ", pair AS (SELECT id_a, id_b FROM met").replace("WITH body", "WITH RECURSIVE body") + r"""),
+class AS (SELECT decision_id AS id, md5(string_agg(g, '|' ORDER BY g)) AS class FROM gram GROUP BY 1),
+edge AS (SELECT id_a AS a, id_b AS b FROM pair UNION SELECT id_b, id_a FROM pair),
+reach(id, other) AS (SELECT DISTINCT decision_id, decision_id FROM decision_text WHERE decision_id IS NOT NULL UNION SELECT id, b FROM reach JOIN edge ON a = other),
+own AS (SELECT id, min(other) AS group_id FROM reach GROUP BY id),
+link AS (SELECT a AS id, count(DISTINCT y.class) AS links FROM edge JOIN class AS x ON x.id = a JOIN class AS y ON y.id = b WHERE x.class <> y.class GROUP BY a)
+SELECT id AS decision_id, group_id, coalesce(links, 0) AS links, count(*) OVER (PARTITION BY group_id) AS members FROM own LEFT JOIN link USING (id)
+"""
+
+
+@query("p6_groups", P6_GROUPS_SQL)
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.groups(table(spark, d, "decision_text"), "decision_id", "body", 3, 0.75).withColumnRenamed("id", "decision_id")
 
