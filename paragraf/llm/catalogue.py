@@ -46,17 +46,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p1_clean",
-    P1_LINES
+    P1_LINES.replace("FROM body JOIN court", "FROM body LEFT JOIN court")
     + """SELECT decision_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT gone), '') AS body, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS cut
 FROM (SELECT line.decision_id, line.line, line.line_no, found.line_no IS NOT NULL AS gone FROM line LEFT JOIN found ON found.decision_id = line.decision_id AND found.line_no = line.line_no)
 GROUP BY decision_id""",
 )
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    """All bodies; those without a court pass as they are. The SQL beside it leaves these out."""
+    """All bodies; those without a court pass as they are."""
     found = repeated_lines.repeated_lines(_court_bodies(spark, d))
     return repeated_lines.without_lines(repeated_lines.all_bodies(table(spark, d, "decision_text"), "decision_id", "body"), found).withColumnRenamed("id", "decision_id")
 
 
+@query("p1_chunks")
+def p1_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines.chunk_report(_court_bodies(spark, d)).withColumnRenamed("source", "court")
+
+
 _W = r"[^ \t\n\r\x{A0}]"
 
 

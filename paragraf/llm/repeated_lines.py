@@ -8,6 +8,9 @@ them. A chunk is known by the hash at its cut. For each source and chunk the dis
 Any stretch of GRAM + WINDOW - 1 = 25 characters holds at least one cut, and the least hash of a stretch that long is
 always a cut. So a line of 25 characters or more that recurs in so many documents has, at its least hash, a chunk that
 recurs in at least as many: looking at lines with a frequent chunk only loses none. Those lines are then compared whole.
+
+The texts are read by Python twice: once for the chunks, once for the lines with a frequent chunk, which are few and are
+written down before they are counted.
 """
 
 from __future__ import annotations
@@ -19,10 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from paragraf.functions.codepoints import is_blank, lowered, mix, powers, prefix_hash, slices, span_hash
+from paragraf.session import cut
 
 GRAM, WINDOW = 8, 18
 LEAST_CHARS = GRAM + WINDOW - 1
 LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Frequent chunks, 8 bytes each, that are sent to all tasks; more of them are joined instead.
+SENT = 2_000_000
+#: Repeated lines, 8 bytes each, that are broadcast; more of them are joined with salted keys.
+FEW, SALTS = 500_000, 16
 #: Chunk counts that a task holds before it hands them on.
 FOLD = 2_000_000
 
@@ -76,40 +84,53 @@ def _sliding(values: np.ndarray, least: np.ufunc) -> np.ndarray:
     return least(out[: len(values) - WINDOW + 1], out[WINDOW - done : WINDOW - done + len(values) - WINDOW + 1]) if done < WINDOW else out
 
 
-def _chunk_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk of a source, documents of this task with it) for rows (id, source hash, text); one row per document."""
-    parts, held = [], 0
-
-    def counted() -> pa.RecordBatch:
-        every = np.sort(np.concatenate(parts))
-        at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        return pa.RecordBatch.from_arrays([pa.array(every[at].view(np.int64)), pa.array(np.diff(np.append(at, len(every))))], names=["chunk", "docs"])
-
-    for batch in batches:
-        source = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for first, _, cps, rows in slices(batch.column(2)):
-            stream = _Stream(cps, rows)
-            cuts = stream.cuts()
-            begin = stream.before[rows] + np.arange(len(rows)) * stream.pad
-            row = np.searchsorted(begin, cuts, "right") - 1
-            key = mix(stream.hash[cuts] ^ source[first + row])
-            order = np.lexsort((key, row))
-            key, row = key[order], row[order]
-            once = np.ones(len(key), bool)
-            once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-            parts.append(key[once])
-            held += int(once.sum())
-            if held > FOLD:
-                yield counted()
-                parts, held = [], 0
-    if held:
-        yield counted()
-
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_counts(named: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(chunk of a source, documents of this task with it) for rows (id, source hash, text), one row per document; with the
+    source's hash where `named`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, sources, held = [], [], 0
+
+        def counted() -> pa.RecordBatch:
+            every = np.concatenate(parts)
+            order = np.argsort(every) if named else None
+            every = every[order] if named else np.sort(every)
+            at = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            columns = [pa.array(every[at].view(np.int64)), pa.array(np.diff(np.append(at, len(every))))]
+            if named:
+                columns.append(pa.array(np.concatenate(sources)[order][at].view(np.int64)))
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "docs", "source"][: len(columns)])
+
+        for batch in batches:
+            source = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for first, _, cps, rows in slices(batch.column(2)):
+                stream = _Stream(cps, rows)
+                cuts = stream.cuts()
+                begin = stream.before[rows] + np.arange(len(rows)) * stream.pad
+                row = np.searchsorted(begin, cuts, "right") - 1
+                key = mix(stream.hash[cuts] ^ source[first + row])
+                order = np.lexsort((key, row))
+                key, row = key[order], row[order]
+                once = np.ones(len(key), bool)
+                once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                parts.append(key[once])
+                if named:
+                    sources.append(source[first + row[once]])
+                held += int(once.sum())
+                if held > FOLD:
+                    yield counted()
+                    parts, sources, held = [], [], 0
+        if held:
+            yield counted()
+
+    return run
+
+
+def _lines(batches: Iterator[pa.RecordBatch], frequent: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """(id, line_no, chunk, line, once) for each line long enough: its chunk of least hash, and the hash of the whole line.
 
-    once is 1 for the first of a document's lines that are the same, so that its sum counts documents."""
+    once is 1 for the first of a document's lines that are the same, so that its sum counts documents. Where the frequent
+    chunks are given, in order, only lines with one of them come out."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         source = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -138,6 +159,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((line, row))
             once = np.ones(len(line), np.int32)
             once[order[1:]] = ((line[order][1:] != line[order][:-1]) | (row[order][1:] != row[order][:-1])).astype(np.int32)
+            if frequent is not None:
+                kept = frequent[np.minimum(np.searchsorted(frequent, chunk), len(frequent) - 1)] == chunk if len(frequent) else np.zeros(len(chunk), bool)
+                row, number, chunk, line, once = row[kept], number[kept], chunk[kept], line[kept], once[kept]
             yield pa.RecordBatch.from_arrays([pa.array(ids[first + row]), pa.array(number.astype(np.int32)), pa.array(chunk.view(np.int64)), pa.array(line.view(np.int64)), pa.array(once)], names=["id", "line_no", "chunk", "line", "once"])
 
 
@@ -161,10 +185,23 @@ def repeated_lines(bodies: DataFrame, least_docs: int = 10) -> DataFrame:
     0-9 and in lower case; shorter ones than LEAST_CHARS such characters are no case. Null and empty texts have none.
     """
     rows = bodies.select("id", F.xxhash64("source").alias("source"), "body")
-    chunks = rows.mapInArrow(_chunk_counts, "chunk long, docs long").groupBy("chunk").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("chunk")
-    lines = rows.mapInArrow(_lines, "id long, line_no int, chunk long, line long, once int").join(chunks, "chunk", "left_semi")
-    often = lines.groupBy("line").agg(F.sum("once").alias("docs")).where(F.col("docs") >= least_docs).select("line")
-    return lines.join(often, "line", "left_semi").select("id", "line_no")
+    chunks = cut(rows.mapInArrow(_chunk_counts(), "chunk long, docs long").groupBy("chunk").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("chunk"))
+    schema = "id long, line_no int, chunk long, line long, once int"
+    if chunks.count() <= SENT:
+        sent = rows.sparkSession.sparkContext.broadcast(np.sort(chunks.toPandas()["chunk"].to_numpy(np.int64).view(np.uint64)))  # at most SENT entries
+        lines = rows.mapInArrow(lambda batches: _lines(batches, sent.value), schema)
+    else:
+        lines = _among(rows.mapInArrow(_lines, schema), chunks, "chunk")
+    lines = cut(lines.select("id", "line_no", "line", "once"))
+    often = cut(lines.groupBy("line").agg(F.sum("once").alias("docs")).where(F.col("docs") >= least_docs).select("line"))
+    return (lines.join(F.broadcast(often), "line", "left_semi") if often.count() <= FEW else _among(lines, often, "line")).select("id", "line_no")
+
+
+def _among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the keys; rows of one key are spread over SALTS places, so none gathers in one task."""
+    salted = rows.withColumn("_salt", F.pmod(F.col("id"), F.lit(SALTS)))
+    every = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return salted.join(every, [key, "_salt"], "left_semi").drop("_salt")
 
 
 def without_lines(bodies: DataFrame, found: DataFrame) -> DataFrame:
@@ -175,7 +212,10 @@ def without_lines(bodies: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def chunk_report(bodies: DataFrame, least_docs: int = 10) -> DataFrame:
-    """(source, chunks, docs) per source: its chunks that recur in least_docs documents or more, and the most documents of one."""
+    """(source, chunk, docs): the chunks that recur in least_docs documents of their source or more, and in how many.
+
+    A chunk is the GRAM kept characters at a cut, in lower case without white space and digits."""
     rows = bodies.select("id", F.xxhash64("source").alias("source"), "body")
-    often = rows.mapInArrow(_chunk_counts, "chunk long, docs long").groupBy("chunk").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    return often.agg(F.count("*").alias("chunks"), F.max("docs").alias("docs"))
+    named = bodies.select(F.xxhash64("source").alias("hash"), "source").distinct()
+    chunks = rows.mapInArrow(_chunk_counts(True), "chunk long, docs long, source long")
+    return chunks.groupBy("source", "chunk").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).withColumnRenamed("source", "hash").join(named, "hash").select("source", "chunk", "docs")

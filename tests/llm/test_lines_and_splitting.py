@@ -56,6 +56,17 @@ def test_clean_and_empty(spark):
     assert none.count() == 0
 
 
+def test_many_chunks_and_lines_are_joined_instead(spark, monkeypatch):
+    docs = [(i, "Soud A", f"vlastní text číslo {i} a něco\nspolečný dlouhý řádek pro všechny dokumenty\n{'další shodný řádek ve všech rozhodnutích' if i % 2 else 'jiný'}") for i in range(12)]
+    want = brute_lines(docs, 6)
+    monkeypatch.setattr(rl, "SENT", -1)
+    monkeypatch.setattr(rl, "FEW", -1)
+    bodies, found = run(spark, docs, 6)
+    assert {(r.id, r.line_no) for r in found.collect()} == want and len(want) == 18
+    report = rl.chunk_report(bodies, 6).collect()
+    assert {r.source for r in report} == {"soud a"} and {6, 12} <= {r.docs for r in report}
+
+
 def inside(t, p):
     if not 0 < p < len(t) or t[p - 1] in BLANK or t[p] in BLANK:
         return False

@@ -52,15 +52,3 @@ def test_clean_keeps_bodies_without_a_court(spark, tmp_path):
     d = tables(spark, tmp_path, decision_text=(bodies, "decision_id long, body string"), decision=(courts, "id long, court string"))
     got = sorted(tuple(r) for r in __spark_entry__.queries()["p1_clean"](spark, d).collect())
     assert got == [(i, f"vlastní {i}", 1) for i in range(10)] + [(10, f"bez soudu\n{line}", 0), (11, line, 0)]
-
-
-def test_clean_differs_from_its_sql_by_bodies_without_a_court_only(spark):
-    import duckdb
-
-    small, c = "/root/testdata/sf0.001", duckdb.connect()
-    for name in ("decision", "decision_text"):
-        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{small}/{name}.parquet'")
-    told = {r[0]: tuple(r) for r in c.sql(__spark_entry__.oracle_sql()["p1_clean"]).fetchall()}
-    bodies = dict(c.sql("SELECT decision_id, any_value(body) FROM decision_text WHERE body IS NOT NULL GROUP BY 1").fetchall())
-    got = {r.decision_id: (r.decision_id, r.body, r.cut) for r in __spark_entry__.queries()["p1_clean"](spark, small).collect()}
-    assert got == {i: told.get(i, (i, body, 0)) for i, body in bodies.items()}
