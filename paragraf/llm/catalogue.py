@@ -190,6 +190,14 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(_filled(spark, d))
 
 
+@query(
+    "p7_cover",
+    "WITH s AS (SELECT DISTINCT container, capacity, doc_id, strlen(text) + 1 AS size FROM documents, container_kind WHERE text IS NOT NULL) SELECT container, count(DISTINCT doc_id) AS docs, CAST(sum(size) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS overfull, count(*) FILTER (size > capacity) AS parted, TRUE AS tight FROM s GROUP BY container",
+)
+def p7_cover(spark: SparkSession, d: str) -> DataFrame:
+    return packing.cover(_filled(spark, d), table(spark, d, "container_kind"))
+
+
 P8_SIZES = """
 WITH own AS (
   SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(strlen(d.text) + 1) FILTER (WHERE d.text IS NOT NULL), 0) AS own
@@ -197,24 +205,33 @@ WITH own AS (
 """
 
 
+def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = mixing.wanted(table(spark, d, "mix_target"))
+    return targets, mixing.sized(table(spark, d, "documents"), "doc_id", "text", "source", targets)
+
+
 @query("p8_found", P8_SIZES + "SELECT source FROM own WHERE target_share * (SELECT sum(own) FROM own) > max_repeats * own")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    targets = mixing.wanted(table(spark, d, "mix_target"))
-    documents = mixing.sized(table(spark, d, "documents"), "doc_id", "text", "source", targets)
-    _, shares = mixing.mix(documents, targets)
-    return shares.where("not reachable").select("source")
+    targets, documents = _sources(spark, d)
+    return mixing.solve(mixing.counted(documents), targets).where("not reachable").select("source")
 
 
 @query("p8_selection")
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
-    targets = mixing.wanted(table(spark, d, "mix_target"))
-    return mixing.mix(mixing.sized(table(spark, d, "documents"), "doc_id", "text", "source", targets), targets)[0].withColumnRenamed("doc", "doc_id")
+    targets, documents = _sources(spark, d)
+    return mixing.mix(documents, targets)[0].withColumnRenamed("doc", "doc_id")
 
 
 @query("p8_shares")
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    targets = mixing.wanted(table(spark, d, "mix_target"))
-    return mixing.mix(mixing.sized(table(spark, d, "documents"), "doc_id", "text", "source", targets), targets)[1]
+    targets, documents = _sources(spark, d)
+    return mixing.mix(documents, targets)[1]
+
+
+@query("p8_kept", P8_SIZES + "SELECT source, target_share * (SELECT sum(own) FROM own) <= max_repeats * own AS reachable, TRUE AS kept FROM own")
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    targets, documents = _sources(spark, d)
+    return mixing.kept(mixing.mix(documents, targets)[1], 0.05)
 
 
 @query("p4_found")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paragraf.llm.packing import size_in_tokens
 from paragraf.session import cut
@@ -20,6 +20,8 @@ from paragraf.session import cut
 STEPS, CLOSE = 60, 1e-9
 #: Documents of one source whose rates are rounded together.
 ROUNDED = 2_000
+#: Sources to be mixed, a table of settings; more of them raise an error.
+MOST_SOURCES = 100_000
 #: So far may v * size run for the mean size: the bracket that the steps stay in.
 FAR = 50.0
 
@@ -42,67 +44,88 @@ def wanted(targets: DataFrame) -> DataFrame:
     return rows.groupBy("source").agg(F.max("share").alias("share"), F.max("repeats").alias("repeats"))
 
 
-def budgets(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, share, repeats, own, goal, reachable): own and target tokens of each source of targets.
+def solve(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, share, repeats, own, docs, goal, reachable, tilt, residual), one row for each source of targets.
 
-    The targets are shares of all tokens of all these sources, each document once. A source is reachable if its target
-    is at most its own tokens times its repeats; one without documents has none.
+    sizes(source, size, docs) counts the documents of each size. The first step evaluates the dual where it ends, at full
+    tilt, where each rate is as high as it may be: a source whose tokens stay below its target even there has a dual
+    without an optimum, and is not reachable. For the others Newton steps find the tilt per token, all sources in one job
+    each, the sources' state being a small table joined to the sizes; the residual is the distance to the goal as a share
+    of it. If one is still above CLOSE after STEPS steps, an error is raised.
     """
-    own = documents.groupBy("source").agg(F.sum("size").alias("own"), F.count("*").alias("docs"))
-    rows = targets.join(own, "source", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    total = documents.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
-    one = int(total.first()[0])
-    return rows.withColumn("goal", F.col("share") * F.lit(float(one))).withColumn("reachable", F.col("goal") <= F.col("repeats") * F.col("own"))
-
-
-def solve(documents: DataFrame, budget: list[Row]) -> dict[str, float]:
-    """The dual variable of each reachable source, per mean size: Newton steps, all sources in one job each."""
-    sizes = cut(documents.groupBy("source", "size").agg(F.count("*").alias("docs")))
-    state = {}
-    for r in budget:
-        if r.reachable and r.own and r.goal > 0:
-            state[r.source] = {"v": 0.0, "lo": -FAR, "hi": FAR, "goal": float(r.goal), "repeats": float(r.repeats), "done": False}
-    means = {r.source: float(r.mean) for r in sizes.groupBy("source").agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("mean")).collect()}
-    for _ in range(STEPS):
+    spark = sizes.sparkSession
+    size, docs = F.col("size").cast("double"), F.col("docs").cast("double")
+    own = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("own"), F.sum("docs").alias("docs"))
+    rows = targets.join(own, "source", "left").select("source", "share", "repeats", F.coalesce("own", F.lit(0)).cast("long").alias("own"), F.coalesce("docs", F.lit(0)).cast("long").alias("docs"))
+    rows = rows.limit(MOST_SOURCES + 1).collect()  # a table of settings
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources to mix")
+    total = sum(r.own for r in rows)
+    state = {r.source: {"v": FAR, "lo": -FAR, "hi": FAR, "goal": r.share * total, "repeats": float(r.repeats), "mean": r.own / max(1, r.docs), "residual": None, "reachable": True, "done": False} for r in rows}
+    for step in range(STEPS + 1):
         live = {k: x for k, x in state.items() if not x["done"]}
         if not live:
             break
-        v = F.create_map(*[F.lit(y) for k, x in live.items() for y in (k, x["v"] / means[k])])[F.col("source")]
-        top = F.create_map(*[F.lit(y) for k, x in live.items() for y in (k, x["repeats"])])[F.col("source")]
-        rate = F.least(top, F.exp(F.least(F.lit(700.0), v * F.col("size"))))
-        free = F.when(rate < top, rate).otherwise(0.0)
-        sums = sizes.where(F.col("source").isin(list(live))).groupBy("source").agg(F.sum(F.col("docs") * F.col("size") * rate).alias("tokens"), F.sum(F.col("docs") * F.col("size") * F.col("size") * free).alias("slope")).collect()
-        for r in sums:
-            x = state[r.source]
-            gap = r.tokens - x["goal"]
-            if abs(gap) <= CLOSE * x["goal"] or x["hi"] - x["lo"] < 1e-13:
+        # the first step is taken at full tilt, where every rate is at its bound
+        now = spark.createDataFrame([(k, x["v"] / x["mean"] if x["mean"] and step else math.inf, x["repeats"]) for k, x in live.items()], "source string, v double, top double")
+        each = sizes.join(F.broadcast(now), "source")  # at most MOST_SOURCES rows
+        rate = F.when(F.col("v") == math.inf, F.col("top")).otherwise(F.least("top", F.exp(F.least(F.lit(700.0), F.col("v") * size))))
+        free = F.when(rate < F.col("top"), rate).otherwise(0.0)
+        sums = {r.source: r for r in each.groupBy("source").agg(F.sum(docs * size * rate).alias("tokens"), F.sum(docs * size * size * free).alias("slope")).collect()}
+        for k, x in live.items():
+            tokens = sums[k].tokens if k in sums else 0.0
+            gap = tokens - x["goal"]
+            if step == 0:
+                x["reachable"] = gap >= -CLOSE * x["goal"]
+                x["done"] = not x["reachable"] or x["goal"] <= 0 or gap <= CLOSE * x["goal"]
+                x["v"] = x["v"] if x["done"] else 0.0
+                continue
+            x["residual"] = abs(gap) / x["goal"]
+            if x["residual"] <= CLOSE:
                 x["done"] = True
                 continue
             x["hi" if gap > 0 else "lo"] = x["v"]
-            slope = r.slope / means[r.source]
-            step = x["v"] - gap / slope if slope > 0 else math.inf
-            x["v"] = step if x["lo"] < step < x["hi"] else (x["lo"] + x["hi"]) / 2  # a step that leaves the bracket halves it
-    return {k: x["v"] / means[k] for k, x in state.items()}
+            slope = sums[k].slope / x["mean"]
+            newton = x["v"] - gap / slope if slope > 0 else math.inf
+            x["v"] = newton if x["lo"] < newton < x["hi"] else (x["lo"] + x["hi"]) / 2  # a step that leaves the bracket halves it
+    left = {k: x["residual"] for k, x in state.items() if not x["done"]}
+    if left:
+        raise ArithmeticError(f"no tilt found for {sorted(left.items())[:5]} after {STEPS} steps")
+    out = [(r.source, float(r.share), int(r.repeats), r.own, r.docs, float(state[r.source]["goal"]), state[r.source]["reachable"], state[r.source]["v"] / state[r.source]["mean"] if state[r.source]["mean"] else 0.0, state[r.source]["residual"]) for r in rows]
+    return spark.createDataFrame(out, "source string, share double, repeats int, own long, docs long, goal double, reachable boolean, tilt double, residual double")
+
+
+def counted(documents: DataFrame) -> DataFrame:
+    """(source, size, docs): how many documents of each size a source has."""
+    return cut(documents.groupBy("source", "size").agg(F.count("*").alias("docs")))
 
 
-def mix(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, budget: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, shares): (doc, source, size, rate, copies) of all documents, and what each source reaches.
 
-    Copies never exceed the repeats. An unreachable source uses each of its documents as often as it may.
+    The targets are shares of all tokens of all these sources, each document once. Copies never exceed the repeats. An
+    unreachable source uses each of its documents as often as it may; one without documents has none.
     """
-    budget = budgets(documents, targets)
-    rows = budget.orderBy("source").limit(100_000).collect()  # one row per source to be mixed, a table of settings
-    tilt = solve(documents, rows)
-    settings = documents.sparkSession.createDataFrame([(r.source, float(r.repeats), tilt.get(r.source), bool(r.reachable), float(r.goal), -(-(r.docs or 1) // ROUNDED)) for r in rows], "source string, repeats double, tilt double, reachable boolean, goal double, salts long")
-    each = documents.join(F.broadcast(settings), "source")  # as many rows as the settings have
-    rate = F.when(~F.col("reachable"), F.col("repeats")).when(F.col("goal") <= 0, F.lit(0.0)).otherwise(F.least("repeats", F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size")))))
+    documents = cut(documents)
+    budget = solve(counted(documents), targets) if budget is None else budget
+    settings = budget.select("source", F.col("repeats").cast("double").alias("most"), "tilt", "reachable", "goal", F.greatest(F.lit(1), F.ceil(F.col("docs") / ROUNDED)).alias("salts"))
+    each = documents.join(F.broadcast(settings), "source")  # at most MOST_SOURCES rows
+    rate = F.when(~F.col("reachable"), F.col("most")).when(F.col("goal") <= 0, F.lit(0.0)).otherwise(F.least("most", F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size")))))
     # rates are summed by falling size within hashed groups of a source, and each document gets the whole numbers it passes
     each = each.withColumn("rate", rate.cast("double")).withColumn("salt", F.expr("pmod(xxhash64(doc), salts)"))
     upto = F.sum("rate").over(Window.partitionBy("source", "salt").orderBy(F.desc("size"), "doc").rowsBetween(Window.unboundedPreceding, 0))
     each = each.withColumn("upto", upto + 0.5)
-    copies = F.least(F.floor(F.col("upto") + 1e-9) - F.floor(F.col("upto") - F.col("rate") + 1e-9), F.col("repeats").cast("long"))
+    copies = F.least(F.floor(F.col("upto") + 1e-9) - F.floor(F.col("upto") - F.col("rate") + 1e-9), F.col("most").cast("long"))
     selection = each.withColumn("copies", copies.cast("int")).select("doc", "source", "size", "rate", "copies")
     got = selection.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("tokens"), F.sum("copies").alias("copies"))
-    total = got.agg(F.sum("tokens")).first()[0] or 1
-    shares = budget.join(got, "source", "left").select("source", "share", "repeats", "own", "goal", "reachable", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("copies", F.lit(0)).alias("copies"), (F.coalesce("tokens", F.lit(0)) / F.lit(float(total))).alias("reached"))
+    total = Window.partitionBy(F.lit(0))  # one row for each source
+    tokens = F.coalesce("tokens", F.lit(0))
+    shares = budget.join(got, "source", "left").select("source", "share", "repeats", "own", "goal", "reachable", "residual", tokens.alias("tokens"), F.coalesce("copies", F.lit(0)).alias("copies"), (tokens / F.greatest(F.lit(1), F.sum(tokens).over(total))).alias("reached"))
     return selection, shares
+
+
+def kept(shares: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(source, reachable, kept): does each source's selection hold its target's tokens up to the tolerance, or, where it
+    can't be reached, all it has as often as it may?"""
+    wanted_tokens = F.when(F.col("reachable"), F.col("goal")).otherwise(F.col("own") * F.col("repeats"))
+    return shares.select("source", "reachable", (F.abs(F.col("tokens") - wanted_tokens) <= tolerance * wanted_tokens).alias("kept"))

@@ -65,6 +65,30 @@ def test_differencing_packs_all(spark):
     assert packing.fill(docs.limit(0), "doc", "text", kinds).count() == 0
 
 
+def test_many_kinds_and_tiny_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(40)], "doc long, text string")
+    kinds = spark.createDataFrame([(f"k{i}", 5 + i) for i in range(1001)], "container string, capacity int")
+    filled = packing.fill(docs, "doc", "text", kinds)
+    assert filled.select("container").distinct().count() == 1001
+    got = {r.container: r for r in packing.cover(filled, kinds, 0.5).collect()}
+    assert all(r.docs == 40 and r.tokens == 155 and r.overfull == 0 for r in got.values()) and got["k0"].parted == 10
+    tiny = np.ones(200_000, np.int64)
+    window = packing.pack(tiny, 65_536)
+    assert np.bincount(window).max() <= 65_536 and len(np.unique(window)) <= 4
+
+
+def test_an_unsolved_source_is_an_error(spark, monkeypatch):
+    import pytest
+
+    docs = spark.createDataFrame([(i, "x" * (10 + i), "ab"[i % 2]) for i in range(200)], "doc long, text string, source string")
+    targets = mixing.wanted(spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 2)], "source string, target_share double, max_repeats int"))
+    documents = mixing.sized(docs, "doc", "text", "source", targets)
+    assert max(r.residual for r in mixing.solve(mixing.counted(documents), targets).collect()) <= mixing.CLOSE
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(ArithmeticError):
+        mixing.solve(mixing.counted(documents), targets)
+
+
 def test_mix_reaches_targets(spark):
     rng = random.Random(2)
     docs = [(i, "x" * rng.randint(10, 400), rng.choice(["a", " A", "b", "c", None])) for i in range(4000)] + [(9000, None, "a"), (9001, "", "b")]
