@@ -93,6 +93,21 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "decision_text"), "decision_id", "body").withColumnRenamed("id", "decision_id")
 
 
+@query("p3_cover", rf"SELECT decision_id, TRUE AS covered, TRUE AS bounded, TRUE AS overlapping FROM (SELECT decision_id, any_value(body) AS body FROM decision_text WHERE decision_id IS NOT NULL AND body IS NOT NULL GROUP BY 1) WHERE regexp_matches(body, '{_W}')")
+def p3_cover(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "decision_text")
+    return splitting.cover(texts, "decision_id", "body", splitting.pieces(texts, "decision_id", "body")).withColumnRenamed("id", "decision_id")
+
+
+@query(
+    "p3_long",
+    "SELECT decision_id, length(body) > 2400 AS parted FROM (SELECT decision_id, any_value(trim(body, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS body FROM decision_text WHERE decision_id IS NOT NULL AND body IS NOT NULL GROUP BY 1) WHERE body <> ''",
+)
+def p3_long(spark: SparkSession, d: str) -> DataFrame:
+    cut = splitting.pieces(table(spark, d, "decision_text"), "decision_id", "body").groupBy("id").agg(F.count("*").alias("n"))
+    return cut.select(F.col("id").alias("decision_id"), (F.col("n") > 1).alias("parted"))
+
+
 P6_SQL = r"""
 WITH body AS (SELECT decision_id, any_value(body) AS body FROM decision_text WHERE body IS NOT NULL GROUP BY 1),
 word AS (SELECT decision_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM body),

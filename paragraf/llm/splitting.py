@@ -153,6 +153,22 @@ def pieces(df: DataFrame, key: str, text: str, most: int = MOST, least_overlap:
     return rows.mapInArrow(_pieces(most, least_overlap, most_overlap), "id long, ord int, char_start int, char_end int")
 
 
+def cover(texts: DataFrame, key: str, text: str, cut: DataFrame, most: int = MOST, least_overlap: int = LEAST_OVERLAP, most_overlap: int = MOST_OVERLAP) -> DataFrame:
+    """(id, covered, bounded, overlapping) of each text that isn't blank, told from its pieces (id, ord, char_start, char_end)
+    alone: they hold all that isn't white space, none is too long, and consecutive ones share as much as they must."""
+    rows = texts.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("body")).where("id is not null and body is not null").dropDuplicates(["id"])
+    blank = "[ \\t\\n\\r\\u00a0]"
+    ink = rows.select("id", F.length("body").alias("chars"), F.length(F.regexp_extract("body", f"^{blank}*", 0)).alias("first"), F.length(F.regexp_extract("body", f"{blank}*$", 0)).alias("last")).where("first < chars")
+    held = cut.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ord", "char_start", "char_end"))).alias("p"))
+    steps = F.transform(F.slice("p", F.lit(2), F.greatest(F.lit(0), F.size("p") - 1)), lambda x, i: F.get("p", i)["char_end"] - x["char_start"])
+    whole = (F.get("p", F.lit(0))["char_start"] <= F.col("first")) & (F.element_at("p", -1)["char_end"] >= F.col("chars") - F.col("last")) & F.forall(steps, lambda s: s >= 0)
+    rows = ink.join(held, "id", "left").select(
+        "id", F.coalesce(whole, F.lit(False)).alias("covered"), F.coalesce(F.forall("p", lambda x: (x["char_end"] > x["char_start"]) & (x["char_end"] - x["char_start"] <= most)), F.lit(False)).alias("bounded"),
+        F.coalesce(F.forall(steps, lambda s: s.between(least_overlap, most_overlap)), F.lit(False)).alias("overlapping"),
+    )
+    return rows
+
+
 def _faults(most: int, least_overlap: int, most_overlap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(id, ord) of the stored pieces [(ord, start, end)] of each text that are no valid pieces."""
 
