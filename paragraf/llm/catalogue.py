@@ -186,6 +186,12 @@ def p9_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"), "doc_id", "text")
 
 
+@query("p9_cover", rf"SELECT doc_id, TRUE AS apart, TRUE AS whole FROM documents WHERE regexp_matches(text, '{_W}')")
+def p9_cover(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "documents")
+    return sentences.cover(sentences.sentence_units(texts, "doc_id", "text"), texts, "doc_id", "text")
+
+
 def _filled(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "container_kind"))
 

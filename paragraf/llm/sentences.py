@@ -131,7 +131,8 @@ def _cut_thai(t: Column) -> Column:
     return F.when(t.rlike("[\\u0e01-\\u0e5b]"), F.regexp_replace(t, THAI, "$1" + CUT)).otherwise(t)
 
 
-#: Lengths are summed in groups of so many units, so long texts need no sum over all units before each.
+#: Lengths are summed in groups of so many units, and these in groups of so many again: a place is a sum of at most so many
+#: of each kind, and the work grows with the units for texts of up to GROUP**3 of them.
 GROUP = 64
 
 
@@ -139,19 +140,31 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0), lambda x, y: x + y)
 
 
+def _sums(a: Column) -> Column:
+    """The sums of GROUP entries each."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / GROUP).cast("int")), lambda g: _total(F.slice(a, g * GROUP + 1, F.lit(GROUP))))
+
+
 def _lengths(t: Column) -> Column:
     parts = F.split(t, CUT, -1)
     return F.struct(parts.alias("parts"), F.transform(parts, lambda p: F.length(p)).alias("lengths"))
 
 
 def _groups(s: Column) -> Column:
-    of = F.transform(F.sequence(F.lit(0), F.floor((F.size(s["parts"]) - 1) / GROUP).cast("int")), lambda g: _total(F.slice(s["lengths"], g * GROUP + 1, F.lit(GROUP))))
-    return F.struct(s["parts"].alias("parts"), s["lengths"].alias("lengths"), of.alias("groups"))
+    return F.struct(s["parts"].alias("parts"), s["lengths"].alias("lengths"), _sums(s["lengths"]).alias("groups"))
+
+
+def _heads(s: Column) -> Column:
+    return F.struct(s["parts"].alias("parts"), s["lengths"].alias("lengths"), s["groups"].alias("groups"), _sums(s["groups"]).alias("heads"))
 
 
 def _offsets(s: Column) -> Column:
-    """For each part where it starts: sums of whole groups before it and of the parts of its own group."""
-    before = lambda i: _total(F.slice(s["groups"], F.lit(1), F.floor(i / GROUP).cast("int"))) + _total(F.slice(s["lengths"], (F.floor(i / GROUP) * GROUP + 1).cast("int"), (i % GROUP).cast("int")))
+    """For each part where it starts: sums of whole groups of groups, of groups, and of the parts of its own group before it."""
+
+    def before(i: Column) -> Column:
+        group, head = F.floor(i / GROUP).cast("int"), F.floor(i / GROUP**2).cast("int")
+        return _total(F.slice(s["heads"], F.lit(1), head)) + _total(F.slice(s["groups"], head * GROUP + 1, group - head * GROUP)) + _total(F.slice(s["lengths"], group * GROUP + 1, (i % GROUP).cast("int")))
+
     return F.transform(s["parts"], lambda p, i: F.struct(p.alias("part"), before(i).alias("at")))
 
 
@@ -161,14 +174,25 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
     Offsets are code points from 0; units don't overlap and hold all characters that aren't white space. Null, empty and
     blank texts have none. Repeated rows yield repeated units. No language column is read: scripts tell themselves.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("whole")).where(F.col("whole").isNotNull() & (F.col("whole") != ""))
-    rows = rows.withColumn("t", F.col("whole"))
-    for step in (_lines, _width, _soften, _mask_spans, _mask_dots, _cut_spaced, _cut_unspaced, _cut_thai, _lengths, _groups, _offsets):
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
+    # only a text that itself holds one of the private characters goes along whole; others come back from their parts
+    rows = rows.withColumn("whole", F.when(F.contains(F.col("t").cast("binary"), F.lit(b"\xef\xa3")), F.col("t")))
+    for step in (_lines, _width, _soften, _mask_spans, _mask_dots, _cut_spaced, _cut_unspaced, _cut_thai, _lengths, _groups, _heads, _offsets):
         # exploding an array of one keeps the optimizer from writing the step out wherever the next one names its result
         rows = rows.select("key", "whole", F.explode(F.array(step(F.col("t")))).alias("t"))
     units = rows.select("key", "whole", F.posexplode("t").alias("unit_no", "u"))
     left = F.ltrim(F.col("u.part"), F.lit(BLANK))
     start = F.col("u.at") + F.length("u.part") - F.length(left)
-    end = start + F.length(F.rtrim(left, F.lit(BLANK)))
-    units = units.select(F.col("key").alias(key), "unit_no", start.alias("char_start"), end.alias("char_end"), "whole").where("char_end > char_start")
-    return units.select(key, "unit_no", "char_start", "char_end", F.substring(F.col("whole"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")).alias("text"))
+    units = units.select(F.col("key").alias(key), "unit_no", start.alias("char_start"), F.rtrim(left, F.lit(BLANK)).alias("part"), "whole").withColumn("char_end", F.col("char_start") + F.length("part")).where("part <> ''")
+    told = F.when(F.col("whole").isNotNull(), F.substring(F.col("whole"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).otherwise(F.translate("part", MASKED + SOFT, MARKS + "\n"))
+    return units.select(key, "unit_no", "char_start", "char_end", told.alias("text"))
+
+
+def cover(units: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, apart, whole) of each text that isn't blank, told from its units alone: they don't overlap, and put together
+    they are the text without the white space."""
+    rows = df.select(key, F.regexp_replace(F.col(text).cast("string"), "[ \\t\\n\\r\\u00a0]", "").alias("ink")).where("ink <> ''")
+    held = units.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "text"))).alias("u"))
+    steps = F.transform(F.slice("u", F.lit(2), F.greatest(F.lit(0), F.size("u") - 1)), lambda x, i: F.get("u", i)["char_end"] <= x["char_start"])
+    told = F.regexp_replace(F.array_join(F.transform("u", lambda x: x["text"]), ""), "[ \\t\\n\\r\\u00a0]", "")
+    return rows.join(held, key, "left").select(key, F.coalesce(F.forall(steps, lambda x: x), F.lit(False)).alias("apart"), F.coalesce(told == F.col("ink"), F.lit(False)).alias("whole"))

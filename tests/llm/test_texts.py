@@ -139,8 +139,9 @@ def test_sentences(spark):
 
 
 def test_long_text_offsets(spark):
-    t = " ".join(f"Věta číslo {i}." for i in range(500))
-    assert units(spark, t)[0] == [f"Věta číslo {i}." for i in range(500)]
+    t = " ".join(f"Věta číslo {i}." for i in range(9000))
+    private = "Znak \uf8d8 a \uf8d2 je tu. " + t
+    assert units(spark, t, private) == [[f"Věta číslo {i}." for i in range(9000)], ["Znak \uf8d8 a \uf8d2 je tu.", *(f"Věta číslo {i}." for i in range(9000))]]
 
 
 def test_scans(spark):
