@@ -29,6 +29,10 @@ _LOOSE = "[\\p{IsLatin}&&\\p{L}][\\u0300-\\u036f]|" + "|".join(f"[{''.join(r[0]
 _MARKS = f"[\\u0300-\\u036f{''.join(m for m in DETACHED if not unicodedata.combining(m))}]"
 #: Marks at a break: hyphens, the not sign and the soft hyphen.
 BREAKS = "-‐‑¬­"
+#: The share of marked lines from which on a text is a structured one.
+STRUCTURED = 0.1
+#: Misread words that are broadcast to the words of the texts; more of them are joined by shuffling.
+FEW = 300_000
 #: A misread word's right form is so many times as frequent, and is there so often at least.
 RATIO, LEAST = 12, 6
 EDGES = ".,;:()„“”\"[]!?…–—/»«*^"
@@ -58,10 +62,13 @@ def attached(c: Column) -> Column:
 
 
 def files(df: DataFrame, key: str, text: str, title: str | None = None) -> DataFrame:
-    """(key, title, text, scanned): one row per key. Texts with page markers, headings or margin numbers aren't scanned."""
+    """(key, title, text, scanned): one row per key. Texts of whose lines that aren't blank STRUCTURED or more are page
+    markers, headings or margin numbers aren't scanned; a single such line declares nothing."""
     rows = df.select(F.col(key).cast("string").alias("key"), (F.col(title) if title else F.lit(None)).cast("string").alias("title"), F.col(text).cast("string").alias("text"))
     rows = rows.where("key is not null and text is not null").groupBy("key").agg(F.max_by("title", F.struct("text", "title")).alias("title"), F.max("text").alias("text"))
-    return rows.withColumn("scanned", ~F.col("text").rlike("(?m)^(?:\\[s\\. |#{1,6} |\\[m\\. č)"))
+    told = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(_BLANK)) != "")
+    structured = F.size(F.filter(told, lambda x: x.rlike("^(?:\\[s\\. |#{1,6} |\\[m\\. č)")))
+    return rows.withColumn("scanned", structured < F.greatest(F.lit(1), STRUCTURED * F.size(told)))
 
 
 def lines(texts: DataFrame) -> DataFrame:
@@ -80,17 +87,24 @@ def lines(texts: DataFrame) -> DataFrame:
     head = F.regexp_replace("s", f" \\| (?:{_MARK})$|^[0-9lIıoO]{{1,4}} {{3,}}| {{3,}}[0-9lIıoO]{{1,4}}$", "")
     rows = rows.withColumn("pageno", number & ~answer).withColumn("marked", marked).withColumn("head", F.when(marked, head).otherwise(F.col("s")))
     again = F.col("s").rlike("^[\\p{Lu}\\p{N}].{11,}[^.:;,?!\\-]$") & ~F.col("pageno") & ~F.col("marked")
-    capitals = (F.col("s") == F.upper("s")) & F.col("s").rlike("\\p{Lu}{2}.*\\p{Lu}.*\\p{Lu}.*\\p{Lu}.*\\p{Lu}.*\\p{Lu}") & ~F.col("s").rlike("[.!?;,]$")
-    rows = rows.withColumn("marked", F.col("marked") | capitals).withColumn("head", F.lower("head"))
-    recurring = rows.where(again).groupBy("key", "head").agg(F.count("*").alias("times")).where("times > 2 or (times > 1 and head rlike '[0-9–]')").select("key", "head")
+    capitals = ~F.col("s").rlike("\\p{Ll}") & F.col("s").rlike("\\p{Lu}{2}.*\\p{Lu}.*\\p{Lu}.*\\p{Lu}.*\\p{Lu}.*\\p{Lu}") & ~F.col("s").rlike("[.!?;,]$")
+    rows = cut(rows.withColumn("marked", F.col("marked") | capitals).withColumn("head", F.lower("head")).withColumn("again", again).drop("title"))  # read for the heads, then for all lines
+    recurring = rows.where("again").groupBy("key", "head").agg(F.count("*").alias("times")).where("times > 2 or (times > 1 and head rlike '[0-9–]')").select("key", "head")
     known = rows.where("marked").select("key", "head").unionByName(texts.where("scanned and length(title) >= 8").select("key", F.lower("title").alias("head"))).unionByName(recurring)
-    known = known.where("length(head) >= 5").groupBy("key").agg(F.collect_set("head").alias("heads"))  # as many as the file has pages
-    near = F.exists("heads", lambda h: (F.abs(F.length(h) - F.length("head")) <= 4) & (F.levenshtein(h, F.col("head")) <= F.greatest(F.lit(2), F.floor(F.length(h) * 0.12))))
-    same = (F.length("s") >= 5) & F.coalesce(near, F.lit(False))
-    kind = F.when(F.col("s") == "", "blank").when(F.col("pageno"), "pageno").when(F.col("marked") | same, "header").otherwise("text")
+    known = known.where("length(head) >= 5").groupBy("key").agg(F.collect_set("head").alias("heads"), F.max(F.length("head")).alias("longest"))  # as many as the file has pages
+    near = F.exists("heads", lambda h: (F.abs(F.length(h) - F.length("head")) <= 4) & ((h == F.col("head")) | _near(h, F.col("head"))))
+    same = F.length("s").between(F.lit(5), F.col("longest") + 4) & F.coalesce(near, F.lit(False))
+    kind = F.when(F.col("s") == "", "blank").when(F.col("pageno"), "pageno").when(F.col("marked"), "header").when(F.coalesce(same, F.lit(False)), "header").otherwise("text")
     return rows.join(known, "key", "left").select("key", "n", "raw", "s", kind.alias("kind"))
 
 
+def _near(h: Column, line: Column) -> Column:
+    """Do they differ in two characters or an eighth of the head at most? The bound is a constant, so the distance is
+    looked for within it: most lines are told apart early."""
+    most = F.greatest(F.lit(2), F.floor(F.length(h) * 0.12))
+    return F.when(most <= 2, F.levenshtein(h, line, 2) >= 0).when(most <= 4, F.levenshtein(h, line, 4).between(F.lit(0), most)).otherwise(F.levenshtein(h, line) <= most)
+
+
 def running(classified: DataFrame) -> DataFrame:
     """(key, n, s, hyphen, follows, next_n, next) of the lines of running text: whether the last word goes on, is a
     continuation, and the next line of running text."""
@@ -104,18 +118,29 @@ def _tokens(c: Column) -> Column:
     return F.filter(F.split(c, "[ \\t\\u00a0]+"), lambda w: w != "")
 
 
-def words(text_lines: DataFrame) -> DataFrame:
-    """(key, n, word, cut, next_n): the words of running text without the marks around them; one broken over two lines is
-    whole, stands on its first line, and has the length of its first part in cut."""
-    own = _tokens(F.col("s"))
-    first = F.when(F.col("follows"), 2).otherwise(1)
-    inner = F.slice(own, first, F.greatest(F.lit(0), F.size(own) - first + 1 - F.col("hyphen").cast("int")))
-    plain = text_lines.select("key", "n", F.explode(inner).alias("word"), F.lit(0).alias("cut"), F.lit(None).cast("int").alias("next_n"))
-    part = F.regexp_replace(F.element_at(own, -1), f"[{BREAKS}]$", "")
-    broken = text_lines.where("hyphen").select("key", "n", F.concat(part, F.element_at(_tokens(F.col("next")), 1)).alias("word"), F.length(part).alias("cut"), "next_n")
-    every = plain.unionByName(broken).withColumn("lead", F.length("word") - F.length(F.ltrim("word", F.lit(EDGES))))
-    every = every.withColumn("word", F.lower(F.rtrim(F.ltrim("word", F.lit(EDGES)), F.lit(EDGES + "-"))))
-    return every.select("key", "n", "word", (F.col("cut") - F.col("lead")).alias("cut"), "next_n").where((F.length("word") >= 3) | loose(F.col("word")))
+_SPACE = " \\t\\u00a0"
+_EDGE = "".join("\\" + c for c in EDGES if c not in "„“”…–—»«") + "„“”…–—»«"
+#: A word without the marks around it.
+_WORD = f"[^{_SPACE}{_EDGE}](?:[^{_SPACE}]*[^{_SPACE}{_EDGE}\\-])?"
+
+
+def tokens(text_lines: DataFrame) -> DataFrame:
+    """(key, n, token, cut, next_n): the lower-cased tokens of running text; one broken over two lines is whole, stands on
+    its first line, and has the length of its first part in cut."""
+    inner = F.when(F.col("follows"), F.regexp_replace("s", f"^[^{_SPACE}]*", "")).otherwise(F.col("s"))
+    inner = F.when(F.col("hyphen"), F.regexp_replace(inner, f"[^{_SPACE}]*$", "")).otherwise(inner)
+    plain = text_lines.select("key", "n", F.explode(F.split(F.lower(inner), f"[{_SPACE}]")).alias("token"), F.lit(0).alias("cut"), F.lit(None).cast("int").alias("next_n"))
+    part = F.regexp_replace(F.element_at(_tokens(F.col("s")), -1), f"[{BREAKS}]$", "")
+    broken = text_lines.where("hyphen").select("key", "n", F.lower(F.concat(part, F.element_at(_tokens(F.col("next")), 1))).alias("token"), F.length(part).alias("cut"), "next_n")
+    return plain.unionByName(broken)
+
+
+def vocabulary(text_lines: DataFrame) -> DataFrame:
+    """(token, lead, word, whole, times): the distinct tokens of running text, the marks before each and the word without the
+    marks around it, and the word with detached marks put on their letters; tokens without a word are left out."""
+    counted = tokens(text_lines).where("token <> ''").groupBy("token").agg(F.count("*").alias("times"))
+    rows = counted.select("token", F.length(F.regexp_extract("token", f"^[{_EDGE}]*", 0)).alias("lead"), F.regexp_extract("token", _WORD, 0).alias("word"), "times")
+    return rows.where((F.length("word") >= 3) | loose(F.col("word"))).withColumn("whole", attached(F.col("word")))
 
 
 def corrections(counted: DataFrame) -> DataFrame:
@@ -141,16 +166,16 @@ def odd(c: Column) -> Column:
     return loose(c) | plain & (c.rlike("[|@]") | c.rlike("\\p{L}'(?:\\p{L}|$)") | (c.rlike("[0-9]") & c.rlike("\\p{L}[0-9]{1,2}\\p{L}|^[0-9]\\p{L}{2,}|\\p{L}{2,}[0-9]$")))
 
 
-def misread(text_lines: DataFrame) -> DataFrame:
+def misread(text_lines: DataFrame, every: DataFrame) -> DataFrame:
     """(key, n, word, right) for each misread word of running text, on the line where the misread character stands.
 
     Detached marks are put on their letters before words are counted and joined, so a word may have other misreadings too.
+    Words are judged once each, over the vocabulary `every`; only the misread ones are then looked for in the texts.
     """
-    found = cut(words(text_lines).withColumn("whole", attached(F.col("word"))))
-    counted = found.groupBy(F.col("whole").alias("word")).agg(F.count("*").alias("times"))
-    fixed = corrections(counted).select(F.col("word").alias("whole"), "right")
-    strange = found.join(fixed, "whole", "left").where(F.col("right").isNotNull() | odd(F.col("word")))
-    strange = strange.withColumn("right", F.coalesce("right", F.when(F.col("whole") != F.col("word"), F.col("whole"))))
+    fixed = corrections(every.groupBy(F.col("whole").alias("word")).agg(F.sum("times").alias("times"))).select(F.col("word").alias("whole"), "right")
+    strange = every.join(fixed, "whole", "left").where(F.col("right").isNotNull() | odd(F.col("word")))
+    strange = cut(strange.select("token", "lead", "word", F.coalesce("right", F.when(F.col("whole") != F.col("word"), F.col("whole"))).alias("right")))
+    strange = tokens(text_lines).join(F.broadcast(strange) if strange.count() <= FEW else strange, "token").withColumn("cut", F.col("cut") - F.col("lead"))
     # characters before the first difference from the right form, or before the first odd one
     agreed = F.aggregate(F.sequence(F.lit(1), F.length("word")), F.lit(0), lambda a, i: F.when((a == i - 1) & (F.substring("word", i, F.lit(1)) == F.substring("right", i, F.lit(1))), i).otherwise(a))
     before = F.length(F.regexp_extract("word", f"^(?:(?!{_LOOSE})[^0-9|@'])*", 0))
@@ -165,9 +190,9 @@ def noise(df: DataFrame, key: str, text: str, title: str | None = None) -> DataF
     """
     classified = cut(lines(files(df, key, text, title)))  # read by each kind of noise
     edges = classified.where("kind in ('header', 'pageno')").select("key", F.col("n").alias("line_no"), "kind")
-    text_lines = running(classified)
+    text_lines = cut(running(classified))
     broken = text_lines.where("hyphen").select("key", F.col("n").alias("line_no"), F.lit("hyphen").alias("kind"))
-    read = misread(text_lines).select("key", F.col("n").alias("line_no"), F.lit("ocr").alias("kind"))
+    read = misread(text_lines, cut(vocabulary(text_lines))).select("key", F.col("n").alias("line_no"), F.lit("ocr").alias("kind"))
     return edges.unionByName(broken).unionByName(read).distinct()
 
 
@@ -175,10 +200,10 @@ def repaired(df: DataFrame, key: str, text: str, title: str | None = None) -> Da
     """(key, text): scanned texts in whole paragraphs without their noise; structured texts as they are."""
     texts = files(df, key, text, title)
     classified = cut(lines(texts))
-    text_lines = running(classified)
-    fixed = misread(text_lines).where("right is not null").select("key", "n", F.struct(attached(F.col("word")).alias("word"), "right").alias("fix")).where("fix.word <> fix.right").groupBy("key", "n").agg(F.collect_set("fix").alias("fixes"))
-    found = words(text_lines)
-    whole = found.groupBy("word").agg(F.count("*").alias("times"))
+    text_lines = cut(running(classified))
+    every = cut(vocabulary(text_lines))
+    fixed = misread(text_lines, every).where("right is not null").select("key", "n", F.struct(attached(F.col("word")).alias("word"), "right").alias("fix")).where("fix.word <> fix.right").groupBy("key", "n").agg(F.collect_set("fix").alias("fixes"))
+    whole = every.groupBy("word").agg(F.sum("times").alias("times"))
     # a break at a hyphen of the word itself keeps it, if the corpus has the hyphenated form more often
     joint = text_lines.where("hyphen").select("key", "n", F.element_at(_tokens(F.col("s")), -1).alias("a"), F.element_at(_tokens(F.col("next")), 1).alias("b"))
     joint = joint.withColumn("a", F.lower(F.ltrim(F.regexp_replace("a", f"[{BREAKS}]$", ""), F.lit(EDGES)))).withColumn("b", F.lower(F.rtrim("b", F.lit(EDGES))))

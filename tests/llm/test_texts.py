@@ -159,6 +159,12 @@ def test_scans(spark):
     assert scans.noise(df.limit(0), "key", "text", "title").count() == 0
 
 
+def test_one_marked_line_declares_nothing(spark):
+    noisy = "# 5 kusů\n" + "Soud dospěl k závěru, že žaloba byla podána opož-\nděně.\n" * 12
+    got = scans.noise(spark.createDataFrame([("a", noisy)], "key string, text string"), "key", "text").where("kind = 'hyphen'")
+    assert {r.line_no for r in got.collect()} == set(range(1, 25, 2))
+
+
 def test_marks_behind_their_letters(spark):
     good = [(f"k{i}", "Zaplatil rozhodčí nález a nový důkaz podle zákona.\n") for i in range(12)]
     hit = "Podle rozhodc\u030cí listiny\nDu°kaz provedl soud. Hodnota n° 5 je 18 °C.\nPodle c\u030c. j. 5 c\u030c-\ntenář vadc\u030c-\nnou vec\u030c odmítl"
