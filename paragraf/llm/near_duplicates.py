@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paragraf.functions.codepoints import UNICODE, mix, same_unicode, shingle_sets, slices
+from paragraf.functions.codepoints import BASE, UNICODE, mix, same_unicode, shingle_sets, slices
 from paragraf.session import cut
 
 #: Frequent n-grams that are known to all tasks, by falling frequency: 12 bytes each.
@@ -26,18 +26,22 @@ FREQUENT = 65_536
 LOCAL_LEAST = 4
 #: An n-gram that more texts hold is split into cells of about so many rows, each pair of cells a group of its own.
 HOT = 20_000
-#: Bytes of the incidence that a task reads; rows are so wide when written.
-TASK_BYTES, ROW_BYTES = 32_000_000, 20
+#: Bytes of the incidence that a task reads, and up to which that rises once there are so many tasks; the width of a row
+#: as it is written.
+TASK_BYTES, MOST_BYTES, MANY_TASKS, ROW_BYTES = 8_000_000, 64_000_000, 4_096, 20
 #: Entries after which a task folds its counts.
-FOLD = 3_000_000
+FOLD = 1_000_000
+#: Characters of texts worked on at once, and rows of the incidence.
+CHARS, ROWS = 300_000, 100_000
 #: Keys with one and the same text that are written out as all pairs; more of them as a star.
 EXPAND = 64
 #: Texts with a candidate pair that are broadcast to find their bodies.
 FEW = 500_000
 #: Blocks of columns, a power of two: of the usual text each holds some dozens of n-grams, which 64 bits tell apart.
 BLOCKS = 16
-#: Bits of a parity bitmap, which shares a number with the size; a size that doesn't fit there sets no bound.
-BITS, MOST = 48, (1 << 15) - 1
+#: Bits of a parity bitmap, which shares a number with the size above it and two bits for a side below; a size that doesn't
+#: fit there sets no bound.
+BITS, SIDE, MOST = 46, 2, (1 << 15) - 1
 
 
 def _fingerprint(grams: np.ndarray) -> int:
@@ -90,7 +94,7 @@ def _signatures(width: int, unicode: str = UNICODE) -> Callable[[Iterator[pa.Rec
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, last, cps, rows in slices(batch.column(1)):
+            for first, last, cps, rows in slices(batch.column(1), CHARS):
                 sets = shingle_sets(cps, rows, width)
                 prints = np.array([_fingerprint(s) for s in sets], np.int64)
                 sizes = np.array([len(s) for s in sets], np.int32)
@@ -109,8 +113,8 @@ def _signatures(width: int, unicode: str = UNICODE) -> Callable[[Iterator[pa.Rec
 
 def _rarest(grams: np.ndarray, limit: float, frequent: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the sorted n-grams of one text: the rarest of each block, so many that similar texts meet at one; with each the
-    n-grams that the text has in the block, and in the lower BITS bits their parity bitmap; and the texts that hold it, as
-    far as it is frequent."""
+    n-grams that the text has in the block, their parity bitmap and two free bits; and the texts that hold it, as far as it
+    is frequent."""
     n = len(grams)
     _, first, parity = _parity(grams)
     size = np.diff(np.append(first, n))
@@ -122,35 +126,36 @@ def _rarest(grams: np.ndarray, limit: float, frequent: np.ndarray, texts: np.nda
     order = np.lexsort((weight, which))
     take = size - np.ceil(limit * size - 1e-9).astype(np.int64) + 1
     chosen = order[np.arange(n) - first[which] < take[which]]
-    about = (np.minimum(size, MOST) << BITS) | parity.view(np.int64)
+    about = (np.minimum(size, MOST) << BITS + SIDE) | (parity.view(np.int64) << SIDE)
     return grams[chosen], about[which[chosen]], weight[chosen]
 
 
-def _cells(doc: np.ndarray, texts: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) for the rows of the incidence: a row of a hot n-gram goes to one cell for each bucket of its rows.
+def _cells(doc: np.ndarray, texts: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, side) for the rows of the incidence: a row of a hot n-gram goes to one cell for each bucket of its rows.
 
     The texts of a hot n-gram fall into buckets of about `hot`; the cell of two buckets holds the rows of both, so every
-    pair meets in one cell. The lower two bits say on which side a row stands: 0 in a bucket's own cell, where all meet,
-    else 1 or 2, where only the sides meet. Other rows have the cell 0."""
-    row, cell = [np.flatnonzero(texts <= hot)], [np.zeros(int((texts <= hot).sum()), np.int64)]
+    pair meets in one cell. The side of a row is 0 in a bucket's own cell, where all meet, else 1 or 2, where only the sides
+    meet. Other rows have the cell 0."""
+    row, cell, sides = [np.flatnonzero(texts <= hot)], [np.zeros(int((texts <= hot).sum()), np.int64)], [np.zeros(int((texts <= hot).sum()), np.int64)]
     for i in np.flatnonzero(texts > hot).tolist():
         buckets = -(-int(texts[i]) // hot)
         own = int(mix(doc[i : i + 1].view(np.uint64))[0] % np.uint64(buckets))
         other = np.arange(buckets)
         low, high = np.minimum(other, own), np.maximum(other, own)
         side = np.where(other == own, 0, np.where(own < other, 1, 2))
-        row.append(np.full(buckets, i)), cell.append(((1 + high * (high + 1) // 2 + low) << 2) | side)
-    return np.concatenate(row), np.concatenate(cell)
+        row.append(np.full(buckets, i)), cell.append(1 + high * (high + 1) // 2 + low), sides.append(side)
+    return np.concatenate(row), np.concatenate(cell), np.concatenate(sides)
 
 
 def _incidence(width: int, limit: float, frequent: np.ndarray, texts: np.ndarray, hot: int, unicode: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (n-gram, cell, fingerprint, size and bits) of each different text: its rarest n-grams of each block."""
+    """Rows (n-gram, fingerprint, size and bits) of each different text: its rarest n-grams of each block. A cell of a hot
+    n-gram counts as an n-gram of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same_unicode(unicode)
         seen: set[int] = set()
         for batch in batches:
-            for _, _, cps, rows in slices(batch.column(1)):
+            for _, _, cps, rows in slices(batch.column(1), CHARS):
                 grams, docs, about, held = [], [], [], []
                 for own in shingle_sets(cps, rows, width):
                     if len(own) == 0 or (key := _fingerprint(own)) in seen:
@@ -160,30 +165,25 @@ def _incidence(width: int, limit: float, frequent: np.ndarray, texts: np.ndarray
                     grams.append(g), about.append(a), held.append(t), docs.append(np.full(len(g), key))
                 if grams:
                     doc = np.concatenate(docs)
-                    row, cell = _cells(doc, np.concatenate(held), hot)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)[row]), pa.array(cell), pa.array(doc[row]), pa.array(np.concatenate(about)[row])], names=["gram", "cell", "doc", "about"])
+                    row, cell, side = _cells(doc, np.concatenate(held), hot)
+                    gram = np.concatenate(grams)[row]
+                    gram = np.where(cell > 0, mix(gram + cell.astype(np.uint64) * np.uint64(BASE)), gram)
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc[row]), pa.array(np.concatenate(about)[row] | side)], names=["gram", "doc", "about"])
 
     return run
 
 
 def _meetings(limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The pairs that meet, for rows sorted by n-gram, cell and size, and that the bounds of their block allow."""
+    """The pairs that meet, for rows sorted by n-gram and size, and that the bounds of their block allow."""
     apart = (1 - limit) / (1 + limit)  # the share of both sizes that may lie outside the overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
 
-        def groups(gram: np.ndarray, cell: np.ndarray) -> np.ndarray:
-            """A number for each run of rows of one n-gram and cell."""
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (cell[1:] >> 2 != cell[:-1] >> 2)
-            return np.cumsum(new)
-
-        def pairs(gram: np.ndarray, cell: np.ndarray, doc: np.ndarray, about: np.ndarray) -> Iterator[pa.RecordBatch]:
-            own = groups(gram, cell)
+        def pairs(own: np.ndarray, doc: np.ndarray, about: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(own), bool)  # the same text from two tasks
             new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
-            own, side, doc, about = own[new], cell[new] & 3, doc[new], about[new]
+            own, side, doc, about = own[new], about[new] & ((1 << SIDE) - 1), doc[new], about[new] >> SIDE
             alone = np.ones(len(own), bool)
             alone[:-1] &= own[1:] != own[:-1]
             alone[1:] &= own[1:] != own[:-1]
@@ -215,15 +215,17 @@ def _meetings(limit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
             return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at])], names=["doc_a", "doc_b"])
 
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            columns = [np.concatenate((r, batch.column(i).to_numpy(zero_copy_only=False))) for i, r in enumerate(rest)]
-            if not len(columns[0]):
+            held.append(batch)
+            if sum(b.num_rows for b in held) < ROWS:
                 continue
-            own = groups(*columns[:2])
-            whole = int(np.searchsorted(own, own[-1], "left"))  # the last group may go on in the next batch
+            columns = [np.concatenate((r, *(b.column(i).to_numpy(zero_copy_only=False) for b in held))) for i, r in enumerate(rest)]
+            held = []
+            whole = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last n-gram may go on in the next batch
             yield from pairs(*(c[:whole] for c in columns))
             rest = [c[whole:] for c in columns]
-        yield from pairs(*rest)
+        yield from pairs(*(np.concatenate((r, *(b.column(i).to_numpy(zero_copy_only=False) for b in held))) for i, r in enumerate(rest)))
 
     return run
 
@@ -293,7 +295,7 @@ def _similarity(width: int, limit: float, unicode: str = UNICODE) -> Callable[[I
             keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
             docs, first, ends = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             texts = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first))
-            sets = [s for _, _, cps, rows in slices(texts) for s in shingle_sets(cps, rows, width)]
+            sets = [s for _, _, cps, rows in slices(texts, CHARS) for s in shingle_sets(cps, rows, width)]
             a, b = ends.reshape(2, -1)
             both = _overlaps(sets, a, b, limit)
             size = np.array([len(s) for s in sets], np.int64)
@@ -317,7 +319,15 @@ def similar_classes(df: DataFrame, key: str, text: str, width: int = 5, limit: f
     texts = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("body")).where(F.col("id").isNotNull())
     signed = cut(texts.mapInArrow(_signatures(width), "kind tinyint, a long, b long, n int, bits binary"))
     members = signed.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.min_by("b", F.struct("n", "b")).alias("doc"), F.min("n").alias("n"))
-    top = signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("texts")).where(f"texts >= {2 * LOCAL_LEAST}").orderBy(F.desc("texts"), "a").limit(FREQUENT).toPandas()
+    counts = cut(signed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("texts")).where(f"texts >= {2 * LOCAL_LEAST}"))
+    # the count from which on there are FREQUENT at most, told from a histogram: no task sends its own list to the driver
+    step, held, least = F.floor(F.log2("texts") * 16), 0, 1
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("texts").alias("least")).orderBy(F.desc("step")).collect():  # 16 rows for each power of two
+        if held + r.n > FREQUENT:
+            least = least if held else r.least
+            break
+        held, least = held + r.n, r.least
+    top = counts.where(F.col("texts") >= least).limit(FREQUENT).toPandas() if held else counts.limit(0).toPandas()
     order = np.argsort(top["a"].to_numpy(np.int64).view(np.uint64))
     frequent = spark.sparkContext.broadcast((top["a"].to_numpy(np.int64).view(np.uint64)[order], top["texts"].to_numpy(np.int64)[order]))  # at most FREQUENT entries
 
@@ -328,8 +338,8 @@ def similar_classes(df: DataFrame, key: str, text: str, width: int = 5, limit: f
 
     size = signed.where("kind = 0").agg(F.count("*").alias("texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
     rows = size["grams"] * (1 - limit) + BLOCKS * size["texts"]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(rows * ROW_BYTES / TASK_BYTES) + 1)  # grows with the data, so tasks don't
-    incidence = texts.mapInArrow(blocks, "gram long, cell long, doc long, about long").repartition(tasks, "gram", F.shiftright("cell", 2)).sortWithinPartitions("gram", F.shiftright("cell", 2), "about", "doc")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(rows * ROW_BYTES / TASK_BYTES), max(MANY_TASKS, int(rows * ROW_BYTES / MOST_BYTES))) + 1)  # grows with the data, so tasks don't
+    incidence = texts.mapInArrow(blocks, "gram long, doc long, about long").repartition(tasks, "gram").sortWithinPartitions("gram", "about", "doc")
     met = incidence.mapInArrow(_meetings(limit), "doc_a long, doc_b long").distinct()
     own = F.struct("n", "bits")
     signature = signed.where("kind = 0 and n > 0").groupBy(F.col("b").alias("doc")).agg(F.min(own).alias("least"), F.max(own).alias("most"))

@@ -47,10 +47,10 @@ def test_pairs_equal_brute_force(spark):
 
 def test_every_pair_of_a_hot_gram_meets_in_one_cell():
     doc = np.arange(50, dtype=np.int64)
-    row, cell = nd._cells(doc, np.full(50, 50), 8)
+    row, cell, side = nd._cells(doc, np.full(50, 50), 8)
     met = {}
-    for c in np.unique(cell >> 2).tolist():
-        mine = [(int(r), int(s) & 3) for r, s in zip(row, cell) if s >> 2 == c]
+    for c in np.unique(cell).tolist():
+        mine = [(int(r), int(s)) for r, x, s in zip(row, cell, side) if x == c]
         for i, (r, s) in enumerate(mine):
             for q, z in mine[i + 1 :]:
                 if s == 0 or s != z:
