@@ -21,7 +21,7 @@ from paragraf.functions.codepoints import BASE, UNICODE, mix, same_unicode, shin
 from paragraf.session import cut
 
 #: Frequent n-grams that are known to all tasks, by falling frequency: 12 bytes each.
-FREQUENT = 65_536
+FREQUENT = 262_144
 #: A task reports the n-grams that at least so many of its texts hold.
 LOCAL_LEAST = 4
 #: An n-gram that more texts hold is split into cells of about so many rows, each pair of cells a group of its own.
