@@ -1,51 +1,14 @@
-"""Ranked search over texts: words to scores, channels to one ranking, pages to lanes. Terms are few, texts are many:
-the terms travel with the plan and every text is read once."""
+"""Scores to one ranking: channels are fused, variants interleaved, hits capped per document and lane."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from paragraf.functions.text import words
-
-K1, B = 1.2, 0.75
 #: Constant of reciprocal rank fusion, and the channels' weights.
 RRF = 60
 WEIGHTS = {"and": 1.0, "or": 0.5, "idn": 1.5, "meta": 0.8}
 
 
-def _is(term: str) -> Callable[[Column], Column]:
-    return lambda word: word == term
-
-
-def term_counts(df: DataFrame, text: str, terms: list[str]) -> DataFrame:
-    """df with dl, its text's words, and tf, how often each term is among them; rows without a text are left out."""
-    rows = df.where(F.col(text).isNotNull()).withColumn("_w", words(F.col(text)))
-    # counted through an exploded array of one, so that the words are extracted once
-    rows = rows.select(*df.columns, F.explode(F.array("_w")).alias("_w"))
-    return rows.withColumn("dl", F.size("_w")).withColumn("tf", F.array(*[F.size(F.filter("_w", _is(t))) for t in terms])).drop("_w")
-
-
-def bm25(df: DataFrame, text: str, terms: list[str], keep: list[str]) -> DataFrame:
-    """keep, matched and score of the rows that hold every term, or, if none does, of those that hold any.
-
-    The corpus statistics (documents, mean length, documents with each term) are one row of numbers.
-    """
-    terms = list(dict.fromkeys(terms))
-    counted = term_counts(df.select(*keep, text), text, terms).drop(text)
-    n = len(terms)
-    matched = F.size(F.filter("tf", lambda x: x > 0))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.max(matched).alias("most"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(n)]).first()
-    least = n if stats["most"] == n else 1
-    score: Column = F.lit(0.0)
-    for i in range(n):
-        idf = F.lit(0.0) if not stats["n"] else F.log(F.lit(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        tf = F.col("tf")[i]
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
-    return counted.withColumn("matched", matched).where(F.col("matched") >= least).select(*keep, "matched", F.round(score, 6).alias("score"))
-
-
 def top(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
@@ -73,3 +36,47 @@ def interleave(lists: DataFrame, variant: str, rank: str, key: str) -> DataFrame
     """(key, variant, rank, position): the lists' first, then their second entries and so on; the first of a key wins."""
     first = lists.groupBy(key).agg(F.min(F.struct(F.col(rank).alias("rank"), F.col(variant).alias("variant"))).alias("best")).select(key, "best.*")
     return ranked(first, [F.col("rank"), F.col("variant")], name="position")
+
+
+def combined(df: DataFrame, by: str, lexical: Column, keys: Column, prior: Column, order: list[Column], per_key: float = 0.5, digits: int = 6) -> DataFrame:
+    """The best passage of each document, with score = (lexical + per_key for each key that it shares) x prior."""
+    scored = df.withColumn("score", F.round((lexical + per_key * keys) * prior, digits)).where("score > 0")
+    return per_group(scored, [by], [F.desc("score"), *order], 1)
+
+
+def more(shown: DataFrame, uncapped: DataFrame, by: str) -> DataFrame:
+    """shown with `more`: how many of a document's hits aren't among those shown."""
+    total = uncapped.groupBy(by).agg(F.count("*").alias("_total"))
+    held = shown.groupBy(by).agg(F.count("*").alias("_shown"))
+    return shown.join(total.join(held, by), by).withColumn("more", F.col("_total") - F.col("_shown")).drop("_total", "_shown")
+
+
+def merged_variants(lists: DataFrame, variant: str, rank: str, key: str, score: str, channels: str) -> DataFrame:
+    """(key, position, score, channels): documents of several variants' lists, rank by rank and variant by variant; each has
+    its best score and all channels that found it."""
+    first = interleave(lists, variant, rank, key).select(key, "position")
+    rest = lists.groupBy(key).agg(F.max(score).alias("score"), F.array_join(F.array_sort(F.collect_set(channels)), ",").alias("channels"))
+    return first.join(rest, key)
+
+
+def saturated(df: DataFrame, by: str, depth: int) -> DataFrame:
+    """(by, hits, saturated): is a channel's list as long as it may be, so that there may be more?"""
+    return df.groupBy(by).agg(F.count("*").alias("hits"), (F.count("*") >= depth).alias("saturated"))
+
+
+def with_total(df: DataFrame, order: list[Column], k: int, offset: int = 0) -> DataFrame:
+    """A page of df with `total`, the number of all rows; counted by itself, so that no task sees all rows."""
+    page = top(df, order, k + offset).offset(offset).withColumn("_one", F.lit(1))
+    return page.join(F.broadcast(df.agg(F.count("*").alias("total"), F.lit(1).alias("_one"))), "_one").drop("_one")  # one row
+
+
+def order(mode: str, date: str, score: str = "score", key: str = "doc_id") -> list[Column]:
+    """What a list is sorted by: relevance, newest or year; the key breaks every tie."""
+    by = {
+        "relevance": [F.desc(score), F.desc_nulls_last(date), F.asc(key)],
+        "newest": [F.desc_nulls_last(date), F.desc(score), F.asc(key)],
+        "year": [F.desc_nulls_last(F.year(date)), F.asc(key)],
+    }
+    if mode not in by:
+        raise ValueError(f"no such order: {mode}")
+    return by[mode]

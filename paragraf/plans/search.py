@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paragraf.functions.text import snippet
-from paragraf.operators import search
+from paragraf.operators import postings, search
 from paragraf.plans.catalogue import query, table
 
 TERMS = ["soud", "smlouva", "žaloba"]
@@ -18,25 +18,39 @@ def _bm25_sql(terms: list[str], where: str = "TRUE", extra: str = "", name: str
     hit = " + ".join(f"CAST(t{i} > 0 AS INTEGER)" for i in range(len(terms)))
     df = ", ".join(f"count(*) FILTER (t{i} > 0) AS d{i}" for i in range(len(terms)))
     score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * t{i} * 2.2 / (t{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
-    return f"""{name}_w AS (SELECT doc_id{extra}, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL AND {where}),
-{name}_t AS (SELECT doc_id{extra}, len(w) AS dl, {tf} FROM {name}_w),
-{name}_g AS (SELECT count(*) AS n, avg(dl) AS avgdl, max({hit}) AS most, {df} FROM {name}_t),
-{name} AS (SELECT doc_id{extra}, {hit} AS matched, round({score}, 6) AS score FROM {name}_t, {name}_g WHERE {hit} >= CASE WHEN most = {len(terms)} THEN {len(terms)} ELSE 1 END)"""
+    return f"""{name}_w AS (SELECT doc_id{extra}, {where} AS kept, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL),
+{name}_t AS (SELECT doc_id{extra}, kept, len(w) AS dl, {tf} FROM {name}_w),
+{name}_g AS (SELECT count(*) AS n, avg(dl) AS avgdl, max({hit}) FILTER (kept) AS most, {df} FROM {name}_t),
+{name} AS (SELECT doc_id{extra}, {hit} AS matched, round({score}, 6) AS score FROM {name}_t, {name}_g WHERE kept AND {hit} >= CASE WHEN most = {len(terms)} THEN {len(terms)} ELSE 1 END)"""
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+_OPEN: dict[tuple[str, str, str], postings.Index] = {}
+
+
+def opened(spark: SparkSession, d: str, name: str = "documents") -> postings.Index:
+    """The index of a table's texts, built at a session's first search and read by all later ones."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _OPEN:
+        if name == "documents":
+            _OPEN[at] = postings.build(_documents(spark, d), "doc_id", "text", ["lang", "source", "doc_kind", "n_chars"])
+        else:
+            bodies = table(spark, d, "decision_text").where("body is not null").dropDuplicates(["decision_id"])
+            _OPEN[at] = postings.build(bodies, "decision_id", "body", ["source"])
+    return _OPEN[at]
+
 
 @query("R1_bm25_and_or", f"WITH {_bm25_sql(TERMS)} SELECT doc_id, matched, score FROM hit ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_and_or(spark: SparkSession, d: str) -> DataFrame:
-    return search.top(search.bm25(_documents(spark, d), "text", TERMS, ["doc_id"]), [F.desc("score"), F.asc("doc_id")], 20)
+    return search.top(postings.bm25(opened(spark, d), TERMS), [F.desc("score"), F.asc("doc_id")], 20)
 
 
 @query("R1_bm25_ladder_or", f"WITH {_bm25_sql(['soud', 'contract', 'gericht'])} SELECT doc_id, matched, score FROM hit ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_ladder(spark: SparkSession, d: str) -> DataFrame:
-    return search.top(search.bm25(_documents(spark, d), "text", ["soud", "contract", "gericht"], ["doc_id"]), [F.desc("score"), F.asc("doc_id")], 20)
+    return search.top(postings.bm25(opened(spark, d), ["soud", "contract", "gericht"]), [F.desc("score"), F.asc("doc_id")], 20)
 
 
 FILTER_SQL = "lower(lang) = 'cs' AND n_chars BETWEEN 500 AND 5000"
@@ -44,8 +58,8 @@ FILTER_SQL = "lower(lang) = 'cs' AND n_chars BETWEEN 500 AND 5000"
 
 @query("R1_bm25_filtered", f"WITH {_bm25_sql(TERMS, FILTER_SQL)} SELECT doc_id, matched, score FROM hit ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    rows = _documents(spark, d).where((F.lower("lang") == "cs") & F.col("n_chars").between(500, 5000))
-    return search.top(search.bm25(rows, "text", TERMS, ["doc_id"]), [F.desc("score"), F.asc("doc_id")], 20)
+    kept = (F.lower("lang") == "cs") & F.col("n_chars").between(500, 5000)
+    return search.top(postings.bm25(opened(spark, d), TERMS, where=kept), [F.desc("score"), F.asc("doc_id")], 20)
 
 
 @query(
@@ -53,7 +67,7 @@ def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_bm25_sql(['soud'], extra=', doc_kind')}, pool AS (SELECT * FROM hit ORDER BY score DESC, doc_id LIMIT 200) SELECT doc_id, doc_kind, round(score * CASE doc_kind WHEN 'rozsudek' THEN 1.5 WHEN 'usneseni' THEN 1.3 ELSE 1.0 END, 6) AS score FROM pool ORDER BY score DESC, doc_id LIMIT 20",
 )
 def prior_rerank(spark: SparkSession, d: str) -> DataFrame:
-    pool = search.top(search.bm25(_documents(spark, d), "text", ["soud"], ["doc_id", "doc_kind"]), [F.desc("score"), F.asc("doc_id")], 200)
+    pool = search.top(postings.bm25(opened(spark, d), ["soud"], ["doc_kind"]), [F.desc("score"), F.asc("doc_id")], 200)
     prior = F.when(F.col("doc_kind") == "rozsudek", 1.5).when(F.col("doc_kind") == "usneseni", 1.3).otherwise(1.0)
     return search.top(pool.select("doc_id", "doc_kind", F.round(F.col("score") * prior, 6).alias("score")), [F.desc("score"), F.asc("doc_id")], 20)
 
@@ -63,7 +77,7 @@ def prior_rerank(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {_bm25_sql(['soud'], 'source IS NOT NULL', ', source')} SELECT source, doc_id, score FROM hit QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 3",
 )
 def lanes(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.bm25(_documents(spark, d).where("source is not null"), "text", ["soud"], ["doc_id", "source"])
+    hits = postings.bm25(opened(spark, d), ["soud"], ["source"], where=F.col("source").isNotNull())
     return search.per_group(hits, ["source"], [F.desc("score"), F.asc("doc_id")], 3).select("source", "doc_id", "score")
 
 
@@ -78,8 +92,8 @@ SELECT doc_id, round(sum(CAST(p AS DOUBLE)), 9) AS score, count(*) AS channels F
 )
 def rrf(spark: SparkSession, d: str) -> DataFrame:
     rows, by = _documents(spark, d), [F.desc("score"), F.asc("doc_id")]
-    every = search.ranked(search.top(search.bm25(rows, "text", TERMS, ["doc_id"]), by, 60), by)
-    some = search.ranked(search.top(search.bm25(rows, "text", ["smlouva"], ["doc_id"]), by, 60), by)
+    every = search.ranked(search.top(postings.bm25(opened(spark, d), TERMS), by, 60), by)
+    some = search.ranked(search.top(postings.bm25(opened(spark, d), ["smlouva"]), by, 60), by)
     key = rows.where(F.col("text").contains("Listiny")).select("doc_id", F.expr("(length(text) - length(replace(text, 'Listiny', ''))) / 7").alias("score"))
     return search.fuse({"and": every, "or": some, "idn": search.ranked(search.top(key, by, 60), by)}, "doc_id")
 
@@ -95,7 +109,7 @@ def interleave(spark: SparkSession, d: str) -> DataFrame:
     rows, by = _documents(spark, d), [F.desc("score"), F.asc("doc_id")]
     lists = None
     for variant, term in enumerate(["smlouva", "žaloba"], 1):
-        part = search.ranked(search.top(search.bm25(rows, "text", [term], ["doc_id"]), by, 40), by).select("doc_id", F.lit(variant).alias("variant"), "rank")
+        part = search.ranked(search.top(postings.bm25(opened(spark, d), [term]), by, 40), by).select("doc_id", F.lit(variant).alias("variant"), "rank")
         lists = part if lists is None else lists.unionByName(part)
     return search.interleave(lists, "variant", "rank", "doc_id")
 
@@ -161,7 +175,7 @@ SELECT count(*) FILTER (doc_kind = 'rozsudek') AS relevant, round(1.0 / min(rank
 )
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
     by = [F.desc("score"), F.asc("doc_id")]
-    hits = search.ranked(search.top(search.bm25(_documents(spark, d), "text", ["smlouva"], ["doc_id", "doc_kind"]), by, 50), by)
+    hits = search.ranked(search.top(postings.bm25(opened(spark, d), ["smlouva"], ["doc_kind"]), by, 50), by)
     good = F.col("doc_kind") == "rozsudek"
     return hits.agg(F.count_if(good).alias("relevant"), F.round(1.0 / F.min(F.when(good, F.col("rank"))), 6).alias("mrr"), F.round(F.count_if(good & (F.col("rank") <= 10)) / 10.0, 6).alias("precision_10"))
 

@@ -48,3 +48,11 @@ class Request:
         if self.case_number is not None:
             out = out & F.array_contains("case_numbers", self.case_number)
         return out
+
+
+def upstream_pages(page: int, size: int, upstream: int) -> tuple[list[int], int]:
+    """The upstream pages, from 1, that hold a page of our own size, and how many rows to skip in the first of them."""
+    if page < 1 or size < 1 or upstream < 1:
+        raise ValueError("pages and sizes count from 1")
+    first, last = (page - 1) * size, page * size - 1
+    return list(range(first // upstream + 1, last // upstream + 2)), first % upstream

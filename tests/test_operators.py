@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from paragraf.functions import text
-from paragraf.operators import joins, search, upkeep, usage
+from paragraf.operators import joins, postings, search, upkeep, usage
 
 
 def one(spark, expression, value):
@@ -35,9 +35,21 @@ def test_pages_of_empty_and_long(spark):
 
 def test_bm25_ladder(spark):
     df = spark.createDataFrame([(1, "a b", 1), (2, "a a c", 2), (3, None, 3), (4, "", 4)], "k int, t string, score int")
-    assert {r.k for r in search.bm25(df, "t", ["a", "b"], ["k"]).collect()} == {1}
-    assert {r.k for r in search.bm25(df, "t", ["c", "b"], ["k"]).collect()} == {1, 2}
-    assert search.bm25(df.limit(0), "t", ["a"], ["k"]).count() == 0
+    index = postings.build(df, "k", "t", ["score"])
+    assert (index.size, index.mean) == (3, 5 / 3)
+    assert {r.k for r in postings.bm25(index, ["a", "b"]).collect()} == {1}
+    assert {r.k for r in postings.bm25(index, ["c", "b"]).collect()} == {1, 2}
+    assert {r.k for r in postings.bm25(index, ["a", "b"], where=F.col("dl") > 2).collect()} == {2}
+    assert {r.term: r.df for r in index.like("a").collect()} == {"a": 2} and postings.phrase(index, df, "t", ["a", "c"]).count() == 1
+    assert postings.bm25(index, ["nic"]).count() == 0 and postings.bm25(postings.build(df.limit(0), "k", "t"), ["a"]).count() == 0
+
+
+def test_a_search_reads_the_buckets_of_its_terms_only(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 9 + 1))) for i in range(50)], "k int, t string")
+    index = postings.build(df, "k", "t", buckets=32)
+    plan = postings.bm25(index, ["w3"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "ReadSchema: struct<t:string" not in plan
+    assert len(index.hits(["w3"]).inputFiles()) <= 4 * 32 and index.hits(["w3"]).count() == sum(i % 9 >= 3 for i in range(50))
 
 
 def test_rrf_and_interleave(spark):
