@@ -20,6 +20,7 @@ from paragraf.session import checkpoint_dir
 K1, B = 1.2, 0.75
 #: Buckets of terms: a search of a few terms opens as many folders.
 BUCKETS = 64
+POSTINGS = "term string, doc long, dl int, tf int, bucket int"
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,7 @@ def build(df: DataFrame, key: str, text: str, keep: list[str] | None = None, ana
     rows.select("doc", F.size("w").alias("dl"), *(keep or [])).write.mode("overwrite").parquet(f"{path}/docs")
     held = rows.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").cast("int").alias("tf"))
     held.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    _read(spark, f"{path}/postings", POSTINGS).groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     return opened(spark, path, key, buckets)
 
 
@@ -84,8 +85,7 @@ def opened(spark: SparkSession, path: str, key: str, buckets: int = BUCKETS) ->
     """The index that was written to a folder."""
     docs = spark.read.parquet(f"{path}/docs")
     size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
-    empty = "term string, doc long, dl int, tf int, bucket int"
-    postings, terms = (_read(spark, f"{path}/{name}", schema) for name, schema in (("postings", empty), ("terms", "term string, df long, bucket int")))
+    postings, terms = (_read(spark, f"{path}/{name}", schema) for name, schema in (("postings", POSTINGS), ("terms", "term string, df long, bucket int")))
     return Index(key, postings, terms, docs.withColumnRenamed("doc", key), size.n, size.mean or 0.0, buckets)
 
 

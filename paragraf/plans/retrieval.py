@@ -58,7 +58,7 @@ PRIOR_SQL = "prior AS (SELECT id, max(CASE decision_type WHEN 'nalez' THEN 2.0 W
 @query(
     "R5_best_passage",
     f"""WITH {COVER_SQL}, {PRIOR_SQL}, key AS (SELECT DISTINCT decision_id, ord, len(list_intersect(ident_keys, {list(KEYS)})) AS keys FROM decision_chunk WHERE list_has_any(ident_keys, {list(KEYS)})),
-s AS (SELECT decision_id, ord, round((coalesce(rank, 0) + 0.5 * coalesce(keys, 0)) * prior, 5) AS score FROM cover FULL JOIN key USING (decision_id, ord) JOIN prior ON id = decision_id)
+s AS (SELECT decision_id, ord, round((coalesce(rank, 0) + 0.5 * coalesce(keys, 0)) * prior, 8) AS score FROM cover FULL JOIN key USING (decision_id, ord) JOIN prior ON id = decision_id)
 SELECT DISTINCT ON (decision_id) decision_id, ord, score FROM s WHERE score > 0 ORDER BY decision_id, score DESC, ord""",
 )
 def best_passage(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def best_passage(spark: SparkSession, d: str) -> DataFrame:
     prior = F.max(F.when(F.col("decision_type") == "nalez", 2.0).when(F.col("decision_type") == "stanovisko", 1.5).otherwise(1.0))
     priors = table(spark, d, "decision").groupBy(F.col("id").alias("decision_id")).agg(prior.alias("prior"))
     rows = _covers(spark, d).join(shared, ["decision_id", "ord"], "full").join(priors, "decision_id")
-    best = search.combined(rows, "decision_id", F.coalesce("rank", F.lit(0.0)), F.coalesce("keys", F.lit(0)), F.col("prior"), [F.asc("ord")], digits=5)
+    best = search.combined(rows, "decision_id", F.coalesce("rank", F.lit(0.0)), F.coalesce("keys", F.lit(0)), F.col("prior"), [F.asc("ord")], digits=8)
     return best.select("decision_id", "ord", "score")
 
 
