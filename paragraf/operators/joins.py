@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paragraf.session import cut
+
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, take: list[str]) -> DataFrame:
     """left with `take` of the latest right row of the same key at or before it; null where there is none.
@@ -36,7 +38,7 @@ def ancestors(links: DataFrame, child: str, parent: str, depth: int = 32) -> Dat
     up = step.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_next"))
     out, level = step.withColumn("distance", F.lit(1)), step
     for distance in range(2, depth + 1):
-        level = level.join(up, "ancestor").select("child", F.col("_next").alias("ancestor")).distinct()
+        level = cut(level.join(up, "ancestor").select("child", F.col("_next").alias("ancestor")).distinct())  # so no level is computed again
         if level.isEmpty():
             break
         out = out.unionByName(level.withColumn("distance", F.lit(distance)))
@@ -47,3 +49,16 @@ def latest(df: DataFrame, by: list[str], order: Column) -> DataFrame:
     """One row of each key, the greatest by order; partial results are combined before the shuffle."""
     rest = [c for c in df.columns if c not in by]
     return df.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*by, "_r.*")
+
+
+def paths(links: DataFrame, child: str, parent: str, depth: int = 32) -> DataFrame:
+    """(node, path, depth) from the nodes without a parent downwards, one level at a time; what hangs on a cycle has none."""
+    edges = links.where(F.col(parent).isNotNull()).select(F.col(child).alias("_c"), F.col(parent).alias("_p")).distinct()
+    level = links.where(F.col(parent).isNull()).select(F.col(child).alias("node"), F.col(child).alias("path"), F.lit(0).alias("depth")).distinct()
+    out = level
+    for _ in range(depth):
+        level = cut(level.join(edges, F.col("node") == F.col("_p")).select(F.col("_c").alias("node"), F.concat_ws("/", "path", "_c").alias("path"), (F.col("depth") + 1).alias("depth")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out

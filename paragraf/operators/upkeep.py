@@ -34,3 +34,65 @@ def next_try(at: Column, attempts: Column) -> Column:
 def replace_children(old: DataFrame, new: DataFrame, parent: str, parents: DataFrame) -> DataFrame:
     """Children of other parents as they were, those of `parents` as they are now, none if there are none."""
     return old.join(parents.select(parent).distinct(), parent, "left_anti").unionByName(new)
+
+
+def add_counters(old: DataFrame, new: DataFrame, by: list[str], amount: str) -> DataFrame:
+    """Counters with new amounts added; nulls, NaN, infinite amounts and those that aren't above 0 are ignored."""
+    good = F.col(amount).isNotNull() & ~F.isnan(amount) & (F.col(amount) > 0) & (F.col(amount) < float("inf"))
+    rows = old.select(*by, amount).unionByName(new.where(good).select(*by, amount))
+    return rows.groupBy(*by).agg(F.sum(amount).alias(amount))
+
+
+def refunded(old: DataFrame, back: DataFrame, by: list[str], amount: str) -> DataFrame:
+    """Counters less what is given back, never below 0; a counter that isn't there stays away."""
+    less = back.groupBy(*by).agg(F.sum(amount).alias("_back"))
+    return old.join(less, by, "left").withColumn(amount, F.greatest(F.lit(0), F.col(amount) - F.coalesce("_back", F.lit(0)))).drop("_back")
+
+
+def grown(old: DataFrame, new: DataFrame, by: list[str], value: str, known: DataFrame, key: str) -> DataFrame:
+    """The greater of the old and the new value of each key; rows of keys that `known` doesn't hold are dropped."""
+    rows = old.select(*by, value).unionByName(new.select(*by, value)).groupBy(*by).agg(F.max(value).alias(value))
+    return rows.join(known.select(key).distinct(), key, "left_semi")
+
+
+def last_wins(loads: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """One row per key, that of the latest load."""
+    rest = [c for c in loads.columns if c not in by]
+    return loads.groupBy(*by).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*by, "_r.*")
+
+
+def retained(df: DataFrame, at: str, now: Column, days: Column) -> DataFrame:
+    """Rows younger than the days that their kind is kept for."""
+    return df.where(F.col(at) > now - F.make_dt_interval(days))
+
+
+def versioned(rows: DataFrame, edits: DataFrame, by: list[str], version: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, conflicts): edits that name the stored version are taken and raise it by one, the others are refused."""
+    mine = edits.select(*by, F.col(version).alias("_v"), F.struct(*fields).alias("_e"))
+    both = rows.join(mine, by, "left")
+    taken = F.coalesce(F.col("_v") == F.col(version), F.lit(False))
+    out = both.select(*by, *[F.when(taken, F.col(f"_e.{f}")).otherwise(F.col(f)).alias(f) for f in fields], (F.col(version) + taken.cast("int")).alias(version))
+    return out, both.where(F.col("_v").isNotNull() & ~taken).select(*by, F.col(version).alias("stored"), F.col("_v").alias("asked"))
+
+
+def without_blocked(df: DataFrame, digest: Column, blocked: DataFrame) -> DataFrame:
+    """The rows whose content isn't blocked, whoever they belong to; nulls have no content to block."""
+    return df.withColumn("_sha", digest).join(blocked.select(F.col(blocked.columns[0]).alias("_sha")).distinct(), "_sha", "left_anti").drop("_sha")
+
+
+def scoped(df: DataFrame, by: str, *scopes: DataFrame) -> DataFrame:
+    """The rows that lie within every scope. Scopes hold the keys that may be seen; an empty one shows nothing."""
+    for scope in scopes:
+        df = df.join(scope.select(by).distinct(), by, "left_semi")
+    return df
+
+
+def corrected(rows: DataFrame, truth: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """The rows of `rows` whose fields differ from the truth, nulls being equal to nulls, with the true values."""
+    told = truth.select(*by, F.struct(*fields).alias("_t"))
+    return rows.join(told, by).where(~F.struct(*fields).eqNullSafe(F.col("_t"))).select(*by, *[F.col(f"_t.{f}").alias(f) for f in fields])
+
+
+def merged_keys(stored: Column, old: Column, new: Column) -> Column:
+    """Stored keys without the old ones, then the new ones; each once."""
+    return F.array_union(F.array_except(stored, old), new)

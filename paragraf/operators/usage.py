@@ -65,3 +65,19 @@ def token_bucket(df: DataFrame, user: str, at: str, key: str, capacity: float, p
 
     rows = df.select(F.col(user).alias("user"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("at"), F.col(key).alias("key"))
     return rows.groupBy("user").applyInPandas(run, f"key {df.schema[key].dataType.simpleString()}, user {df.schema[user].dataType.simpleString()}, admitted boolean")
+
+
+def retry_queue(df: DataFrame, by: list[str], order: list[Column], at: str, failed: Column, done: Column) -> DataFrame:
+    """(by, attempts, last): keys whose last outcome is a failure, with their failures since the last success."""
+    own = Window.partitionBy(*by).orderBy(*order)
+    rows = df.where(failed | done).withColumn("_since", F.sum(done.cast("int")).over(own))
+    last = rows.groupBy(*by).agg(F.max("_since").alias("_since"))
+    return rows.join(last, [*by, "_since"]).where(failed).groupBy(*by).agg(F.count("*").alias("attempts"), F.max(at).alias("last"))
+
+
+def paused(df: DataFrame, by: list[str], order: list[Column], at: str, failed: Column, least: int, minutes: int) -> DataFrame:
+    """(by, run, failures, until): runs of `least` failures or more; the source rests from the last of them on."""
+    own = Window.partitionBy(*by).orderBy(*order)
+    rows = df.withColumn("_run", F.sum(F.when(failed, 0).otherwise(1)).over(own)).where(failed)
+    runs = rows.groupBy(*by, F.col("_run").alias("run")).agg(F.count("*").alias("failures"), F.max(at).alias("_last")).where(F.col("failures") >= least)
+    return runs.select(*by, "run", "failures", (F.col("_last") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))).alias("until"))

@@ -21,16 +21,6 @@ def _own(spark: SparkSession, d: str) -> DataFrame:
     return by_ecli.unionByName(by_case).distinct()
 
 
-@query("J3_citation_edges", f"WITH {EDGES} SELECT citing_id, key, id AS cited_id, mentions FROM cite JOIN own USING (key) WHERE id <> citing_id")
-def citation_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _cites(spark, d).join(_own(spark, d), "key").where("id <> citing_id").select("citing_id", "key", F.col("id").alias("cited_id"), "mentions")
-
-
-@query("J4_cited_by", f"WITH {EDGES} SELECT id AS cited_id, count(DISTINCT citing_id) AS citing, CAST(sum(mentions) AS BIGINT) AS mentions FROM cite JOIN own USING (key) WHERE id <> citing_id GROUP BY id")
-def cited_by(spark: SparkSession, d: str) -> DataFrame:
-    return citation_edges(spark, d).groupBy("cited_id").agg(F.count_distinct("citing_id").alias("citing"), F.sum("mentions").alias("mentions"))
-
-
 @query("J6_dangling_keys", f"WITH {EDGES} SELECT key, count(DISTINCT citing_id) AS citing FROM cite WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.key = cite.key) GROUP BY key")
 def dangling(spark: SparkSession, d: str) -> DataFrame:
     return _cites(spark, d).join(_own(spark, d), "key", "left_anti").groupBy("key").agg(F.count_distinct("citing_id").alias("citing"))

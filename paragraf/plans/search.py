@@ -157,17 +157,6 @@ def first_line(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(some).select("doc_id", every.alias("every_word"), some.alias("any_word"))
 
 
-@query(
-    "A14_keys_ranked",
-    """WITH k AS (SELECT DISTINCT decision_id, ord, unnest(ident_keys) AS key FROM decision_chunk), n AS (SELECT decision_id, key, count(*) AS chunks, min(ord) AS first_ord FROM k GROUP BY ALL)
-SELECT decision_id, key, chunks, first_ord, CAST(row_number() OVER (PARTITION BY decision_id ORDER BY chunks DESC, first_ord, key) AS INTEGER) AS place FROM n QUALIFY place <= 5""",
-)
-def keys_ranked(spark: SparkSession, d: str) -> DataFrame:
-    keys = table(spark, d, "decision_chunk").select("decision_id", "ord", F.explode("ident_keys").alias("key")).distinct()
-    counted = keys.groupBy("decision_id", "key").agg(F.count("*").alias("chunks"), F.min("ord").alias("first_ord"))
-    return search.ranked(counted, [F.desc("chunks"), F.asc("first_ord"), F.asc("key")], ["decision_id"], "place").where("place <= 5")
-
-
 @query(
     "A15_eval_metrics",
     f"""WITH {_bm25_sql(['smlouva'], extra=", doc_kind")}, r AS (SELECT doc_kind, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM hit QUALIFY rank <= 50)

@@ -62,20 +62,6 @@ def weighted_mode(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source").agg(F.max_by("bucket", F.struct("weight", "bucket")).alias("bucket"))
 
 
-@query("G4_gap_mode", "WITH g AS (SELECT citing_id, first_at - lag(first_at) OVER (PARTITION BY citing_id ORDER BY first_at, key) AS gap FROM (SELECT DISTINCT citing_id, key, first_at FROM decision_citation)), n AS (SELECT gap, count(*) AS n FROM g WHERE gap BETWEEN 1 AND 5000 GROUP BY gap) SELECT gap, n FROM n ORDER BY n DESC, gap LIMIT 5")
-def gap_mode(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "decision_citation").select("citing_id", "key", "first_at").distinct()
-    gap = F.col("first_at") - F.lag("first_at").over(Window.partitionBy("citing_id").orderBy("first_at", "key"))
-    return rows.select(gap.alias("gap")).where("gap between 1 and 5000").groupBy("gap").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gap").limit(5)
-
-
-@query("G6_masked_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), m AS (SELECT regexp_replace(trim(line), '[0-9]+', '#', 'g') AS line, count(DISTINCT doc_id) AS docs FROM l WHERE length(trim(line)) >= 5 GROUP BY 1) SELECT line, docs FROM m WHERE docs >= 20")
-def masked_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    masked = rows.where(F.length(F.trim("line")) >= 5).select("doc_id", F.regexp_replace(F.trim("line"), "[0-9]+", "#").alias("line"))
-    return masked.groupBy("line").agg(F.count_distinct("doc_id").alias("docs")).where("docs >= 20")
-
-
 @query("G10_nth_label", "SELECT id, case_number, CAST(row_number() OVER (PARTITION BY case_number ORDER BY id) AS INTEGER) AS nth FROM (SELECT DISTINCT id, case_number FROM decision WHERE case_number IS NOT NULL)")
 def nth_label(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "decision").where("case_number is not null").select("id", "case_number").distinct()

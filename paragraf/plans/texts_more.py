@@ -28,11 +28,3 @@ def request(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "decision").where(Request(court="Okresní", sources=("justice", "ns"), since="2015-01-01", until="2020-12-31").predicate()).select("id")
 
 
-@query(
-    "U7_merged_records",
-    "SELECT 't:' || regexp_replace(lower(concat_ws('|', trim(court), CAST(year(decided_on) AS VARCHAR), trim(case_number))), '\\s+', ' ', 'g') AS record_key, count(*) AS listings FROM decision GROUP BY 1",
-)
-def merged_records(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "decision")
-    key = record_key(F.lit(None).cast("string"), F.col("court"), F.year("decided_on"), F.col("case_number"))
-    return merged(rows, key, ["case_number", "legal_sentence", "ecli"]).select("record_key", "listings")

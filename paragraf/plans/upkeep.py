@@ -34,14 +34,6 @@ def upsert_diff(spark: SparkSession, d: str) -> DataFrame:
     return upkeep.difference(rows.where("c_custkey % 7 <> 0"), new, ["c_custkey"], ["c_name", "c_acctbal"], ["c_acctbal"]).select("c_custkey", "c_acctbal", "change")
 
 
-@query("F15_stale_rows", f"WITH {CURRENT}, st AS (SELECT decision_id, min(sha256(body)) AS h FROM decision_text WHERE body IS NOT NULL GROUP BY 1) SELECT cur.id FROM cur LEFT JOIN st ON st.decision_id = cur.id WHERE cur.text_sha256 IS NOT NULL AND (st.h IS NULL OR st.h <> cur.text_sha256 OR cur.parser_version <> 9)")
-def stale_rows(spark: SparkSession, d: str) -> DataFrame:
-    state = table(spark, d, "decision_text").where("body is not null").groupBy(F.col("decision_id").alias("id")).agg(F.min(F.sha2("body", 256)).alias("text_sha256"))
-    rows = _current(spark, d).where("text_sha256 is not null").select("id", "text_sha256", "parser_version")
-    state = state.join(rows.select("id", F.col("parser_version").alias("version")), "id")
-    return upkeep.stale(rows, state, ["id"], "text_sha256", 9).select("id")
-
-
 @query("SK3_blob_dedup", "SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def blob_dedup(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null").select(F.sha2("text", 256).alias("sha"), "doc_id")

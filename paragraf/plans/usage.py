@@ -12,11 +12,6 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events")
 
 
-@query("SK4_usage_daily", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS amount FROM events GROUP BY ALL")
-def usage_daily(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("amount"))
-
-
 @query("A10_last_week", "SELECT user_id, count(*) AS n FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) - 7 FROM events) GROUP BY user_id")
 def last_week(spark: SparkSession, d: str) -> DataFrame:
     newest = _events(spark, d).agg(F.max(F.to_date("ts"))).first()[0]
