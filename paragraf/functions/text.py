@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-#: Letters with marks and what they fold to.
-MARKED = "áàâäãåăąčçćďđéèêëěęíìîïľĺłńňñóòôöõőøŕřšśşťţúùûüůűýÿžźż"
-PLAIN = "aaaaaaaacccddeeeeeeiiiilllnnnooooooorrsssttuuuuuuyyzzz"
+from paragraf.functions.analysis import JOINED
+
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters that a base and marks make up, and their bases, for all planes' first: what stripping marks gives."""
+    marked, plain = [], []
+    for cp in range(0xC0, 0x10000):
+        ch = chr(cp)
+        if 0xD800 <= cp < 0xE000 or ch != ch.lower():
+            continue
+        bare = "".join(c for c in unicodedata.normalize("NFD", ch) if unicodedata.category(c)[0] != "M")
+        if len(bare) == 1 and bare != ch:
+            marked.append(ch), plain.append(bare)
+    return "".join(marked), "".join(plain)
+
+
+MARKED, PLAIN = _plain_letters()
 #: A word: a letter or decimal digit, then letters, digits and marks.
 WORD = r"[\p{L}\p{Nd}][\p{L}\p{Nd}\p{M}]*"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without marks; sharp s and the joined letters are written out. Null stays null."""
-    out = F.translate(F.lower(c), MARKED, PLAIN)
-    for a, b in (("ß", "ss"), ("æ", "ae"), ("œ", "oe")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Lower case without marks, in every script; letters without a mark to strip are written out. Null stays null."""
+    one = "".join(a for a, b in JOINED.items() if len(b) == 1)
+    out = F.translate(F.lower(c), MARKED + one, PLAIN + "".join(JOINED[a] for a in one))
+    for a, b in JOINED.items():
+        out = F.replace(out, F.lit(a), F.lit(b)) if len(b) > 1 else out
+    return F.regexp_replace(out, "\\p{M}+", "")
 
 
 def words(c: Column) -> Column:
@@ -60,8 +78,8 @@ def check_digit_13(c: Column) -> Column:
 def html_text(c: Column) -> Column:
     """Plain text of HTML: scripts and styles dropped, block tags as line breaks, the common entities, blanks collapsed."""
     out = F.regexp_replace(c, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>", " ")
-    out = F.regexp_replace(out, r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article))\b[^>]{0,200}>", "\n")
-    out = F.regexp_replace(out, r"<[a-zA-Z/!][^>]{0,2000}>", "")
+    out = F.regexp_replace(out, r"(?i)<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article))\b[^>]*>", "\n")
+    out = F.regexp_replace(out, r"<[a-zA-Z/!][^>]*>", "")
     for a, b in (("&nbsp;", " "), (" ", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(a), F.lit(b))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n ?", "\n")
