@@ -146,17 +146,6 @@ def best_chunk(spark: SparkSession, d: str) -> DataFrame:
     return best.select("doc_id", "b.*")
 
 
-@query(
-    "F5_first_line_all_any",
-    "WITH v AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS v FROM documents WHERE text IS NOT NULL) SELECT doc_id, (v LIKE '%soud%' AND v LIKE '%smlouv%') AS every_word, (v LIKE '%soud%' OR v LIKE '%smlouv%') AS any_word FROM v WHERE v LIKE '%soud%' OR v LIKE '%smlouv%'",
-)
-def first_line(spark: SparkSession, d: str) -> DataFrame:
-    v = F.lower(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)))
-    rows = _documents(spark, d).where("text is not null").select("doc_id", v.alias("v"))
-    every, some = F.col("v").contains("soud") & F.col("v").contains("smlouv"), F.col("v").contains("soud") | F.col("v").contains("smlouv")
-    return rows.where(some).select("doc_id", every.alias("every_word"), some.alias("any_word"))
-
-
 @query(
     "A15_eval_metrics",
     f"""WITH {_bm25_sql(['smlouva'], extra=", doc_kind")}, r AS (SELECT doc_kind, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM hit QUALIFY rank <= 50)

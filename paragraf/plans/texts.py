@@ -7,18 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paragraf.functions import text as t
 from paragraf.plans.catalogue import query, table
 
-_FOLD = f"replace(replace(replace(translate(lower({{}}), '{t.MARKED}', '{t.PLAIN}'), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe')"
-
-
-@query("X1_fold", f"SELECT id, {_FOLD.format('court')} AS folded FROM decision WHERE court IS NOT NULL")
-def fold(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "decision").where("court is not null").select("id", t.fold(F.col("court")).alias("folded"))
-
-
-@query("X2_vocabulary", r"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}][\p{L}\p{Nd}\p{M}]*')) AS w FROM documents WHERE lower(lang) IN ('cs', 'sk', 'en', 'de', 'fr')) GROUP BY w")
-def vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").where(F.lower("lang").isin("cs", "sk", "en", "de", "fr"))
-    return rows.select(F.explode(t.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+_FOLD = "strip_accents(lower({}))"
 
 
 @query("F6_folded_filter", f"SELECT id FROM decision WHERE {_FOLD.format("concat_ws(' ', court, case_number, legal_sentence)")} LIKE '%spravni soud%'")

@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows sent to Python at once: whole texts travel, so far fewer than Spark's default.
 ARROW_ROWS = 2_000
@@ -83,6 +84,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitioned(df: DataFrame, by: list[str]) -> DataFrame:
+    """df as a table in folders by these columns, in the shared folder: filters on them open only the folders they name."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    _written.append((spark, path))
+    rest = [f for f in df.schema if f.name not in by]
+    return spark.read.schema(StructType([*rest, *[df.schema[c] for c in by]])).parquet(path).select(*df.columns)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
