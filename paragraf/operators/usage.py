@@ -49,22 +49,21 @@ def failure_runs(df: DataFrame, by: list[str], order: list[Column], failed: Colu
 def token_bucket(df: DataFrame, user: str, at: str, key: str, capacity: float, per_second: float) -> DataFrame:
     """(key, user, admitted): a bucket of `capacity` tokens that refills continuously; each row takes one if there is one.
 
-    A row's fate hangs on all before it, so each user's rows are gone through in order in Arrow batches.
-    """
-    import pandas as pd
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["at", "key"], kind="stable")
-        left, last, out = capacity, None, []
-        for t in frame["at"].to_numpy():
-            left = capacity if last is None else min(capacity, left + (t - last) * per_second)
-            last = t
-            out.append(left >= 1)
-            left -= left >= 1
-        return pd.DataFrame({"key": frame["key"].to_numpy(), "user": frame["user"].to_numpy(), "admitted": out})
-
+    A pause in which an empty bucket fills up makes what comes after it independent of what came before. Users' rows are
+    parted at such pauses, and each part is gone through in order on the JVM."""
     rows = df.select(F.col(user).alias("user"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("at"), F.col(key).alias("key"))
-    return rows.groupBy("user").applyInPandas(run, f"key {df.schema[key].dataType.simpleString()}, user {df.schema[user].dataType.simpleString()}, admitted boolean")
+    own = Window.partitionBy("user").orderBy("at", "key")
+    pause = F.col("at") - F.lag("at").over(own)
+    rows = rows.withColumn("_new", F.coalesce(pause * per_second >= capacity, F.lit(True)).cast("int")).withColumn("_part", F.sum("_new").over(own))
+    kind = df.schema[key].dataType.simpleString()
+    start = F.struct(F.lit(float(capacity)).alias("left"), F.lit(None).cast("double").alias("last"), F.array().cast(f"array<struct<key: {kind}, admitted: boolean>>").alias("out"))
+
+    def step(state: Column, r: Column) -> Column:
+        left = F.when(state["last"].isNull(), F.lit(float(capacity))).otherwise(F.least(F.lit(float(capacity)), state["left"] + (r["at"] - state["last"]) * per_second))
+        return F.struct((left - (left >= 1).cast("double")).alias("left"), r["at"].alias("last"), F.concat(state["out"], F.array(F.struct(r["key"].alias("key"), (left >= 1).alias("admitted")))).alias("out"))
+
+    parts = rows.groupBy("user", "_part").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("r"))
+    return parts.select("user", F.explode(F.aggregate("r", start, step, lambda s: s["out"])).alias("o")).select("o.key", "user", "o.admitted")
 
 
 def retry_queue(df: DataFrame, by: list[str], order: list[Column], at: str, failed: Column, done: Column) -> DataFrame:

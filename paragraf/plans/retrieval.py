@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from paragraf.operators import joins, postings, search, spans
+from paragraf.operators import chunks, excerpts as shown, joins, postings, search, spans
 from paragraf.plans.catalogue import query, table
 from paragraf.plans.search import TERMS, WORDS_SQL, _bm25_sql, _documents, opened
 
@@ -307,3 +307,54 @@ def upstream_page(spark: SparkSession, d: str) -> DataFrame:
     pages, skip = upstream_pages(4, 7, 10)
     rows = table(spark, d, "decision").select("id").distinct().orderBy("id").offset((pages[0] - 1) * 10).limit(len(pages) * 10)
     return rows.orderBy("id").offset(skip).limit(7)
+
+
+@query("X10_cover", rf"WITH {BODY} SELECT decision_id AS id, TRUE AS whole, TRUE AS bounded FROM body WHERE regexp_matches(body, '[^\s\x{{A0}}]')")
+def chunk_cover(spark: SparkSession, d: str) -> DataFrame:
+    texts = bodies(spark, d)
+    return chunks.cover(chunks.chunks(texts, "decision_id", "body"), texts, "decision_id", "body")
+
+
+@query("X12_structural_chunks")
+def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.structural_chunks(_files(spark, d), "key", "text")
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files_eval").where("text is not null and key is not null").groupBy("key").agg(F.max("text").alias("text"))
+
+
+@query("X12_cover", r"WITH f AS (SELECT key, max(text) AS text FROM files_eval WHERE text IS NOT NULL AND key IS NOT NULL GROUP BY key) SELECT key AS id, TRUE AS whole, TRUE AS bounded FROM f WHERE regexp_matches(text, '[^\s\x{A0}]')")
+def structural_cover(spark: SparkSession, d: str) -> DataFrame:
+    return chunks.cover(chunks.structural_chunks(_files(spark, d), "key", "text"), _files(spark, d), "key", "text")
+
+
+@query("X26_dissents", f"WITH {BODY} SELECT decision_id, CAST(0 AS INTEGER) AS no, CAST(length(body) + 1 AS INTEGER) AS char_start, CAST(2 * length(body) + 36 AS INTEGER) AS char_end, 'Odlišné stanovisko soudce J. Nováka' AS heading FROM body")
+def dissents(spark: SparkSession, d: str) -> DataFrame:
+    """Each body with a dissenting opinion behind it, as long as itself."""
+    rows = bodies(spark, d).select("decision_id", F.concat("body", F.lit("\nOdlišné stanovisko soudce J. Nováka\n"), F.expr("substring(body, 1, length(body) - 1)")).alias("text"))
+    return chunks.dissents(rows, "decision_id", "text")
+
+
+@query("R19_matches")
+def word_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty best hits of a search, how often its words stand in each, and the best window."""
+    hits = search.top(postings.bm25(opened(spark, d), ["smlouva"]), [F.desc("score"), F.asc("doc_id")], 20).select("doc_id")
+    return shown.shown(_documents(spark, d).select("doc_id", "text").join(F.broadcast(hits), "doc_id"), "doc_id", "text", ["smlouv", "smluv"])
+
+
+_FOLDED = "strip_accents(lower(body))"
+
+
+@query("R20_stretches", f"WITH {BODY}, m AS (SELECT decision_id, CAST((length({_FOLDED}) - length(replace({_FOLDED}, 'promlceni', ''))) / 9 AS INTEGER) AS matches FROM body) SELECT decision_id, least(matches, 200) AS matches FROM m WHERE matches > 0")
+@query("R28_within_document", f"WITH {BODY}, m AS (SELECT decision_id, CAST((length({_FOLDED}) - length(replace({_FOLDED}, 'promlceni', ''))) / 9 AS INTEGER) AS matches FROM body) SELECT decision_id, least(matches, 200) AS matches FROM m WHERE matches > 0")
+def stretches(spark: SparkSession, d: str) -> DataFrame:
+    # lower-casing may lengthen a text, folding must not: only the count is compared
+    return shown.around(bodies(spark, d), "decision_id", "body", "promlčení").select("decision_id", "matches")
+
+
+@query("R21_first_term", f"WITH {BODY} SELECT decision_id, CASE WHEN contains(body, 'vydržení') THEN 'vydržení' WHEN contains(body, 'promlčení') THEN 'promlčení' WHEN contains(body, 'služebnost') THEN 'služebnost' END AS term FROM body")
+def first_term(spark: SparkSession, d: str) -> DataFrame:
+    """The first of the terms that a text holds is the one its preview shows."""
+    terms = F.array(*[F.lit(t) for t in ("vydržení", "promlčení", "služebnost")])
+    return bodies(spark, d).select("decision_id", F.get(F.filter(terms, lambda t: F.contains(F.col("body"), t)), F.lit(0)).alias("term"))

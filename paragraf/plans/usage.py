@@ -64,7 +64,13 @@ def health(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).groupBy("user_id").agg(F.max_by(F.col("event_type") != "error", F.struct("ts", "event_id")).alias("ok"), F.max("ts").alias("seen"))
 
 
-@query("G20_token_bucket")
+@query(
+    "G20_token_bucket",
+    """WITH RECURSIVE r AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+b(user_id, n, event_id, t, admitted, rest) AS (SELECT user_id, n, event_id, t, TRUE, CAST(2 AS DOUBLE) FROM r WHERE n = 1
+UNION ALL SELECT user_id, n, event_id, t, rest >= 1, rest - CAST(rest >= 1 AS DOUBLE) FROM (SELECT r.*, least(CAST(3 AS DOUBLE), b.rest + (r.t - b.t) * CAST(1.0 / 3600 AS DOUBLE)) AS rest FROM b JOIN r ON r.user_id = b.user_id AND r.n = b.n + 1))
+SELECT event_id AS key, user_id AS user, admitted FROM b""",
+)
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     return usage.token_bucket(_events(spark, d), "user_id", "ts", "event_id", 3.0, 1 / 3600)
 

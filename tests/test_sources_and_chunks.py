@@ -63,3 +63,34 @@ def test_merge_fills_gaps(spark):
     df = spark.createDataFrame([("10.1/A", "T", None), ("10.1/a ", None, 2001), (None, "Other", 2000)], "doi string, title string, year int")
     got = {r.record_key: (r.title, r.year, r.listings) for r in answers.merged(df, answers.record_key(F.col("doi"), F.col("title"), F.col("year"), F.lit("x")), ["doi", "title", "year"]).collect()}
     assert got["doi:10.1/a"] == ("T", 2001, 2) and len(got) == 2
+
+
+def test_structural_chunks_keep_to_headings():
+    text = "# A\n" + "Věta. " * 500 + "\n[m. č. 1] Bod.\n# B\nkrátce"
+    lines, at = [], 0
+    for line in text.split("\n"):
+        lines.append((at, at + len(line), chunks._kind(line)))
+        at += len(line) + 1
+    got = chunks.structural(lines, text)
+    assert "".join("".join(text[a:b].split()) for a, b in got) == "".join(text.split()) and all(b - a <= chunks.MOST for a, b in got)
+    assert text[got[-1][0] : got[-1][1]] == "# B\nkrátce"
+
+
+def test_dissents(spark):
+    body = "Nález.\nUplatňuji tímto odlišné stanovisko.\nO d l i š n é  s t a n o v i s k o\n" + "x" * 400 + "\n2. Odlišné stanovisko soudkyně\nkonec"
+    got = chunks.dissents(spark.createDataFrame([(1, body), (2, None), (3, "nic")], "k int, t string"), "k", "t").orderBy("no").collect()
+    assert [(r.no, body[r.char_start : r.char_end].split("\n")[0]) for r in got] == [(0, "O d l i š n é  s t a n o v i s k o"), (1, "2. Odlišné stanovisko soudkyně")]
+
+
+def test_excerpts():
+    from paragraf.operators import excerpts
+
+    text = "První odstavec o ničem.\n" + "slovo " * 100 + "smlouva a smlouvy se uzavírají. " + "jiné " * 200 + "smluvní."
+    spans = excerpts.matches(text, ["smlouv"])
+    assert [text[a:b] for a, b in spans] == ["smlouva", "smlouvy"]
+    start, end, shown = excerpts.best_window(text, spans, 120)
+    assert end - start <= 120 and "smlouva a smlouvy" in shown and shown.startswith("…") and shown.endswith("…")
+    assert excerpts.best_window("Smlouva zní.", [(0, 7)], 600)[2] == "Smlouva zní." and excerpts.best_window("x", []) is None
+    count, windows, told = excerpts.stretches("24. PROMLČENÍ nastalo.\njiný\nO promlceni.", "promlčení")
+    assert (count, windows, told) == (2, 2, "24. PROMLČENÍ nastalo." + excerpts.GAP + "O promlceni.")
+    assert excerpts.stretches("x", " ") == (0, 0, "")
