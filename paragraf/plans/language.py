@@ -159,11 +159,17 @@ def line_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("X13_page_of_line", rf"WITH {LINES}, k AS (SELECT key, n, CASE WHEN regexp_matches(line, '^\[s\. [^\]]+\]') THEN regexp_extract(line, '^\[s\. ([^\]]+)\]', 1) END AS page, CASE WHEN regexp_matches(line, '^\[m\. č\. [0-9]+\]') THEN regexp_extract(line, '^\[m\. č\. ([0-9]+)\]', 1) WHEN regexp_matches(line, '^#{{1,6}} ') THEN '-' END AS margin FROM l), w AS (SELECT key, n, last_value(page IGNORE NULLS) OVER u AS page, last_value(margin IGNORE NULLS) OVER u AS margin FROM k WINDOW u AS (PARTITION BY key ORDER BY n ROWS UNBOUNDED PRECEDING)) SELECT key, CAST(n AS INTEGER) AS n, page, nullif(margin, '-') AS margin FROM w")
-@query("PR14_pinpoints", rf"WITH {LINES}, k AS (SELECT key, n, CASE WHEN regexp_matches(line, '^\[s\. [^\]]+\]') THEN regexp_extract(line, '^\[s\. ([^\]]+)\]', 1) END AS page, CASE WHEN regexp_matches(line, '^\[m\. č\. [0-9]+\]') THEN regexp_extract(line, '^\[m\. č\. ([0-9]+)\]', 1) WHEN regexp_matches(line, '^#{{1,6}} ') THEN '-' END AS margin FROM l), w AS (SELECT key, n, last_value(page IGNORE NULLS) OVER u AS page, last_value(margin IGNORE NULLS) OVER u AS margin FROM k WINDOW u AS (PARTITION BY key ORDER BY n ROWS UNBOUNDED PRECEDING)) SELECT key, CAST(n AS INTEGER) AS n, page, nullif(margin, '-') AS margin FROM w")
 def page_of_line(spark: SparkSession, d: str) -> DataFrame:
     return structure.placed(_files(spark, d), "key", "text").select("key", "n", "page", "margin")
 
 
+@query("PR14_pinpoints", rf"WITH {LINES}, k AS (SELECT key, n, CASE WHEN regexp_matches(line, '^\[s\. [^\]]+\]') THEN regexp_extract(line, '^\[s\. ([^\]]+)\]', 1) END AS page, CASE WHEN regexp_matches(line, '^\[m\. č\. [0-9]+\]') THEN regexp_extract(line, '^\[m\. č\. ([0-9]+)\]', 1) WHEN regexp_matches(line, '^#{{1,6}} ') THEN '-' END AS margin FROM l), w AS (SELECT key, n, last_value(page IGNORE NULLS) OVER u AS page, last_value(margin IGNORE NULLS) OVER u AS margin FROM k WINDOW u AS (PARTITION BY key ORDER BY n ROWS UNBOUNDED PRECEDING)) SELECT key, CAST(n AS INTEGER) AS n, concat_ws(', ', 's. ' || page, 'm. č. ' || nullif(margin, '-')) AS pinpoint FROM w WHERE page IS NOT NULL")
+def pinpoints(spark: SparkSession, d: str) -> DataFrame:
+    """Where a line stands, as it is cited: its page and its margin number."""
+    rows = structure.placed(_files(spark, d), "key", "text").where("page is not null")
+    return rows.select("key", "n", F.concat_ws(", ", F.concat(F.lit("s. "), "page"), F.concat(F.lit("m. č. "), "margin")).alias("pinpoint"))
+
+
 @query("G9_headings_by_words", rf"WITH {LINES}, h AS (SELECT key, n, regexp_replace(line, '^#+ ', '') AS heading FROM l WHERE regexp_matches(line, '^#{{1,6}} ')), m AS (SELECT * FROM h WHERE contains(strip_accents(lower(heading)), 'stav')) SELECT key, heading, count(*) AS found FROM m GROUP BY ALL")
 def headings_by_words(spark: SparkSession, d: str) -> DataFrame:
     rows = structure.line_kinds(_files(spark, d), "key", "text").where("kind = 'heading'").select("key", F.regexp_replace("line", "^#+ ", "").alias("heading"))

@@ -110,24 +110,42 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("X23_references", f"WITH {REFS} SELECT decision_id, n, act, provision FROM ref")
-@query("X24_acts_of_references", f"WITH {REFS} SELECT decision_id, n, act, provision FROM ref")
 def references(spark: SparkSession, d: str) -> DataFrame:
     return _references(spark, d)
 
 
+_RECODED = "CASE" + "".join(f" WHEN g5 = '' AND own = '{new}' AND y < {since} THEN '{old}'" for new, (since, old) in provisions.RECODED.items()) + " ELSE own END"
+REFS_BY_YEAR = REFS.replace("FROM a),", f"FROM (SELECT * REPLACE ({_RECODED} AS own) FROM a LEFT JOIN (SELECT id, max(year(decided_on)) AS y FROM decision GROUP BY id) ON id = decision_id)),", 1)
+
+
+@query("X24_acts_by_year", f"WITH {REFS_BY_YEAR} SELECT act, count(*) AS mentions, count(DISTINCT decision_id) AS decisions FROM ref GROUP BY act")
+def acts_by_year(spark: SparkSession, d: str) -> DataFrame:
+    """References with the code in force in the year of the decision."""
+    years = table(spark, d, "decision").groupBy(F.col("id").alias("decision_id")).agg(F.max(F.year("decided_on")).alias("y"))
+    rows = provisions.references(bodies(spark, d).join(years, "decision_id", "left"), "decision_id", "body", "y")
+    return rows.groupBy("act").agg(F.count("*").alias("mentions"), F.count_distinct("decision_id").alias("decisions"))
+
+
 @query("F11_act_filter", f"WITH {REFS} SELECT DISTINCT decision_id FROM ref WHERE act = 'zak:99/1963' OR decision_id IN (SELECT decision_id FROM ref WHERE provision LIKE 'par:24%')")
 def act_filter(spark: SparkSession, d: str) -> DataFrame:
     return _references(spark, d).where((F.col("act") == "zak:99/1963") | F.startswith("provision", F.lit("par:24"))).select("decision_id").distinct()
 
 
 @query("G8_section_ranges", f"WITH {REFS} SELECT act, min(CAST(regexp_extract(provision, '^par:([0-9]+)', 1) AS INTEGER)) AS low, max(CAST(regexp_extract(provision, '^par:([0-9]+)', 1) AS INTEGER)) AS high, count(DISTINCT decision_id) AS decisions FROM ref WHERE provision LIKE 'par:%' AND act IS NOT NULL GROUP BY act")
-@query("PR12_section_range", f"WITH {REFS} SELECT act, min(CAST(regexp_extract(provision, '^par:([0-9]+)', 1) AS INTEGER)) AS low, max(CAST(regexp_extract(provision, '^par:([0-9]+)', 1) AS INTEGER)) AS high, count(DISTINCT decision_id) AS decisions FROM ref WHERE provision LIKE 'par:%' AND act IS NOT NULL GROUP BY act")
 def section_ranges(spark: SparkSession, d: str) -> DataFrame:
     rows = _references(spark, d).where("provision like 'par:%' and act is not null")
     number = F.regexp_extract("provision", "^par:([0-9]+)", 1).cast("int")
     return rows.groupBy("act").agg(F.min(number).alias("low"), F.max(number).alias("high"), F.count_distinct("decision_id").alias("decisions"))
 
 
+@query("PR12_section_range", f"WITH {REFS}, n AS (SELECT decision_id, act, provision, CAST(regexp_extract(provision, '^par:([0-9]+)', 1) AS INTEGER) AS n FROM ref WHERE provision LIKE 'par:%' AND act IS NOT NULL) SELECT decision_id, act, arg_min(provision, (n, provision)) AS low, arg_max(provision, (n, provision)) AS high FROM n GROUP BY ALL")
+def section_range(spark: SparkSession, d: str) -> DataFrame:
+    """The first and the last provision of an act that a text refers to, by number."""
+    number = F.struct(F.regexp_extract("provision", "^par:([0-9]+)", 1).cast("int"), F.col("provision"))
+    rows = _references(spark, d).where("provision like 'par:%' and act is not null")
+    return rows.groupBy("decision_id", "act").agg(F.min_by("provision", number).alias("low"), F.max_by("provision", number).alias("high"))
+
+
 @query("R30_answers_by_act", f"WITH {REFS} SELECT act, min(decision_id) AS first_decision, count(*) AS n FROM ref WHERE provision LIKE 'par:24%' AND act IS NOT NULL GROUP BY act")
 def answers_by_act(spark: SparkSession, d: str) -> DataFrame:
     rows = _references(spark, d).where(F.startswith("provision", F.lit("par:24")) & F.col("act").isNotNull())

@@ -347,7 +347,6 @@ _FOLDED = "strip_accents(lower(body))"
 
 
 @query("R20_stretches", f"WITH {BODY}, m AS (SELECT decision_id, CAST((length({_FOLDED}) - length(replace({_FOLDED}, 'promlceni', ''))) / 9 AS INTEGER) AS matches FROM body) SELECT decision_id, least(matches, 200) AS matches FROM m WHERE matches > 0")
-@query("R28_within_document", f"WITH {BODY}, m AS (SELECT decision_id, CAST((length({_FOLDED}) - length(replace({_FOLDED}, 'promlceni', ''))) / 9 AS INTEGER) AS matches FROM body) SELECT decision_id, least(matches, 200) AS matches FROM m WHERE matches > 0")
 def stretches(spark: SparkSession, d: str) -> DataFrame:
     # lower-casing may lengthen a text, folding must not: only the count is compared
     return shown.around(bodies(spark, d), "decision_id", "body", "promlčení").select("decision_id", "matches")
@@ -358,3 +357,14 @@ def first_term(spark: SparkSession, d: str) -> DataFrame:
     """The first of the terms that a text holds is the one its preview shows."""
     terms = F.array(*[F.lit(t) for t in ("vydržení", "promlčení", "služebnost")])
     return bodies(spark, d).select("decision_id", F.get(F.filter(terms, lambda t: F.contains(F.col("body"), t)), F.lit(0)).alias("term"))
+
+
+@query("R28_within_document", f"WITH {BODY}, l AS (SELECT decision_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS line_no FROM body WHERE decision_id = (SELECT min(decision_id) FROM body WHERE contains(body, 'promlčení'))) SELECT CAST(line_no AS INTEGER) AS line_no, line FROM l WHERE contains(strip_accents(lower(line)), 'promlceni')")
+def within_document(spark: SparkSession, d: str) -> DataFrame:
+    """One document, the first that holds the word, line by line: its text is read, no index."""
+    from paragraf.functions.text import fold
+
+    texts = bodies(spark, d)
+    first = texts.where(F.col("body").contains("promlčení")).agg(F.min("decision_id").alias("decision_id"))
+    lines = texts.join(F.broadcast(first), "decision_id", "left_semi").select(F.posexplode(F.split("body", "\n", -1)).alias("line_no", "line"))
+    return lines.where(fold(F.col("line")).contains("promlceni"))

@@ -63,12 +63,19 @@ def run_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SK10_filters_on_texts", f"WITH {CURRENT}, t AS (SELECT decision_id, max(char_count) AS char_count FROM decision_text GROUP BY 1) SELECT decision_id, char_count, decided_on, decision_type, court_code FROM t LEFT JOIN cur ON cur.id = decision_id")
-@query("J14_update_from_join", f"WITH {CURRENT}, t AS (SELECT decision_id, max(char_count) AS char_count FROM decision_text GROUP BY 1) SELECT decision_id, char_count, decided_on, decision_type, court_code FROM t LEFT JOIN cur ON cur.id = decision_id")
 def filters_on_texts(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "decision_text").groupBy("decision_id").agg(F.max("char_count").alias("char_count"))
     return texts.join(_current(spark, d).select(F.col("id").alias("decision_id"), "decided_on", "decision_type", "court_code"), "decision_id", "left")
 
 
+@query("J14_recounted", "WITH t AS (SELECT decision_id, max(char_count) AS stored, max(length(body)) AS n FROM decision_text GROUP BY 1), s AS (SELECT decision_id, count(DISTINCT ord) AS pieces, max(char_end) AS reach FROM decision_chunk GROUP BY 1) SELECT s.decision_id, CAST(n AS INTEGER) AS reach FROM s JOIN t USING (decision_id) WHERE reach IS DISTINCT FROM n")
+def recounted(spark: SparkSession, d: str) -> DataFrame:
+    """Stored counters that differ from what a recount gives, with the true value: how far the pieces of each text reach."""
+    stored = table(spark, d, "decision_chunk").groupBy("decision_id").agg(F.max("char_end").alias("reach"))
+    truth = table(spark, d, "decision_text").groupBy("decision_id").agg(F.max(F.length("body")).alias("reach"))
+    return upkeep.corrected(stored, truth, ["decision_id"], ["reach"])
+
+
 @query("SK11_retention", "SELECT event_type, count(*) AS n, min(ts) AS oldest FROM events WHERE ts > (SELECT max(ts) FROM events) - to_days(CASE event_type WHEN 'view' THEN 1 WHEN 'error' THEN 7 ELSE 20 END) GROUP BY event_type")
 def retention(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
@@ -90,13 +97,21 @@ def _copied(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h")
 
 
-@query("SK14_takedown", f"WITH {BLOCKED} SELECT doc_id, source FROM documents WHERE text IS NULL OR sha256(text) NOT IN (SELECT h FROM bad)")
 @query("F23_blocked_hash", f"WITH {BLOCKED} SELECT doc_id, source FROM documents WHERE text IS NULL OR sha256(text) NOT IN (SELECT h FROM bad)")
-def takedown(spark: SparkSession, d: str) -> DataFrame:
+def unblocked(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", "source", "text")
     return upkeep.without_blocked(rows, F.sha2("text", 256), _copied(spark, d)).select("doc_id", "source")
 
 
+@query("SK14_takedown", f"WITH {BLOCKED} SELECT coalesce(lower(trim(source)), '?') AS tenant, count(*) AS held, count(*) FILTER (sha256(text) IN (SELECT h FROM bad)) AS removed FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def taken_down(spark: SparkSession, d: str) -> DataFrame:
+    """How many copies of blocked contents each tenant loses."""
+    rows = table(spark, d, "documents").where("text is not null").select(F.coalesce(F.lower(F.trim("source")), F.lit("?")).alias("tenant"), "text")
+    left = upkeep.without_blocked(rows, F.sha2("text", 256), _copied(spark, d)).groupBy("tenant").agg(F.count("*").alias("left"))
+    held = rows.groupBy("tenant").agg(F.count("*").alias("held"))
+    return held.join(left, "tenant", "left").select("tenant", "held", (F.col("held") - F.coalesce("left", F.lit(0))).alias("removed"))
+
+
 @query("J13_copies_elsewhere", "WITH t AS (SELECT DISTINCT sha256(text) AS h, doc_id, lower(trim(source)) AS s FROM documents WHERE text IS NOT NULL AND source IS NOT NULL), n AS (SELECT h, count(DISTINCT s) AS sources FROM t GROUP BY h) SELECT doc_id, sources - 1 AS elsewhere FROM t JOIN n USING (h) WHERE sources > 1")
 def copies_elsewhere(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null and source is not null").select(F.sha2("text", 256).alias("h"), "doc_id", F.lower(F.trim("source")).alias("s"))
