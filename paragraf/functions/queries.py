@@ -95,3 +95,42 @@ def domino(search: str) -> str:
 def escaped(clause: str, marks: str = r'\"():') -> str:
     """A value within a clause of a catalogue's language."""
     return "".join("\\" + c if c in marks else c for c in clause)
+
+
+def catalogue(title: str | None, author: str | None, since: int | None, until: int | None) -> str:
+    """Clauses of a library catalogue: fields with escaped values, and both bounds of the years whenever one is asked."""
+    parts = [f"{field},contains,{escaped(value, ',;')}" for field, value in (("title", title), ("creator", author)) if value]
+    if since is not None or until is not None:
+        if since is not None and until is not None and since > until:
+            raise ValueError("the range ends before it begins")
+        parts.append(f"dr_s,exact,{since or 1000:04d}0101;dr_e,exact,{until or 9999:04d}1231")
+    if not parts:
+        raise ValueError("nothing is asked")
+    return ";AND;".join(parts)
+
+
+def sparql(words: list[str], limit: int, most: int = 8) -> str:
+    """A search of titles in SPARQL: all words, those of four letters or more by their stem, one row more than asked."""
+    asked = [re.sub(r"[^\w]", "", w.lower()) for w in words]
+    asked = [w for w in dict.fromkeys(asked) if w][:most]
+    if not asked:
+        raise ValueError("nothing is asked")
+    tests = " AND ".join(f'"{w}*"' if len(w) >= 4 else f'"{w}"' for w in asked)
+    return f"SELECT ?work (SAMPLE(?t) AS ?title) WHERE {{ ?work cdm:work_title ?t . ?t bif:contains '{tests}' }} GROUP BY ?work LIMIT {limit + 1}"
+
+
+def item_filter(include: list[str], exclude: list[str], every: list[str], some: list[str], none: list[str]) -> dict[str, list[str]]:
+    """The parameters of a reference manager: types all included or all excluded, tags that all, any or none must hold; a tag
+    that starts with a dash is meant literally."""
+    if include and exclude:
+        raise ValueError("types are included or excluded, not both")
+    literal = lambda tag: "\\" + tag if tag.startswith("-") else tag
+    types = [" || ".join(include)] if include else [f"-{t}" for t in exclude]
+    tags = [literal(t) for t in every] + ([" || ".join(literal(t) for t in some)] if some else []) + [f"-{t}" for t in none]
+    return {"itemType": types, "tag": tags}
+
+
+def planned(search: str, keys: list[str]) -> str:
+    """How a search is answered: by identifiers alone, by words alone, or by both."""
+    words = [w for w in _WORD.findall(search.lower()) if len(w) > 1]
+    return "both" if words and keys else "keys" if keys else "words" if words else "nothing"

@@ -80,3 +80,9 @@ def order(mode: str, date: str, score: str = "score", key: str = "doc_id") -> li
     if mode not in by:
         raise ValueError(f"no such order: {mode}")
     return by[mode]
+
+
+def recall(wanted: DataFrame, rank: str, cuts: list[int]) -> DataFrame:
+    """One row: the share of the wanted rows whose rank is within each cut, and the mean of one over the rank, 0 for none."""
+    shares = [F.round(F.count_if(F.col(rank) <= k) / F.count("*"), 6).alias(f"recall_{k}") for k in cuts]
+    return wanted.agg(*shares, F.round(F.coalesce(F.avg(F.coalesce(1.0 / F.col(rank), F.lit(0.0))), F.lit(0.0)), 6).alias("reciprocal"))

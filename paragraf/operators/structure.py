@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paragraf.functions.text import fold
@@ -99,3 +101,50 @@ def constant(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
     counted = df.groupBy(key, value).agg(F.count("*").alias("_n"))
     best = counted.groupBy(key).agg(F.max_by(F.struct(value, "_n"), F.struct("_n", -F.col(value))).alias("_b"), F.sum("_n").alias("_t"))
     return best.select(key, F.col(f"_b.{value}").alias(value), (F.col("_b._n") >= share * F.col("_t")).alias("constant"))
+
+
+#: Words that tell languages of one script apart; the first of equals wins.
+STOPS = {
+    "cs": ["a", "se", "že", "na", "podle", "ze", "jen", "však"], "sk": ["a", "sa", "že", "na", "podľa", "zo", "iba", "však"], "en": ["the", "of", "that", "was", "to", "in", "and", "for"],
+    "de": ["der", "die", "das", "dass", "von", "vom", "und", "nicht"], "fr": ["le", "la", "que", "du", "les", "était", "et", "des"],
+}
+#: Scripts that tell a language by themselves; kana before Han, which Japanese has too.
+SCRIPTS = [("ja", "[\\u3040-\\u30ff]"), ("zh", "[\\u4e00-\\u9fff]"), ("th", "[\\u0e01-\\u0e5b]"), ("hi", "[\\u0900-\\u097f]"), ("ar", "[\\u0600-\\u06ff]")]
+
+
+def _among(own: list[str]) -> Callable[[Column], Column]:
+    return lambda x: x.isin(own)
+
+
+def language(text: Column, words: Column) -> Column:
+    """The language of a text by its script, else by the words that stand most often in it; null where none does."""
+    counts = {lang: F.size(F.filter(words, _among(own))) for lang, own in STOPS.items()}
+    most = F.greatest(*counts.values())
+    out = F.lit(None).cast("string")
+    for lang in reversed(STOPS):
+        out = F.when(counts[lang] == most, lang).otherwise(out)
+    out = F.when(most > 0, out)
+    for lang, script in reversed(SCRIPTS):
+        out = F.when(text.rlike(script), lang).otherwise(out)
+    return out
+
+
+def escaped(c: Column) -> Column:
+    """Lines that look like marks of a structured text, with a backslash before."""
+    return F.regexp_replace(c, r"(?m)^(#|\[s\. |\[m\. č\. |\[\^)", r"\\$1")
+
+
+def sliced(df: DataFrame, key: str, text: str, first: int, last: int) -> DataFrame:
+    """(key, slice): the lines of pages whose number lies in the range, in order."""
+    rows = placed(df, key, text).where(F.col("page").try_cast("int").between(first, last))
+    listed = F.array_sort(F.collect_list(F.struct("n", "line")))
+    return rows.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("slice"))
+
+
+def broken_words(df: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n, joined, known): words that a hyphen breaks at a line's end, joined with what the next line goes on with."""
+    rows = df.select(key, F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
+    after = F.lead("line").over(Window.partitionBy(key).orderBy("n"))
+    rows = rows.select(key, "n", F.lower(F.regexp_extract(F.rtrim("line"), r"(\p{L}+)[-¬]$", 1)).alias("_a"), F.lower(F.regexp_extract(after, r"^\s*(\p{Ll}+)", 1)).alias("_c")).where("_a <> '' and _c <> ''")
+    rows = rows.select(key, "n", F.concat("_a", "_c").alias("joined"))
+    return rows.join(known.select("joined", F.lit(True).alias("known")), "joined", "left").select(key, "n", "joined", F.coalesce("known", F.lit(False)).alias("known"))

@@ -71,19 +71,3 @@ def span_merge(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("decision_id", "island").agg(F.min("char_start").alias("span_start"), F.max("char_end").alias("span_end")).drop("island")
 
 
-@query("X35_language", """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}]+') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, len(list_filter(w, lambda x: list_contains(['a', 'se', 'že', 'na', 'podle', 'ze'], x))) AS cs, len(list_filter(w, lambda x: list_contains(['the', 'of', 'that', 'was', 'to', 'in'], x))) AS en, len(list_filter(w, lambda x: list_contains(['der', 'die', 'das', 'dass', 'von', 'vom'], x))) AS de, len(list_filter(w, lambda x: list_contains(['le', 'la', 'que', 'du', 'les', 'était'], x))) AS fr FROM w)
-SELECT doc_id, CASE WHEN greatest(cs, en, de, fr) = 0 THEN NULL WHEN cs = greatest(cs, en, de, fr) THEN 'cs' WHEN en = greatest(cs, en, de, fr) THEN 'en' WHEN de = greatest(cs, en, de, fr) THEN 'de' ELSE 'fr' END AS guess FROM s""")
-def language(spark: SparkSession, d: str) -> DataFrame:
-    stops = {"cs": ["a", "se", "že", "na", "podle", "ze"], "en": ["the", "of", "that", "was", "to", "in"], "de": ["der", "die", "das", "dass", "von", "vom"], "fr": ["le", "la", "que", "du", "les", "était"]}
-
-    def held(own: list[str]):
-        return F.size(F.filter("w", lambda x: x.isin(own)))
-
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("w"))
-    counts = rows.select("doc_id", *[held(own).alias(lang) for lang, own in stops.items()])
-    most = F.greatest(*stops)
-    guess = F.lit(None).cast("string")
-    for lang in reversed(stops):
-        guess = F.when(F.col(lang) == most, lang).otherwise(guess)
-    return counts.select("doc_id", F.when(most > 0, guess).alias("guess"))

@@ -40,20 +40,6 @@ def blob_dedup(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
 
-@query(
-    "A5_status_report",
-    f"""WITH {CURRENT}, t AS (SELECT decision_id, max(char_count) AS chars FROM decision_text GROUP BY 1)
-SELECT source, count(*) AS decisions, count(t.decision_id) AS texts, count(*) FILTER (chars < 1000) AS short_texts, count(*) FILTER (gone_at IS NOT NULL) AS gone, count(DISTINCT lower(trim(court))) AS courts, max(decided_on) AS newest FROM cur LEFT JOIN t ON t.decision_id = cur.id GROUP BY source""",
-)
-def status_report(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "decision_text").groupBy(F.col("decision_id").alias("id")).agg(F.max("char_count").alias("chars"), F.lit(1).alias("held"))
-    rows = _current(spark, d).join(texts, "id", "left")
-    return rows.groupBy("source").agg(
-        F.count("*").alias("decisions"), F.count("held").alias("texts"), F.count_if(F.col("chars") < 1000).alias("short_texts"),
-        F.count_if(F.col("gone_at").isNotNull()).alias("gone"), F.count_distinct(F.lower(F.trim("court"))).alias("courts"), F.max("decided_on").alias("newest"),
-    )
-
-
 @query("A6_type_histogram", f"WITH {CURRENT} SELECT source, coalesce(decision_type, '?') AS kind, count(*) AS n FROM cur GROUP BY ALL")
 def type_histogram(spark: SparkSession, d: str) -> DataFrame:
     return _current(spark, d).groupBy("source", F.coalesce("decision_type", F.lit("?")).alias("kind")).agg(F.count("*").alias("n"))
