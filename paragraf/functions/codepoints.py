@@ -126,12 +126,13 @@ def word_spans(cps: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(rows, start, "right") - 1
 
 
-def shingle_sets(cps: np.ndarray, rows: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each row the sorted distinct hashes of its runs of `width` consecutive lower-cased words."""
+def shingle_table(cps: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): for each row the sorted distinct hashes of its runs of `width` consecutive lower-cased words, one row
+    after another; bounds are where each row begins and the end."""
     start, end, row = word_spans(cps, rows)
     n = len(rows) - 1
     if len(start) < width:
-        return [np.zeros(0, np.uint64)] * n
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     words = span_hash(prefix_hash(lowered(cps)), start, end)
     last = len(words) - width + 1
     h = np.zeros(last, np.uint64)
@@ -140,4 +141,14 @@ def shingle_sets(cps: np.ndarray, rows: np.ndarray, width: int) -> list[np.ndarr
     whole = row[:last] == row[width - 1 :]
     h, row = h[whole], row[:last][whole]
     bounds = np.searchsorted(row, np.arange(n + 1))
-    return [np.unique(h[bounds[i] : bounds[i + 1]]) for i in range(n)]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        h[a:b].sort()
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[once], np.searchsorted(row[once], np.arange(n + 1))
+
+
+def shingle_sets(cps: np.ndarray, rows: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each row the sorted distinct hashes of its runs of `width` consecutive lower-cased words."""
+    h, bounds = shingle_table(cps, rows, width)
+    return [h[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
