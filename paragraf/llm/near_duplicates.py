@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paragraf.functions.codepoints import BASE, UNICODE, mix, same_unicode, shingle_sets, slices
+from paragraf.functions.codepoints import BASE, UNICODE, mix, same_unicode, shingle_sets, shingle_table, slices
 from paragraf.session import cut
 
 #: Frequent n-grams that are known to all tasks, by falling frequency: 12 bytes each.
@@ -44,9 +44,11 @@ BLOCKS = 16
 BITS, SIDE, MOST = 46, 2, (1 << 15) - 1
 
 
-def _fingerprint(grams: np.ndarray) -> int:
-    """One number for a set of n-grams: equal sets have equal numbers."""
-    return int(mix(np.array([mix(grams).sum(dtype=np.uint64) ^ np.uint64(len(grams))], np.uint64)).view(np.int64)[0])
+def _fingerprints(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One number for each set of n-grams, lying one after another: equal sets have equal numbers."""
+    total = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(mix(grams), out=total[1:])
+    return mix((total[bounds[1:]] - total[bounds[:-1]]) ^ np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
 def _blocks(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,19 +56,25 @@ def _blocks(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (grams >> np.uint64(65 - BLOCKS.bit_length())).astype(np.int64), (grams >> np.uint64(20)) % np.uint64(BITS)
 
 
-def _parity(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The blocks that a sorted set has n-grams in, where each begins, and its parity bitmap."""
-    block, bit = _blocks(grams)
-    first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(grams) else np.zeros(0, np.int64)
-    return block[first], first, np.bitwise_xor.reduceat(np.uint64(1) << bit, first) if len(grams) else np.zeros(0, np.uint64)
-
-
-def _signature(grams: np.ndarray) -> bytes:
-    """A parity bitmap of the whole set, of a power of two bits, at least twice as many as n-grams. A longer bitmap folds
+def _bitmaps(grams: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A parity bitmap of each whole set, of a power of two bits, at least twice as many as n-grams. A longer bitmap folds
     into a shorter one by joining its halves with exclusive or, so any two can be compared."""
-    bits = 1 << max(8, (2 * len(grams) - 1).bit_length() if len(grams) else 8)
-    odd = np.bincount(((grams >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    size = np.diff(bounds)
+    bits = np.maximum(8, np.ceil(np.log2(np.maximum(1, 2 * size))).astype(np.int64))
+    row = np.repeat(np.arange(len(size)), size)
+    out: list[bytes] = [b""] * len(size)
+    for k in np.unique(bits).tolist():  # sets of one length at a time
+        mine = np.flatnonzero(bits == k)
+        place = np.full(len(size), -1)
+        place[mine] = np.arange(len(mine))
+        here = place[row] >= 0
+        bit = ((grams[here] >> np.uint64(8)) & np.uint64((1 << k) - 1)).astype(np.int64)
+        odd = np.bincount((place[row[here]] << k) + bit, minlength=len(mine) << k) & 1
+        packed = np.packbits(odd.astype(np.uint8)).tobytes()
+        step = (1 << k) // 8
+        for j, i in enumerate(mine.tolist()):
+            out[i] = packed[j * step : (j + 1) * step]
+    return pa.array(out, pa.binary())
 
 
 def _signatures(width: int, unicode: str = UNICODE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -95,12 +103,10 @@ def _signatures(width: int, unicode: str = UNICODE) -> Callable[[Iterator[pa.Rec
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for first, last, cps, rows in slices(batch.column(1), CHARS):
-                sets = shingle_sets(cps, rows, width)
-                prints = np.array([_fingerprint(s) for s in sets], np.int64)
-                sizes = np.array([len(s) for s in sets], np.int32)
-                parts.extend(sets)
-                held += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), pa.array(ids[first:last].astype(np.int64)), pa.array(prints), pa.array(sizes), pa.array([_signature(s) for s in sets], pa.binary())], names=names)
+                every, bounds = shingle_table(cps, rows, width)
+                parts.append(every)
+                held += len(every)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(last - first, np.int8)), pa.array(ids[first:last].astype(np.int64)), pa.array(_fingerprints(every, bounds)), pa.array(np.diff(bounds).astype(np.int32)), _bitmaps(every, bounds)], names=names)
             if held > FOLD:
                 fold()
         fold()
@@ -111,23 +117,30 @@ def _signatures(width: int, unicode: str = UNICODE) -> Callable[[Iterator[pa.Rec
     return run
 
 
-def _rarest(grams: np.ndarray, limit: float, frequent: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the sorted n-grams of one text: the rarest of each block, so many that similar texts meet at one; with each the
-    n-grams that the text has in the block, their parity bitmap and two free bits; and the texts that hold it, as far as it
-    is frequent."""
+def _rarest(grams: np.ndarray, bounds: np.ndarray, limit: float, frequent: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, n-gram, about, texts) for the sorted n-grams of texts lying one after another: of each text and block the rarest,
+    so many that similar texts meet at one; about holds the n-grams that the text has in the block, their parity bitmap and
+    two free bits; texts is how many hold the n-gram, as far as it is frequent."""
     n = len(grams)
-    _, first, parity = _parity(grams)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    block, bit = _blocks(grams)
+    own = row * BLOCKS + block
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     size = np.diff(np.append(first, n))
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << bit, first)
     weight = np.zeros(n, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
         weight = np.where(frequent[at] == grams, texts[at], 0)
     which = np.repeat(np.arange(len(first)), size)
-    order = np.lexsort((weight, which))
+    order = np.arange(n)
+    heavy = np.flatnonzero(np.maximum.reduceat(weight, first) > 0)  # only where a frequent n-gram stands does the order change
+    mixed = np.isin(which, heavy)
+    order[mixed] = order[mixed][np.lexsort((weight[mixed], which[mixed]))]
     take = size - np.ceil(limit * size - 1e-9).astype(np.int64) + 1
     chosen = order[np.arange(n) - first[which] < take[which]]
     about = (np.minimum(size, MOST) << BITS + SIDE) | (parity.view(np.int64) << SIDE)
-    return grams[chosen], about[which[chosen]], weight[chosen]
+    return row[chosen], grams[chosen], about[which[chosen]], weight[chosen]
 
 
 def _cells(doc: np.ndarray, texts: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,19 +169,18 @@ def _incidence(width: int, limit: float, frequent: np.ndarray, texts: np.ndarray
         seen: set[int] = set()
         for batch in batches:
             for _, _, cps, rows in slices(batch.column(1), CHARS):
-                grams, docs, about, held = [], [], [], []
-                for own in shingle_sets(cps, rows, width):
-                    if len(own) == 0 or (key := _fingerprint(own)) in seen:
-                        continue
-                    seen.add(key)
-                    g, a, t = _rarest(own, limit, frequent, texts)
-                    grams.append(g), about.append(a), held.append(t), docs.append(np.full(len(g), key))
-                if grams:
-                    doc = np.concatenate(docs)
-                    row, cell, side = _cells(doc, np.concatenate(held), hot)
-                    gram = np.concatenate(grams)[row]
-                    gram = np.where(cell > 0, mix(gram + cell.astype(np.uint64) * np.uint64(BASE)), gram)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc[row]), pa.array(np.concatenate(about)[row] | side)], names=["gram", "doc", "about"])
+                every, bounds = shingle_table(cps, rows, width)
+                docs, size = _fingerprints(every, bounds), np.diff(bounds)
+                new = np.array([n > 0 and d not in seen and not seen.add(d) for d, n in zip(docs.tolist(), size.tolist(), strict=True)], bool)
+                every, docs = every[np.repeat(new, size)], docs[new]
+                if not len(docs):
+                    continue
+                place, grams, about, held = _rarest(every, np.append(0, np.cumsum(size[new])), limit, frequent, texts)
+                doc = docs[place]
+                row, cell, side = _cells(doc, held, hot)
+                gram = grams[row]
+                gram = np.where(cell > 0, mix(gram + cell.astype(np.uint64) * np.uint64(BASE)), gram)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(doc[row]), pa.array(about[row] | side)], names=["gram", "doc", "about"])
 
     return run
 
