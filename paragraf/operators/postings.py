@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from paragraf.functions.text import words
-from paragraf.session import checkpoint_dir
+from paragraf.session import checkpoint_dir, kept
 
 #: The usual constants of the ranking formula.
 K1, B = 1.2, 0.75
@@ -72,7 +72,9 @@ def build(df: DataFrame, key: str, text: str, keep: list[str] | None = None, ana
     keep names columns that go along with the documents, to filter and rank by. A term that many documents hold is spread
     over several files of its bucket."""
     spark = df.sparkSession
-    path = path or f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    if path is None:
+        path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+        kept.append((spark, path))  # removed when the driver ends; one with a folder of its own stays
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc"), *(keep or []), F.explode(F.array(analyse(F.col(text)))).alias("w"))
     rows.select("doc", F.size("w").alias("dl"), *(keep or [])).write.mode("overwrite").parquet(f"{path}/docs")
     held = rows.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").cast("int").alias("tf"))

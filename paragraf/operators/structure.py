@@ -148,3 +148,27 @@ def broken_words(df: DataFrame, known: DataFrame, key: str, text: str) -> DataFr
     rows = rows.select(key, "n", F.lower(F.regexp_extract(F.rtrim("line"), r"(\p{L}+)[-¬]$", 1)).alias("_a"), F.lower(F.regexp_extract(after, r"^\s*(\p{Ll}+)", 1)).alias("_c")).where("_a <> '' and _c <> ''")
     rows = rows.select(key, "n", F.concat("_a", "_c").alias("joined"))
     return rows.join(known.select("joined", F.lit(True).alias("known")), "joined", "left").select(key, "n", "joined", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def input_view(df: DataFrame, key: str, text: str, front: int = 9_000, outline: int = 3_000) -> DataFrame:
+    """(key, front, outline): what proposals about a text are read from: its beginning, and its headings as far as they fit."""
+    heads = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("^#{1,6} "))
+    return df.select(key, F.substring(F.col(text), 1, front).alias("front"), F.substring(F.array_join(heads, "\n"), 1, outline).alias("outline"))
+
+
+def proposals(df: DataFrame, key: str, text: str, title: str, year: str) -> DataFrame:
+    """(key, field, value, source, confidence): what is known about a text and what its beginning says, each with how far it
+    is to be trusted."""
+    view = df.join(input_view(df.select(key, text), key, text), key)
+    first = F.regexp_extract("outline", "^#{1,6} ([^\\n]+)", 1)
+    printed = F.regexp_extract("front", "(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1)
+    one = lambda field, value, source, confidence: F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))
+    every = F.array(one("title", F.trim(title), "record", 0.95), one("title", F.when(first != "", F.trim(first)), "heading", 0.6), one("year", F.col(year), "record", 0.95), one("year", F.when(printed != "", printed), "front", 0.3))
+    return view.select(key, F.explode(every).alias("p")).select(key, "p.*").where("value <> ''")
+
+
+def accepted_record(df: DataFrame, key: str, longest: int = 300) -> DataFrame:
+    """(key, title, year): the most trusted valid proposal of each field; a year lies between 1400 and 2100, a title is cut."""
+    good = (F.col("field") != "year") | F.col("value").try_cast("int").between(1400, 2100)
+    best = df.where(good).groupBy(key, "field").agg(F.max_by("value", F.struct("confidence", "value")).alias("v"))
+    return best.groupBy(key).agg(F.substring(F.max(F.when(F.col("field") == "title", F.col("v"))), 1, longest).alias("title"), F.max(F.when(F.col("field") == "year", F.col("v"))).cast("int").alias("year"))

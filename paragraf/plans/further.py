@@ -215,3 +215,29 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '[\\x{{3040}}-\\x{{30FF}}]') THEN
 def language(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("w"))
     return rows.select("doc_id", structure.language(F.col("text"), F.col("w")).alias("guess"))
+
+
+PROPOSED = rf"""f AS (SELECT key, max(text) AS text, max_by(meta.title, text) AS title, max_by(meta.year, text) AS year FROM (SELECT DISTINCT key, text, meta FROM files_eval WHERE text IS NOT NULL AND key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY text DESC, meta IS NULL) = 1) GROUP BY key),
+v AS (SELECT *, substr(text, 1, 9000) AS front, substr(array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#{{1,6}} ')), chr(10)), 1, 3000) AS outline FROM f),
+p AS (SELECT key, 'title' AS field, trim(title) AS value, 'record' AS source, 0.95 AS confidence FROM v UNION ALL SELECT key, 'title', trim(regexp_extract(outline, '^#{{1,6}} ([^\n]+)', 1)), 'heading', 0.6 FROM v UNION ALL SELECT key, 'year', CAST(year AS VARCHAR), 'record', 0.95 FROM v UNION ALL SELECT key, 'year', regexp_extract(front, '(?:^|[^0-9])((?:19|20)[0-9]{{2}})(?:[^0-9]|$)', 1), 'front', 0.3 FROM v),
+proposed AS (SELECT * FROM p WHERE value <> '')"""
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "files_eval").where("text is not null and key is not null")
+    return rows.groupBy("key").agg(F.max_by(F.struct("text", F.col("meta.title").alias("title"), F.col("meta.year").alias("year")), F.struct("text", F.col("meta").isNotNull())).alias("r")).select("key", "r.*")
+
+
+@query("PR19_input_view", f"WITH {PROPOSED} SELECT key, front, outline FROM v")
+def input_view(spark: SparkSession, d: str) -> DataFrame:
+    return structure.input_view(_described(spark, d), "key", "text")
+
+
+@query("PR17_proposals", f"WITH {PROPOSED} SELECT key, field, value, source, CAST(confidence AS DOUBLE) AS confidence FROM proposed")
+def proposals(spark: SparkSession, d: str) -> DataFrame:
+    return structure.proposals(_described(spark, d), "key", "text", "title", "year")
+
+
+@query("PR18_accepted_record", f"WITH {PROPOSED}, g AS (SELECT * FROM proposed WHERE field <> 'year' OR try_cast(value AS INTEGER) BETWEEN 1400 AND 2100), b AS (SELECT key, field, arg_max(value, (confidence, value)) AS v FROM g GROUP BY ALL) SELECT key, substr(max(v) FILTER (field = 'title'), 1, 300) AS title, CAST(max(v) FILTER (field = 'year') AS INTEGER) AS year FROM b GROUP BY key")
+def accepted_record(spark: SparkSession, d: str) -> DataFrame:
+    return structure.accepted_record(structure.proposals(_described(spark, d), "key", "text", "title", "year"), "key")

@@ -102,3 +102,9 @@ def act_aliases(spark: SparkSession, d: str) -> DataFrame:
     acts = items.select(F.from_json("item", "act bigint, title string").alias("i")).select("i.*")
     return acts.select("act", F.regexp_extract("title", r"Sb\., (.*) \(", 1).alias("name"), F.regexp_extract("title", r"\(([^()]+)\)$", 1).alias("short"))
 
+
+
+@query("SC17_structured_html", "SELECT c_custkey, '## ' || c_name || chr(10) || chr(10) || c_mktsegment || chr(10) || chr(10) || '- a' || chr(10) || chr(10) || '- b' AS text FROM customer")
+def structured_html(spark: SparkSession, d: str) -> DataFrame:
+    html = F.concat(F.lit("<h2>"), _escaped(F.col("c_name")), F.lit("</h2><p><i>"), _escaped(F.col("c_mktsegment")), F.lit("</i></p><ul><li>a</li><li>b</li></ul>"))
+    return landing.page_texts(table(spark, d, "customer").select("c_custkey", html.alias("html")), "c_custkey", "html", landing.structured)

@@ -97,9 +97,26 @@ def partitioned(df: DataFrame, by: list[str]) -> DataFrame:
 _written: list[tuple[SparkSession, str]] = []
 
 
-@atexit.register
-def _remove() -> None:
-    for spark, path in _written:
+def clear(only: SparkSession | None = None) -> None:
+    """Remove the tables written so far, all or one session's: for a caller that has saved its results and goes on. What was
+    read from them can't be computed again afterwards."""
+    gone = [(spark, path) for spark, path in _written if only is None or spark is only]
+    _written[:] = [x for x in _written if x not in gone]
+    _remove(gone)
+
+
+def _remove(places: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in places:
         with contextlib.suppress(Exception):  # the session may have ended before
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: What a session keeps until the driver ends, such as a search index without a folder of its own.
+kept: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _end() -> None:
+    clear()
+    _remove(kept)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -103,6 +103,24 @@ def html_text(html: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", text)).strip(" \n")
 
 
+class _Marked(_Text):
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        super().handle_starttag(tag, attrs)
+        if re.fullmatch("h[1-6]", tag):
+            self.out.append("#" * int(tag[1]) + " ")
+        elif tag == "li":
+            self.out.append("- ")
+
+
+def structured(html: str) -> str:
+    """The text of a page with headings and list items marked as in a structured text."""
+    p = _Marked()
+    p.feed(html)
+    p.close()
+    text = re.sub(r"[ \t\r]+", " ", "".join(p.out).replace("\u00a0", " "))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", text)).strip(" \n")
+
+
 class _Cells(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -143,15 +161,15 @@ def listing(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), html).mapInArrow(_pages, f"key {kind}, place int, cells array<string>").withColumnRenamed("key", key)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if h is None else html_text(h) for h in batch.column(1).to_pylist()], pa.string())], names=["key", "text"])
+def page_texts(df: DataFrame, key: str, html: str, read: Callable[[str], str] = html_text) -> DataFrame:
+    """(key, text) of landed pages, plain or, with `structured`, marked."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if h is None else read(h) for h in batch.column(1).to_pylist()], pa.string())], names=["key", "text"])
 
-def page_texts(df: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, text) of landed pages."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), html).mapInArrow(_texts, f"key {kind}, text string").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), html).mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
 def rtf_text(c: Column) -> Column:

@@ -34,3 +34,14 @@ def test_no_query_crosses_tables(spark):
     for name in ("J3_citation_edges", "J7_asof_view", "J9_offsets_in_chunks", "F16_leaf_keys", "p2_found"):
         text = plan(__spark_entry__.queries()[name](spark, DATA))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
+
+
+def test_jobs_write_tables(spark, tmp_path):
+    from paragraf import jobs
+    from paragraf.operators import postings
+
+    for job in ("sections", "references", "index"):
+        jobs.main([job, "--tables", DATA, "--out", str(tmp_path / job)])
+    assert {r.kind for r in spark.read.parquet(str(tmp_path / "sections")).select("kind").distinct().collect()} >= {"zahlavi", "vyrok", "oduvodneni"}
+    assert spark.read.parquet(str(tmp_path / "references")).count() > 0
+    assert postings.bm25(postings.opened(spark, str(tmp_path / "index"), "decision_id"), ["soud"]).count() > 0
