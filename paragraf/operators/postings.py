@@ -20,6 +20,8 @@ from paragraf.session import checkpoint_dir, kept
 K1, B = 1.2, 0.75
 #: Buckets of terms: a search of a few terms opens as many folders.
 BUCKETS = 64
+#: Words of the texts for each file of a bucket.
+FILE_WORDS = 5_000_000
 POSTINGS = "term string, doc long, dl int, tf int, bucket int"
 
 
@@ -77,8 +79,10 @@ def build(df: DataFrame, key: str, text: str, keep: list[str] | None = None, ana
         kept.append((spark, path))  # removed when the driver ends; one with a folder of its own stays
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc"), *(keep or []), F.explode(F.array(analyse(F.col(text)))).alias("w"))
     rows.select("doc", F.size("w").alias("dl"), *(keep or [])).write.mode("overwrite").parquet(f"{path}/docs")
+    words = spark.read.parquet(f"{path}/docs").agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("n")).first().n
+    files = int(words / (buckets * FILE_WORDS)) + 1  # of each bucket: a frequent term's rows lie in all of them
     held = rows.select("doc", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "doc", "dl").agg(F.count("*").cast("int").alias("tf"))
-    held.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    held.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(buckets * files, "bucket", F.pmod(F.xxhash64("doc"), F.lit(files))).sortWithinPartitions("bucket", "term", "doc").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     _read(spark, f"{path}/postings", POSTINGS).groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     return opened(spark, path, key, buckets)
 
