@@ -30,4 +30,19 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ST2_stream_once", "SELECT DISTINCT event_id FROM events")
 def stream_once(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.run(jobs.once(_arriving(spark, d), "event_id", "ts"), "append").select("event_id")
+    """Two deliveries, the second one reading the last week again: each event counts once."""
+    events = table(spark, d, "events")
+    newest = events.agg(F.max("ts").alias("t")).first().t
+    again = events.where(F.col("ts") > F.lit(newest).cast("timestamp_ntz") - F.make_dt_interval(F.lit(7)))
+    folder = jobs.delivered(spark, [events, again])
+    return jobs.run(jobs.once(jobs.arriving(spark, folder, "*.parquet", events, files=1), "event_id", "ts"), "append").select("event_id")
+
+
+@query("ST2_delivered_again", "SELECT count(*) + count(*) FILTER (ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY) AS delivered, count(DISTINCT event_id) AS kept FROM events")
+def delivered_again(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows came in both deliveries, and how many were kept."""
+    events = table(spark, d, "events")
+    newest = events.agg(F.max("ts").alias("t")).first().t
+    again = events.where(F.col("ts") > F.lit(newest).cast("timestamp_ntz") - F.make_dt_interval(F.lit(7)))
+    kept = stream_once(spark, d).agg(F.count("*").alias("kept"))
+    return events.select("event_id").unionByName(again.select("event_id")).agg(F.count("*").alias("delivered"), F.lit(1).alias("_one")).join(kept.withColumn("_one", F.lit(1)), "_one").drop("_one")  # a row each

@@ -20,6 +20,10 @@ ARROW_ROWS = 2_000
 ARROW_BYTES = "16m"
 
 
+#: Bytes of input for a task of work that is heavy for each byte.
+SPREAD_BYTES = 8_000_000
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "paragraf") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings the session."""
     return (
@@ -84,6 +88,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, by: list[str], size: int = SPREAD_BYTES) -> DataFrame:
+    """df by hash over as many tasks as it has `size` bytes in its files, at least as many as there are cores: for work that
+    is heavy for each byte, which large row groups would leave to a few tasks."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    known = stats if stats < 1 << 50 else 0  # without files the optimizer doesn't know
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, known // size + 1), *by)
+
+
 def partitioned(df: DataFrame, by: list[str]) -> DataFrame:
     """df as a table in folders by these columns, in the shared folder: filters on them open only the folders they name."""
     spark = df.sparkSession

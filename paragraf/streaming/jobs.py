@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paragraf.session import checkpoint_dir
+from paragraf.session import checkpoint_dir, kept
 
 
 def arriving(spark: SparkSession, folder: str, pattern: str, like: DataFrame, files: int = 8) -> DataFrame:
@@ -15,6 +15,15 @@ def arriving(spark: SparkSession, folder: str, pattern: str, like: DataFrame, fi
     return rows.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in like.dtypes])
 
 
+def delivered(spark: SparkSession, deliveries: list[DataFrame]) -> str:
+    """A folder into which the deliveries were written one after another, as a source would land them."""
+    folder = f"{checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
+    for rows in deliveries:
+        rows.write.mode("append").parquet(folder)
+    kept.append((spark, folder))
+    return folder
+
+
 def hourly(events: DataFrame, at: str, late: str = "14 days") -> DataFrame:
     """(hour, event_type, n); rows later than `late` are no longer counted."""
     return events.withWatermark(at, late).groupBy(F.window(at, "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
