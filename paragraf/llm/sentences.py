@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from paragraf.session import spread
+
 #: Private-use characters: a line break that stands for a space, the edge of a quotation, a cut, and masked marks.
 SOFT, EDGE, CUT = "\uf8d0", "\uf8d1", "\uf8d2"
 MARKS = ".!?…。！？।؟"
@@ -176,6 +178,7 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("t")).where(F.col("t").isNotNull() & (F.col("t") != ""))
     # only a text that itself holds one of the private characters goes along whole; others come back from their parts
+    rows = spread(rows, ["key", "t"])
     rows = rows.withColumn("whole", F.when(F.contains(F.col("t").cast("binary"), F.lit(b"\xef\xa3")), F.col("t")))
     for step in (_lines, _width, _soften, _mask_spans, _mask_dots, _cut_spaced, _cut_unspaced, _cut_thai, _lengths, _groups, _heads, _offsets):
         # exploding an array of one keeps the optimizer from writing the step out wherever the next one names its result
