@@ -91,8 +91,8 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, by: list[str], size: int = SPREAD_BYTES) -> DataFrame:
     """df by hash over as many tasks as it has `size` bytes in its files, at least as many as there are cores: for work that
     is heavy for each byte, which large row groups would leave to a few tasks."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
-    known = stats if stats < 1 << 50 else 0  # without files the optimizer doesn't know
+    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    known = int(stats) if int(stats) < 1 << 50 else 0  # without files the optimizer doesn't know
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, known // size + 1), *by)
 
 
