@@ -20,8 +20,8 @@ ARROW_ROWS = 2_000
 ARROW_BYTES = "16m"
 
 
-#: Bytes of input for a task of work that is heavy for each byte.
-SPREAD_BYTES = 8_000_000
+#: Bytes of input for a task of work that is heavy for each byte, and up to which that rises once there are so many tasks.
+SPREAD_BYTES, SPREAD_MOST, MANY_TASKS = 2_000_000, 64_000_000, 4_096
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "paragraf") -> SparkSession:
@@ -88,12 +88,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, by: list[str], size: int = SPREAD_BYTES) -> DataFrame:
-    """df by hash over as many tasks as it has `size` bytes in its files, at least as many as there are cores: for work that
-    is heavy for each byte, which large row groups would leave to a few tasks."""
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """df by hash over as many tasks as its files have SPREAD_BYTES, at least as many as there are cores, beyond MANY_TASKS
+    fewer larger ones: for work that is heavy for each byte, which large row groups would leave to a few tasks."""
     stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     known = int(stats) if int(stats) < 1 << 50 else 0  # without files the optimizer doesn't know
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, known // size + 1), *by)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, min(known // SPREAD_BYTES, max(MANY_TASKS, known // SPREAD_MOST)) + 1), *by)
 
 
 def partitioned(df: DataFrame, by: list[str]) -> DataFrame:
