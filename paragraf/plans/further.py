@@ -241,3 +241,41 @@ def proposals(spark: SparkSession, d: str) -> DataFrame:
 @query("PR18_accepted_record", f"WITH {PROPOSED}, g AS (SELECT * FROM proposed WHERE field <> 'year' OR try_cast(value AS INTEGER) BETWEEN 1400 AND 2100), b AS (SELECT key, field, arg_max(value, (confidence, value)) AS v FROM g GROUP BY ALL) SELECT key, substr(max(v) FILTER (field = 'title'), 1, 300) AS title, CAST(max(v) FILTER (field = 'year') AS INTEGER) AS year FROM b GROUP BY key")
 def accepted_record(spark: SparkSession, d: str) -> DataFrame:
     return structure.accepted_record(structure.proposals(_described(spark, d), "key", "text", "title", "year"), "key")
+
+
+@query("R22_page_or_excerpt", f"WITH {BODY} SELECT decision_id, CASE WHEN contains(strip_accents(lower(body)), 'vydrzeni') THEN 'excerpt' ELSE 'page' END AS mode, CASE WHEN contains(strip_accents(lower(body)), 'vydrzeni') THEN NULL ELSE substr(body, 1, 45000) END AS page FROM body")
+def page_or_excerpt(spark: SparkSession, d: str) -> DataFrame:
+    """A text is shown around a word where it stands there, else from its first page."""
+    held = t.fold(F.col("body")).contains("vydrzeni")
+    return bodies(spark, d).select("decision_id", F.when(held, "excerpt").otherwise("page").alias("mode"), F.when(~held, F.substring("body", 1, 45_000)).alias("page"))
+
+
+@query(
+    "R10_lanes_merged",
+    f"WITH {_bm25_sql(['soud'], 'source IS NOT NULL', ', source')}, l AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM hit QUALIFY rank <= 2) SELECT source, doc_id, CAST(row_number() OVER (ORDER BY rank, source) AS INTEGER) AS position FROM l",
+)
+def lanes_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Two hits of each source, the first ones of all before the second ones: one plan, no lane waits for another."""
+    from paragraf.operators import postings
+
+    hits = postings.bm25(opened(spark, d), ["soud"], ["source"], where=F.col("source").isNotNull())
+    lanes = search.ranked(search.per_group(hits, ["source"], [F.desc("score"), F.asc("doc_id")], 2), [F.desc("score"), F.asc("doc_id")], ["source"])
+    return search.interleave(lanes, "source", "rank", "doc_id").select(F.col("variant").alias("source"), "doc_id", "position")
+
+
+@query("G13_parents_of_hits", "WITH h AS (SELECT DISTINCT decision_id, ord FROM decision_chunk WHERE list_has_any(ident_keys, ['par:160', 'par:1741', 'par:2246', 'par:2828'])), c AS (SELECT id, max(case_number) AS case_number FROM decision GROUP BY id) SELECT decision_id, case_number, count(*) AS hits, min(ord) AS first_hit FROM h LEFT JOIN c ON id = decision_id GROUP BY ALL")
+def parents_of_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of passages grouped under the decision that holds them."""
+    keys = F.array(*[F.lit(k) for k in ("par:160", "par:1741", "par:2246", "par:2828")])
+    hits = table(spark, d, "decision_chunk").where(F.arrays_overlap("ident_keys", keys)).select("decision_id", "ord").distinct().groupBy("decision_id").agg(F.count("*").alias("hits"), F.min("ord").alias("first_hit"))
+    names = table(spark, d, "decision").groupBy(F.col("id").alias("decision_id")).agg(F.max("case_number").alias("case_number"))
+    return hits.join(names, "decision_id", "left").select("decision_id", "case_number", "hits", "first_hit")
+
+
+@query("X22_definitions", "SELECT DISTINCT p_partkey, p_brand AS name, 'zak:' || p_size || '/2001' AS act FROM part")
+def definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Short names that texts give to acts, in texts made of the parts."""
+    from paragraf.operators import provisions
+
+    text = F.concat(F.lit("podle zákona č. "), "p_size", F.lit("/2001 Sb., o věci "), F.lit("(dále jen „"), "p_brand", F.lit("“), a dále"))
+    return provisions.definitions(table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey", "text")
