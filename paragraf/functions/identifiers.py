@@ -9,7 +9,7 @@ _S = "[ \\u00a0]"
 CASE = rf"(?:^|[^\p{{L}}\p{{N}}])(\d{{1,3}}|[IVX]{{1,4}}\.|Pl\.){_S}(\p{{L}}{{1,5}}){_S}(\d{{1,6}})/(\d{{4}}|\d{{2}})(?:[^\d]|$)"
 ECLI = r"ECLI:([A-Z]{2}):([A-Z0-9]{1,7}):(\d{4}):([A-Za-zÁ-Ž0-9.]+)"
 ACT = rf"(?:č\.{_S}?)?(\d{{1,4}})/(\d{{4}}){_S}Sb\."
-EU_ACT = rf"(?i)(směrnic|nařízen|rozhodnut|smernic|nariaden)\p{{L}}*(?:{_S}(?:Rady|Komise|Evropského|parlamentu|a|\(ES\)|\(EU\)|\(EHS\)|č\.))*{_S}(\d{{1,4}})/(\d{{1,4}})"
+EU_ACT = rf"(?iu)(směrnic|nařízen|smernic|nariaden|rozhodnut\p{{L}}*{_S}(?:Rady|Komise|Evropského))\p{{L}}*(?:{_S}(?:Rady|Komise|Evropského|parlamentu|a|\(ES\)|\(EU\)|\(EHS\)|č\.))*{_S}(\d{{1,4}})/(\d{{1,4}})"
 ISSN = r"(?:^|[^\d])(\d{4})-(\d{3}[\dXx])(?:[^\dXx]|$)"
 DOI = r"(10\.\d{4,9}/[^\s\"<>]+)"
 
@@ -26,7 +26,7 @@ def case_key(senate: Column, registry: Column, number: Column, full: Column) ->
 
 def eu_key(kind: Column, a: Column, b: Column) -> Column:
     """The CELEX number of an act: the year is the part of four digits, or, of two short ones, the first for a directive and
-    the second for a regulation."""
+    the second for a regulation. A decision counts only where its institution is named: courts decide as well."""
     directive = F.lower(kind).rlike("^sm")
     first_is_year = (F.length(a) == 4) | ((F.length(b) != 4) & directive)
     y, n = F.when(first_is_year, a).otherwise(b), F.when(first_is_year, b).otherwise(a)

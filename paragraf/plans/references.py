@@ -12,7 +12,7 @@ from paragraf.plans.retrieval import BODY, bodies
 
 def _re(pattern: str) -> str:
     """A pattern in the other engine's words."""
-    return pattern.replace("\\u00a0", "\\x{A0}").replace("'", "''")
+    return pattern.replace("(?iu)", "(?i)").replace("\\u00a0", "\\x{A0}").replace("'", "''")
 
 
 _YEAR = "CASE WHEN length({0}) = 2 THEN CAST(CAST({0} AS INTEGER) + CASE WHEN CAST({0} AS INTEGER) <= 40 THEN 2000 ELSE 1900 END AS VARCHAR) ELSE {0} END"

@@ -34,6 +34,8 @@ def test_identifiers(spark):
     text = "sp. zn. 29 Cdo 12/99, směrnice Rady 93/13/EHS, nařízení Rady (ES) č. 44/2001, ECLI:CZ:NS:2012:31.Nd.1195.2010.1. a doi 10.1000/abc(1)2). Zákon č. 89/2012 Sb."
     got = {(r.kind, r.ident) for r in ids.keys(spark.createDataFrame([(1, text), (2, None), (3, "")], "k int, t string"), "k", "t").collect()}
     assert got == {("case", "sz:29 cdo 12/1999"), ("eu", "eu:31993L0013"), ("eu", "eu:32001R0044"), ("ecli", "ecli:cz:ns:2012:31.nd.1195.2010.1"), ("doi", "doi:10.1000/abc(1)2"), ("act", "zak:89/2012")}
+    own = "podle rozhodnutí č. 447/2016 a ROZHODNUTÍ RADY Č. 5/2016"
+    assert [(r.kind, r.ident) for r in ids.keys(spark.createDataFrame([(1, own)], "k int, t string"), "k", "t").collect()] == [("eu", "eu:32016D0005")]
     assert one(spark, ids.celex_of_case, "C-283/81") == "61981CJ0283" and one(spark, ids.celex_of_case, "C-5/2010") == "62010CJ0005"
     assert one(spark, ids.isbn10_to_13, "80-7179-000-1") == "9788071790006" and one(spark, ids.isbn10_to_13, "12") is None
     assert one(spark, ids.displayed, "sz:ii. ús 5/2010") == "II. ÚS 5/2010" and one(spark, ids.court_of_key, "sz:2 afs 5/2010") == "nss"
