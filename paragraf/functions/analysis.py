@@ -110,6 +110,9 @@ _LIGHT = [
     (8, "atech".split()), (7, "etem atum".split()),
     (6, "ech ich eho emi emu ete eti iho imi imu ach ata aty ych ama ami ove ovi ymi".split()), (5, "em im um at am os us ym mi ou".split()),
 ]
+#: Endings before which a stem is softened, and short stems in which an e may stand or not.
+SOFTENING = re.compile("(?:i|ich|iho|im|imi|imu|in[aeouy]?|inou|inach|inami)$")
+WITH_OR_WITHOUT_E = re.compile("([aeiouy][b-df-hj-np-tv-z])([bcktv])")
 #: Stems that no rule leads to each other.
 TWINS = {"smlouv": "smluv", "smluv": "smlouv"}
 
@@ -150,12 +153,12 @@ def query_terms(word: str, most: int = 4) -> list[str]:
     if exact or len(first) <= 2:
         return [first] if re.fullmatch("[a-z0-9]+", first) else []
     tried = [first] + ([index_term(word)] if bare == word else [])
-    softened = bare == word and re.search("(?:i|ich|iho|im|imi|imu|in[aeouy]?|inou|inach|inami)$", word)
+    softened = bare == word and SOFTENING.search(word)
     for t in list(tried):
         tried += [TWINS[t]] if t in TWINS else []
         tried += [t[:-1] + {"c": "k", "k": "c"}[t[-1]]] if t[-1] in "ck" else []
         tried += [t[:-1] + "k"] if softened and t.endswith(("ct", "st")) else []
-        if m := re.fullmatch("([aeiouy][b-df-hj-np-tv-z])([bcktv])", t):
+        if m := WITH_OR_WITHOUT_E.fullmatch(t):
             tried += [f"{m[1]}e{m[2]}"] + ([f"{m[1]}ec"] if m[2] == "k" else [])
         tried.append(without_e(t))
     good = [t for t in dict.fromkeys(tried) if len(t) >= min(3, len(first)) and re.fullmatch("[a-z0-9]+", t)]

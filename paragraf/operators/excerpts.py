@@ -3,6 +3,8 @@ word. For the few rows of a result, so in Arrow batches after the limit."""
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -41,46 +43,42 @@ def matches(text: str, terms: list[str], patterns: list[str] = []) -> list[Span]
     return merged(found + [m.span() for p in patterns for m in re.finditer(p, text)])
 
 
-def _wordy(text: str, i: int) -> bool:
-    return 0 <= i < len(text) and (text[i].isalnum() or unicodedata.category(text[i])[0] == "M")
+#: What is left of a word at a place, and what of one stands before a place.
+_REST, _LEFT, _BLANK = re.compile(r"[\w\u0300-\u036f]*"), re.compile(r"[\w\u0300-\u036f]+\Z"), re.compile(r"\s*")
+
+
+def _whole_words(text: str, span: Span, hit: Span) -> Span:
+    """The span without the parts of words and the blanks at its ends, but never without the hit."""
+    start, end = span
+    if start and _LEFT.search(text, 0, start) and _REST.match(text, start).end() > start:
+        start = _REST.match(text, start).end()
+    start = min(hit[0], _BLANK.match(text, start).end())
+    if end < len(text) and _REST.match(text, end).end() > end and (part := _LEFT.search(text[hit[1] : end])):
+        end = hit[1] + part.start()
+    return start, max(hit[1], hit[1] + len(text[hit[1] : end].rstrip()))
+
+
+def _densest(spans: list[Span], most: int) -> list[Span]:
+    """The first of the longest runs of spans that fit into `most` characters; one at least."""
+    ends = [b for _, b in spans]
+    runs = [spans[i : max(i + 1, bisect.bisect_right(ends, a + most))] for i, (a, _) in enumerate(spans)]
+    return max(runs, key=len)
 
 
 def best_window(text: str, spans: list[Span], most: int = WINDOW) -> tuple[int, int, str] | None:
     """(start, end, excerpt) around most matches: from the paragraph's start if that is near, else with a third of the room
     before them; whole words, and an ellipsis only where running text is cut."""
-    spans = sorted(s for s in spans if 0 <= s[0] < s[1] <= len(text))
+    spans = [s for s in merged(spans) if 0 <= s[0] < s[1] <= len(text)]
     if not spans or most <= 0:
         return None
-    best, last = 0, -1
-    held = 0
-    for i, (a, _) in enumerate(spans):
-        while last + 1 < len(spans) and (last < i or spans[last + 1][1] - a <= most):
-            last += 1
-        if last - i > held:
-            best, held = i, last - i
-    first, tail = spans[best], max(s[1] for s in spans[best : best + held + 1])
-    paragraph = text.rfind("\n", 0, first[0]) + 1
-    if first[0] - paragraph <= REACH and first[1] - paragraph <= most:
-        start = paragraph
-    else:
-        start = max(0, first[0] - max(0, most - (tail - first[0])) // 3)
-        start = max(0, min(start, min(len(text), start + most) - most))
-    end = min(len(text), start + most)
-    if _wordy(text, start - 1):
-        while start < first[0] and _wordy(text, start):
-            start += 1
-    while start < first[0] and text[start].isspace():
-        start += 1
-    if _wordy(text, end - 1) and _wordy(text, end):
-        at = end
-        while at > first[1] and _wordy(text, at - 1):
-            at -= 1
-        end = at if at > first[1] or not _wordy(text, at - 1) else end
-    while end > first[1] and text[end - 1].isspace():
-        end -= 1
-    before = text[text.rfind("\n", 0, start) + 1 : start].strip()
-    after = text[end:].split("\n", 1)[0].strip()
-    return start, end, ("…" if before else "") + text[start:end] + ("…" if after else "")
+    run = _densest(spans, most)
+    hit, lead = run[0], text.rfind("\n", 0, run[0][0]) + 1
+    if hit[0] - lead > REACH or hit[1] - lead > most:
+        room = max(0, most - (run[-1][1] - hit[0]))
+        lead = max(0, min(hit[0] - room // 3, len(text) - most))
+    start, end = _whole_words(text, (lead, min(len(text), lead + most)), hit)
+    before, after = text[:start].rpartition("\n")[2], text[end:].partition("\n")[0]
+    return start, end, f"{'…' if before.strip() else ''}{text[start:end]}{'…' if after.strip() else ''}"
 
 
 def folded(text: str) -> str:
@@ -88,31 +86,26 @@ def folded(text: str) -> str:
     return "".join(ch.lower() if ch < "\x80" else (low if len(low := unicodedata.normalize("NFD", ch)[0].lower()) == 1 else ch) for ch in text)
 
 
+def _paragraph(text: str, a: int, b: int) -> Span:
+    """What of its paragraph is shown around a match: from its start if that is near, and some characters behind."""
+    first, last = text.rfind("\n", 0, a) + 1, text.find("\n", b)
+    return (first if a - first <= PARAGRAPH else max(0, a - CONTEXT)), min(len(text) if last < 0 else last, b + CONTEXT)
+
+
 def stretches(text: str, word: str, most: int = PAGE) -> tuple[int, int, str]:
     """(matches, windows, shown text): paragraphs around each match of a word, whatever its case and marks; near ones joined."""
-    needle, plain = folded(word.strip()), folded(text)
-    at, count, windows = plain.find(needle) if needle else -1, 0, []
-    while at >= 0 and count < MOST_MATCHES:
-        count += 1
-        end = at + len(needle)
-        paragraph = text.rfind("\n", 0, at) + 1
-        start = paragraph if at - paragraph <= PARAGRAPH else max(0, at - CONTEXT)
-        stop = text.find("\n", end)
-        stop = min(len(text), end + CONTEXT if stop < 0 else min(stop, end + CONTEXT))
-        if windows and start <= windows[-1][1]:
-            windows[-1][1] = max(windows[-1][1], stop)
-        else:
-            windows.append([start, stop])
-        at = plain.find(needle, end)
-    parts, used = [], 0
-    for a, b in windows[:MOST_WINDOWS]:
-        part = ("…" if a and text[a - 1] != "\n" else "") + text[a:b] + ("…" if b < len(text) and text[b] != "\n" else "")
-        used += len(part) + (len(GAP) if parts else 0)
-        if used > most:
-            parts = parts or [part[:most] + "…"]
-            break
-        parts.append(part)
-    return count, len(windows), GAP.join(parts)
+    needle = folded(word.strip())
+    hits = list(itertools.islice(re.finditer(re.escape(needle), folded(text)), MOST_MATCHES)) if needle else []
+    windows: list[Span] = []
+    for a, b in (_paragraph(text, *m.span()) for m in hits):
+        touches = windows and a <= windows[-1][1]
+        windows[-1:] = [(windows[-1][0], max(windows[-1][1], b))] if touches else [*windows[-1:], (a, b)]
+    edge = lambda i: "" if i in (0, len(text)) or "\n" in text[max(0, i - 1) : i + 1] else "…"
+    parts = [edge(a) + text[a:b] + edge(b) for a, b in windows[:MOST_WINDOWS]]
+    sizes = itertools.accumulate(len(p) + len(GAP) for p in parts)
+    fitting = sum(size - len(GAP) <= most for size in sizes)
+    shown = GAP.join(parts[:fitting]) if fitting or not parts else parts[0][:most] + "…"
+    return len(hits), len(windows), shown
 
 
 def shown(df: DataFrame, key: str, text: str, terms: list[str], most: int = WINDOW) -> DataFrame:

@@ -36,6 +36,7 @@ class Index:
     size: int
     mean: float
     buckets: int
+    path: str
 
     def frequencies(self, wanted: Iterable[str]) -> dict[str, int]:
         """In how many documents each of a search's few terms stands."""
@@ -92,7 +93,7 @@ def opened(spark: SparkSession, path: str, key: str, buckets: int = BUCKETS) ->
     docs = spark.read.parquet(f"{path}/docs")
     size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
     postings, terms = (_read(spark, f"{path}/{name}", schema) for name, schema in (("postings", POSTINGS), ("terms", "term string, df long, bucket int")))
-    return Index(key, postings, terms, docs.withColumnRenamed("doc", key), size.n, size.mean or 0.0, buckets)
+    return Index(key, postings, terms, docs.withColumnRenamed("doc", key), size.n, size.mean or 0.0, buckets, path)
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:

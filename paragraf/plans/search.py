@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from paragraf.functions.text import snippet
 from paragraf.operators import postings, search
 from paragraf.plans.catalogue import query, table
+from paragraf.session import there
 
 TERMS = ["soud", "smlouva", "žaloba"]
 WORDS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}][\p{L}\p{Nd}\p{M}]*')"
@@ -34,7 +35,7 @@ _OPEN: dict[tuple[str, str, str], postings.Index] = {}
 def opened(spark: SparkSession, d: str, name: str = "documents") -> postings.Index:
     """The index of a table's texts, built at a session's first search and read by all later ones."""
     at = (spark.sparkContext.applicationId, d, name)
-    if at not in _OPEN:
+    if at not in _OPEN or not there(spark, _OPEN[at].path):
         if name == "documents":
             _OPEN[at] = postings.build(_documents(spark, d), "doc_id", "text", ["lang", "source", "doc_kind", "n_chars"])
         else:

@@ -88,6 +88,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Is the folder there? Someone else may have cleared what is shared."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place))
+
+
 def spread(df: DataFrame, by: list[str]) -> DataFrame:
     """df by hash over as many tasks as its files have SPREAD_BYTES, at least as many as there are cores, beyond MANY_TASKS
     fewer larger ones: for work that is heavy for each byte, which large row groups would leave to a few tasks."""

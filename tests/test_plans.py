@@ -45,3 +45,15 @@ def test_jobs_write_tables(spark, tmp_path):
     assert {r.kind for r in spark.read.parquet(str(tmp_path / "sections")).select("kind").distinct().collect()} >= {"zahlavi", "vyrok", "oduvodneni"}
     assert spark.read.parquet(str(tmp_path / "references")).count() > 0
     assert postings.bm25(postings.opened(spark, str(tmp_path / "index"), "decision_id"), ["soud"]).count() > 0
+
+
+def test_a_cleared_index_is_built_again(spark):
+    import shutil
+
+    from paragraf.plans.search import opened
+
+    first = opened(spark, DATA)
+    assert opened(spark, DATA).path == first.path
+    shutil.rmtree(first.path.removeprefix("file:"))
+    assert opened(spark, DATA).path != first.path
+    assert __spark_entry__.queries()["R1_bm25_filtered"](spark, DATA).count() > 0
