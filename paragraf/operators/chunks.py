@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TARGET, LEAST, MOST = 1_400, 400, 2_400
 #: Where a chunk may end, the better place first: before a line feed, after a mark that ends or parts sentences
@@ -117,22 +117,34 @@ def cover(cut: DataFrame, df: DataFrame, key: str, text: str, most: int = MOST)
     return rows.join(held, "id", "left").select("id", F.coalesce(F.regexp_replace(told, r"[\s\u00a0]", "") == F.col("_ink"), F.lit(False)).alias("whole"), F.coalesce(fits, F.lit(False)).alias("bounded"))
 
 
-#: A heading of a dissenting opinion is a line of its own, so long at most; headings so near are one.
+#: A heading of a dissenting opinion is a line of its own, so long at most; one so near to the last is no other.
 MOST_HEADING, SAME = 160, 300
+#: The letters that begin such a line, blanks apart, after a number or none.
+_BLANKS = r"[ \t\x0B\f\r]*"
+_HEADING = f"(?dimu)^{_BLANKS}(?:" + _BLANKS.join([r"[0-9]", r"[0-9]?", r"\.", ""]) + ")?" + _BLANKS.join([*"odlišn", "[éáý]", *"stanovisk"]) + r"[^\n]*"
 
 
 def dissents(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, no, char_start, char_end, heading) of dissenting opinions: from a heading line to the next one or to the end.
 
-    A line is a heading if its letters begin with `odlišné stanovisko`, numbered or letter-spaced or not."""
-    rows = df.select(key, F.col(text).alias("_t"), F.posexplode(F.split(text, "\n", -1)).alias("_n", "_l")).withColumn("_len", F.length("_l"))
-    own = Window.partitionBy(key).orderBy("_n")
-    rows = rows.withColumn("_at", F.sum(F.col("_len") + 1).over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_len") - 1)
-    bare = F.regexp_replace("_l", "\\s+", "")
-    heads = rows.where((F.length(F.trim("_l")) <= MOST_HEADING) & bare.rlike("(?iu)^(?:\\d{1,2}\\.)?odlišn[éáý]stanovisk"))
-    start = F.col("_at") + F.col("_len") - F.length(F.ltrim("_l"))
-    heads = heads.select(key, start.cast("int").alias("char_start"), F.trim("_l", F.lit(" \r")).alias("heading"), F.length("_t").alias("_size"))
-    before = F.lag("char_start").over(Window.partitionBy(key).orderBy("char_start"))
-    heads = heads.withColumn("_new", before.isNull() | (F.col("char_start") - before >= SAME)).where("_new")
-    by = Window.partitionBy(key).orderBy("char_start")
-    return heads.select(key, (F.row_number().over(by) - 1).alias("no"), "char_start", F.coalesce(F.lead("char_start").over(by), F.col("_size")).alias("char_end"), "heading")
+    A line is a heading if its letters begin with `odlišné stanovisko`, numbered or letter-spaced or not. Of several texts
+    of a key one counts. The headings are found within each row, so that only they are shuffled, never a text or its lines."""
+    lines, between = F.regexp_extract_all(text, F.lit(_HEADING), F.lit(0)), F.split(text, _HEADING, -1)
+    none = F.lit(None)
+    start = F.struct(F.lit(0).alias("at"), none.cast("int").alias("last"), F.array().cast("array<struct<char_start:int,heading:string>>").alias("heads"))
+
+    def step(have: Column, x: Column) -> Column:
+        line = x["line"]  # null behind the last heading
+        at = have["at"] + F.length(x["before"]) + F.length(line) - F.length(F.ltrim(line))
+        new = (F.length(F.trim(line)) <= MOST_HEADING) & (have["last"].isNull() | (at - have["last"] >= SAME))
+        head = F.struct(at.alias("char_start"), F.trim(line, F.lit(" \r")).alias("heading"))
+        return F.struct(
+            (have["at"] + F.length(x["before"]) + F.coalesce(F.length(line), F.lit(0))).alias("at"), F.when(new, at).otherwise(have["last"]).alias("last"),
+            F.when(new, F.concat(have["heads"], F.array(head))).otherwise(have["heads"]).alias("heads"),
+        )
+
+    heads = F.aggregate(F.zip_with(lines, between, lambda a, b: F.struct(a.alias("line"), b.alias("before"))), start, step, lambda have: have["heads"])
+    rows = df.where(F.col(text).isNotNull()).select(key, F.length(text).alias("_size"), heads.alias("_heads")).dropDuplicates([key])
+    rows = rows.select(key, "_size", F.posexplode("_heads").alias("no", "_head"))
+    after = F.lead("_head.char_start").over(Window.partitionBy(key).orderBy("no"))
+    return rows.select(key, "no", "_head.char_start", F.coalesce(after, F.col("_size")).alias("char_end"), "_head.heading")

@@ -332,7 +332,8 @@ def structural_cover(spark: SparkSession, d: str) -> DataFrame:
 @query("X26_dissents", f"WITH {BODY} SELECT decision_id, CAST(0 AS INTEGER) AS no, CAST(length(body) + 1 AS INTEGER) AS char_start, CAST(2 * length(body) + 36 AS INTEGER) AS char_end, 'Odlišné stanovisko soudce J. Nováka' AS heading FROM body")
 def dissents(spark: SparkSession, d: str) -> DataFrame:
     """Each body with a dissenting opinion behind it, as long as itself."""
-    rows = bodies(spark, d).select("decision_id", F.concat("body", F.lit("\nOdlišné stanovisko soudce J. Nováka\n"), F.expr("substring(body, 1, length(body) - 1)")).alias("text"))
+    own = table(spark, d, "decision_text").where("body is not null")  # the operator takes one text of each key
+    rows = own.select("decision_id", F.concat("body", F.lit("\nOdlišné stanovisko soudce J. Nováka\n"), F.expr("substring(body, 1, length(body) - 1)")).alias("text"))
     return chunks.dissents(rows, "decision_id", "text")
 
 

@@ -82,6 +82,36 @@ def test_dissents(spark):
     assert [(r.no, body[r.char_start : r.char_end].split("\n")[0]) for r in got] == [(0, "O d l i š n é  s t a n o v i s k o"), (1, "2. Odlišné stanovisko soudkyně")]
 
 
+def test_dissents_shuffle_no_texts(spark):
+    """Headings in the row: neither the text nor its lines go through a sort, and what is near is told as before."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    def plain(t):
+        heads, at = [], 0
+        for line in t.split("\n"):
+            letters = re.sub(r"[ \t\x0b\f\r]+", "", line)
+            start = at + len(line) - len(line.lstrip(" "))
+            if len(line.strip(" ")) <= chunks.MOST_HEADING and re.match("([0-9]{1,2}\\.)?odlišn[éáý]stanovisk", letters, re.I) and (not heads or start - heads[-1][0] >= chunks.SAME):
+                heads.append((start, line.strip(" \r")))
+            at += len(line) + 1
+        return [(n, a, heads[n + 1][0] if n + 1 < len(heads) else len(t), h) for n, (a, h) in enumerate(heads)]
+
+    head = "Odlišné stanovisko"
+    texts = [
+        f"{head}\r\n\t1 2 . ODLIŠNÁ STANOVISKA 𝄞\n" + "é𝄞 " * 200 + f"\n  {head} soudce \n" + "\n" * 400 + "O d l i š n ý\ts t a n o v i s k o", f"\n{head}", "", "nic", f"{head} " + "x" * 200 + f"\n123. {head}\n{head}\n" * 150,
+        f"{head}\n" + ("y" * 200 + f"\n{head}\n") * 4, f"a\u2028{head}\r{head}\x85{head}", "odlišné\nstanovisko\n1.\n2. odlišné stanovisko", f"{head}\n" * 3_000,
+    ]
+    df = spark.createDataFrame([*enumerate(texts), (1, texts[1]), (99, None)], "k int, t string")
+    got = chunks.dissents(df, "k", "t")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k, *x) for k, t in enumerate(texts) for x in plain(t))
+    large = spark.range(200).select("id", F.concat(F.repeat(F.lit("řádek textu\n"), 5_000), F.lit(head)).alias("t"))
+    plan = chunks.dissents(large, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    sorts = re.findall(r"(?:Exchange|Sort|Window) .*", plan)
+    assert sorts and "_l#" not in plan and not any(re.search(r"\b_?t#", x) for x in sorts)
+
+
 def test_excerpts():
     from paragraf.operators import excerpts
 
