@@ -1,7 +1,7 @@
 """Texts decoded with a wrong character set: found and restored by the shortest description.
 
 Every chain of wrong decodings that a line could have gone through is undone. Each candidate is compressed with the
-zstandard dictionary of each language whose script it shows; characters that the language's sample doesn't know cost
+zstandard dictionary of each language whose script it shows; characters that the language's texts don't know cost
 extra, and so does every step of the chain. The candidate with the shortest description wins; a tie, and no gain, leave
 the line as it is.
 """
@@ -18,18 +18,20 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from paragraf.functions.codepoints import slices
+from paragraf.session import cut
 
-#: Training takes so many texts of each language at most, those of the least hash, and so many characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 400, 6_000
 DICTIONARY_BYTES = 48_000
+#: A dictionary is trained on about so many bytes of distinct lines at once; of a larger language, one on each such part, and
+#: so many of these are trained into one, again and again until one is left.
+PART_BYTES, MERGED = 4_000_000, 64
 #: Bytes that a step of a chain, an unknown letter or control, another unknown symbol, a lost character and another
 #: language than the home language cost.
 STEP_COST, UNKNOWN_COST, SYMBOL_COST, LOST_COST, LANGUAGE_COST = 1.0, 2.5, 0.5, 1.0, 2.0
-#: A character is known to a language if its sample has it in so many texts or more.
-KNOWN_TEXTS = 3
+#: A character is known to a language if so many of its labelled texts have it or more, and so large a share of them.
+KNOWN_TEXTS, LABELLED_SHARE = 3, 0.0075
 #: A character, or a symbol beside a letter, costs nothing in the field either if so large a share of all its texts has it.
 KNOWN_SHARE = 0.1
 LOST = "�"
@@ -154,15 +156,51 @@ class Languages:
         return self.labelled
 
 
-def _sample(df: DataFrame, lang: Column, text: Column) -> dict[str, list[str]]:
-    """SAMPLE_TEXTS texts of each language, those of the least hash, SAMPLE_CHARS characters of each."""
-    rows = df.select(F.lower(F.trim(lang)).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text")).where("lang is not null and lang <> 'und' and length(text) > 40")
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_TEXTS)
-    texts: dict[str, list[str]] = {}
-    for r in sorted(sample.select("lang", "h", "text").toLocalIterator(), key=lambda r: (r.lang, r.h, r.text)):  # bounded by SAMPLE_TEXTS a language
-        texts.setdefault(r.lang, []).append(r.text)
-    return texts
+def _labelled(df: DataFrame, lang: str, text: str) -> DataFrame:
+    """(lang, text) of all texts whose language is told."""
+    rows = df.select(F.lower(F.trim(lang)).alias("lang"), F.col(text).cast("string").alias("text"))
+    return rows.where("lang is not null and lang <> 'und' and text <> ''")
+
+
+def _trained(pieces: list[bytes]) -> bytes:
+    """A dictionary of the pieces; of few long ones, of their stretches."""
+    whole = b"".join(pieces)
+    for each in (pieces, [whole[i : i + 64] for i in range(0, len(whole), 64)]):
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, each, k=256, d=8, level=3).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"\n".join(dict.fromkeys(pieces))[:DICTIONARY_BYTES] or b" " * 16  # too little text to train on: its own bytes serve
+
+
+def _train_part(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+    """The dictionary of a part's lines; one that stands often counts once more whenever its number doubles."""
+    part = part.sort_by([("h", "ascending"), ("line", "ascending")])
+    pieces = [line.encode() for line, n in zip(part["line"].to_pylist(), part["n"].to_pylist(), strict=True) for _ in range(n.bit_length())]
+    return pa.table({"lang": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int64()), "dictionary": [_trained(pieces)]})
+
+
+def _merge_parts(key: tuple[pa.Scalar, ...], parts: pa.Table) -> pa.Table:
+    """The dictionary of what the parts' dictionaries hold; one alone stays as it is."""
+    each = parts.sort_by("part")["dictionary"].to_pylist()
+    one = each[0] if len(each) == 1 else _trained([x[i : i + 256] for x in each for i in range(0, len(x), 256)])
+    return pa.table({"lang": [key[0].as_py()], "part": pa.array([key[1].as_py()], pa.int64()), "dictionary": [one]})
+
+
+def _dictionaries(rows: DataFrame) -> dict[str, bytes]:
+    """The dictionary of each language, of all lines of all its texts."""
+    lines = rows.select("lang", F.explode(F.split("text", "\n", -1)).alias("line")).where("line <> ''").groupBy("lang", "line").agg(F.count("*").alias("n"))
+    lines = cut(lines.withColumn("h", F.xxhash64("line")))
+    many = {r.lang: r.size // PART_BYTES + 1 for r in lines.groupBy("lang").agg(F.sum(F.octet_length("line")).alias("size")).toLocalIterator()}
+    if not many:
+        return {}
+    parts = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    schema = "lang string, part long, dictionary binary"
+    out, most = lines.withColumn("part", F.pmod("h", parts[F.col("lang")])).groupBy("lang", "part").applyInArrow(_train_part, schema), max(many.values())
+    while most > 1:
+        most = -(-most // MERGED)
+        out = out.groupBy("lang", F.expr(f"part div {MERGED}").alias("into")).applyInArrow(_merge_parts, schema)
+    return {r.lang: bytes(r.dictionary) for r in out.toLocalIterator()}
 
 
 def _marks(text: str) -> set[str]:
@@ -181,43 +219,50 @@ def _marks(text: str) -> set[str]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(mark, texts) of a task: the texts with each mark, and all texts under the empty mark."""
-    often: Counter[str] = Counter()
+    """(lang, mark, texts) of a task: the texts of each language with each mark, and all its texts under the empty mark."""
+    often: Counter[tuple[str, str]] = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            often[""] += 1
-            often.update(_marks(text))
-    yield pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], names=["mark", "texts"])
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            often[lang, ""] += 1
+            often.update((lang, mark) for mark in _marks(text))
+    langs, marks = [lang for lang, _ in often], [mark for _, mark in often]
+    yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(marks, pa.string()), pa.array(list(often.values()), pa.int64())], names=["lang", "mark", "texts"])
+
+
+def _often(rows: DataFrame) -> dict[str, dict[str, int]]:
+    """The number of texts of each language with each mark, counted over all of (lang, text); all texts under the empty mark."""
+    out: dict[str, dict[str, int]] = {}
+    counted = rows.mapInArrow(_counted, "lang string, mark string, texts long").groupBy("lang", "mark").agg(F.sum("texts").alias("texts"))
+    for r in counted.toLocalIterator():  # as many as the alphabets have
+        out.setdefault(r.lang, {})[r.mark] = r.texts
+    return out
 
 
 def usual(df: DataFrame, text: str) -> set[str]:
     """The marks that KNOWN_SHARE of all texts have or more, counted over whole texts."""
-    rows = df.select(F.col(text).cast("string").alias("text")).where("text <> ''").mapInArrow(_counted, "mark string, texts long")
-    often = {r.mark: r.texts for r in rows.groupBy("mark").agg(F.sum("texts").alias("texts")).toLocalIterator()}  # as many as the alphabet has
+    often = _often(df.select(F.lit("").alias("lang"), F.col(text).cast("string").alias("text")).where("text <> ''")).get("", {})
     return {mark for mark, n in often.items() if mark and n >= KNOWN_SHARE * often[""]}
 
 
 def train(df: DataFrame, lang: str, text: str, home: str, own: DataFrame | None = None, own_text: str = "text") -> Languages:
-    """Dictionaries from a bounded sample of labelled texts; all texts of `own`, the field to be judged in the home
+    """Dictionaries and known characters from all labelled texts; all texts of `own`, the field to be judged in the home
     language, say which characters are usual in it: these cost nothing, but a line with them is judged like any other."""
-    texts = _sample(df, F.col(lang), F.col(text))
-    texts.setdefault(home, ["".join(map(chr, range(32, 127)))])
-    dictionaries, known = {}, {}
-    for name, each in texts.items():
-        pieces = [line.encode() for t in each for line in t.split("\n") if line]
-        try:
-            dictionaries[name] = zstandard.train_dictionary(DICTIONARY_BYTES, pieces, k=256, d=8, level=3).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: its own bytes serve
-            dictionaries[name] = b"\n".join(pieces)[:DICTIONARY_BYTES] or b" " * 16
-        seen = Counter(ch for t in each for ch in set(t))
-        least = min(KNOWN_TEXTS, len(each))
-        known[name] = frozenset(ch for ch, n in seen.items() if n >= least and ch > "\x7f" and ch != LOST)
+    rows = _labelled(df, lang, text)
+    dictionaries, counts = _dictionaries(rows), _often(rows)
+    counts.setdefault(home, {"": 0})
+    known, sides = {}, {}
+    for name, often in counts.items():
+        if name not in dictionaries:
+            dictionaries[name] = _trained([bytes(range(32, 127))])
+        least = max(min(KNOWN_TEXTS, often[""]), LABELLED_SHARE * often[""])
+        seen = {mark for mark, n in often.items() if mark and n >= least}
+        known[name] = frozenset(mark for mark in seen if len(mark) == 1 and mark != LOST)
+        sides[name] = {mark for mark in seen if len(mark) == 2}
     labelled = known[home]
-    often = usual(own, own_text) if own is not None else set()
-    known[home] = labelled | {mark for mark in often if len(mark) == 1 and mark != LOST}
-    beside = Counter(side for t in texts[home] for side in set(_sides(t)))
-    sides = {side for side, n in beside.items() if n >= KNOWN_TEXTS} | {mark for mark in often if len(mark) == 2}
-    return Languages(dictionaries, known, home, frozenset(side for side in sides if (side[0] if side[1] == "_" else side[1]) in known[home]), labelled)
+    also = usual(own, own_text) if own is not None else set()
+    known[home] = labelled | {mark for mark in also if len(mark) == 1 and mark != LOST}
+    beside = sides[home] | {mark for mark in also if len(mark) == 2}
+    return Languages(dictionaries, known, home, frozenset(side for side in beside if (side[0] if side[1] == "_" else side[1]) in known[home]), labelled)
 
 
 def judge(line: str, languages: Languages) -> tuple[str | None, str] | None:

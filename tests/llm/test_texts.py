@@ -42,6 +42,24 @@ def test_chains_are_undone(spark):
     assert encodings.wrongly_decoded(df.limit(0), ["k"], "text", known).count() == 0
 
 
+def test_all_labelled_texts_train(spark, monkeypatch):
+    """What stands far behind in a text, or in texts beyond some number, counts as well; a language may be trained in parts."""
+    far = "Obyčejný úvod. " * 500
+    rows = [(i, "cs", f"{far}\n{CZECH} Dne {i}. „věc“ Šárka Ň") for i in range(40)] + [(i, " CS", f"Obyčejný úvod číslo {i}. " + " ".join(str(i * n) for n in range(60))) for i in range(40, 1200)] + [(9999, "cs", "krátce ψ")] * 3
+    df = spark.createDataFrame(rows, "k long, lang string, text string")
+    known = encodings.train(df, "lang", "text", "cs")
+    assert {ch for ch in CZECH + "Š„“Ň" if ch > "\x7f"} == known.plain() and {"„_", "_“"} <= known.beside  # ψ is in 3 of 1203 texts
+    assert known.length(CZECH) < 0.4 * len(CZECH.encode())
+    again = encodings.train(df.repartition(7), "lang", "text", "cs")
+    assert again.dictionaries == known.dictionaries and again.known == known.known
+    monkeypatch.setattr(encodings, "PART_BYTES", 100_000)
+    monkeypatch.setattr(encodings, "MERGED", 2)
+    parts = encodings.train(df, "lang", "text", "cs")
+    assert parts.known == known.known and parts.length(CZECH) < 0.4 * len(CZECH.encode())
+    for each in (known, parts):
+        assert encodings.judge(CZECH, each) is None and encodings.judge(garble(CZECH, "cp1250", "cp852"), each)[0] == CZECH
+
+
 def test_differencing_packs_all(spark):
     rng = random.Random(1)
     sizes = np.array([rng.randint(1, 900) for _ in range(150)])
